@@ -11,13 +11,16 @@ from .store import written
 
 #: A text is hot when its copies would fill so large a part of one shuffle partition.
 HOT_PARTS = 2
+#: Characters of the text by which it is first sorted and parted.
+LEAD = 32
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", normalise=None) -> DataFrame:
     """Group rows whose normalised texts are equal byte for byte.
 
-    Sampled splitters range-partition the text (and a salt, which is 0 but for hot texts); Spark's external
-    sort places equal texts next to each other, and the window compares each with its neighbour in full.  The
+    Sampled splitters range-partition the text's first LEAD characters, a hash of it (and a salt, which is 0 but for hot
+    texts); Spark's external sort by these and by the whole text places equal texts next to each other, and the window
+    compares each with its neighbour in full.  The
     copies of a hot text are dealt over as many salts as there are shuffle partitions and their few partial
     counts are joined by digest, so no task holds a whole hot group.
 
@@ -33,11 +36,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text: Column = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), (normalise(text) if normalise else text).alias("t"))
     hot = _hot(rows, parts)
-    salt = F.when(F.xxhash64("t").isin(hot), F.pmod(F.xxhash64("id"), F.lit(parts))).otherwise(F.lit(0)) if hot else F.lit(0)
-    sorted_rows = rows.withColumn("salt", salt.cast("int")).repartitionByRange("t", "salt")
-    same = Window.partitionBy("t", "salt")
+    # Splitters are sampled from the first characters, a hash and the salt: what the sample brings to the driver doesn't grow with the texts.
+    keyed = rows.withColumns({"lead": F.substring("t", 1, LEAD), "h": F.xxhash64("t")})
+    salted = ["lead", "h"]
+    if hot:
+        keyed = keyed.withColumn("salt", F.when(F.col("h").isin(hot), F.pmod(F.xxhash64("id"), F.lit(parts))).otherwise(F.lit(0)).cast("int"))
+        salted.append("salt")
+    sorted_rows = keyed.repartitionByRange(*salted)
+    same = Window.partitionBy(*salted, "t")  # met by the range partitions: no second exchange
     marked = sorted_rows.select(
-        "id", F.sha2(F.col("t").cast("binary"), 256).alias("sha"), F.xxhash64("t").alias("h"), "salt",
+        "id", F.sha2(F.col("t").cast("binary"), 256).alias("sha"), *salted[1:],
         best("id").over(same).alias("top"), F.count(F.lit(1)).over(same).alias("n"),
     )
     if hot:
