@@ -10,16 +10,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as T
-from .sample import texts_of
-from .store import written
+from .store import release, written
 
 #: Words of a shingle, and the least similarity in percent.
 SHINGLE, PERCENT = 5, 80
 #: Bits of a text's token bitmap.
-BITMAP = 1024
+BITMAP = 4096
 #: The order of shingles puts those last that stand in at least HEAVY_DOCS of a sample of SAMPLE_DOCS documents.
 #: Any order finds every link; this one keeps passages that many documents share out of the prefixes.
-SAMPLE_DOCS, HEAVY_DOCS = 2_000, 4
+SAMPLE_DOCS, HEAVY_DOCS = 8_000, 4
 #: Members of a posting list that all later ones are held against; a list of one more is thereby done.
 PIVOTS = 3
 #: Rows of a node of the upper tree level, and of a leaf below it.
@@ -64,6 +63,13 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = SHINGLE) ->
     return value[new], np.concatenate(([0], np.cumsum(np.bincount(row[new], minlength=n))))
 
 
+def set_sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums modulo 2^64 of each text's values."""
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values, out=total[1:], dtype=np.uint64)
+    return total[at[1:]] - total[at[:-1]]
+
+
 def prefix_size(n: np.ndarray | int, percent: int = PERCENT):
     """So many first shingles in any common order hold one of every similar set's first ones."""
     return n - -(-percent * n // 100) + 1
@@ -182,13 +188,24 @@ def tree_links(ids, comp, sets, other=None, percent: int = PERCENT) -> list[tupl
 
 
 def heavy_shingles(docs: DataFrame, id_col: str, text_col: str, words: int) -> np.ndarray:
-    """Shingles of at least HEAVY_DOCS documents of a bounded sample; only an order, so no link depends on it."""
-    ids = [r[0] for r in docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("i")).orderBy(F.xxhash64("i"), "i").limit(SAMPLE_DOCS).collect()]
-    texts = texts_of(docs, ids, id_col, text_col)["text"].combine_chunks()
-    texts = pa.array(sorted(set(texts.to_pylist())), pa.string())  # copies would make a whole text heavy
-    sets, _ = shingle_sets(*T.buffers(texts), words)
-    keys, counts = np.unique(sets, return_counts=True)
-    return keys[counts >= HEAVY_DOCS]
+    """Shingles of at least HEAVY_DOCS different texts of a bounded sample; only an order, so no link depends on it."""
+    rows = docs.where(F.col(id_col).isNotNull())
+    total = rows.count()
+    if not total:
+        return np.zeros(0, np.uint64)
+    share = int(min(1.0, SAMPLE_DOCS / total) * 2**31)
+    picked = rows.where(F.pmod(F.xxhash64(F.lit(3), F.col(id_col).cast("long")), F.lit(2**31)) < share).select(F.col(text_col).cast("string").alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            for part in T.chunks(batch):
+                sets, at = shingle_sets(*T.buffers(part.column("text")), words)
+                whole = set_sums(sets, at)[T.row_of(at)]
+                yield pa.RecordBatch.from_arrays([pa.array(sets.view(np.int64)), pa.array(whole.view(np.int64))], ["token", "whole"])
+
+    # Copies would make a whole text heavy: a token counts once for each different set.
+    counts = picked.mapInArrow(run, "token long, whole long").distinct().groupBy("token").count().where(F.col("count") >= HEAVY_DOCS)
+    return np.sort(counts.select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64))
 
 
 def connected(edges: DataFrame, name: str) -> DataFrame:
@@ -226,6 +243,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     id have a null component and link nothing; rows with equal ids are one node with the shingles of each.  An empty
     table gives an empty result; extra columns are ignored.
     """
+    spark = docs.sparkSession
     heavy = heavy_shingles(docs, id_col, text_col, words)  # at most SAMPLE_DOCS documents' shingles / HEAVY_DOCS
 
     def prepare(batches):
@@ -244,9 +262,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 size = np.where(lens > 0, prefix_size(lens, percent), 0)
                 stop = np.cumsum(size)
                 prefix = ordered[np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(at[:-1] - stop + size, size)]
-                sums = np.concatenate(([0], np.cumsum(sets, dtype=np.uint64)))
-                again = np.concatenate(([0], np.cumsum(T.mixed(sets ^ np.uint64(0xA5A5A5A5A5A5A5A5)), dtype=np.uint64)))
-                keys = [(x[at[1:]] - x[at[:-1]]).astype(np.uint64).view(np.int64) for x in (sums.astype(np.uint64), again.astype(np.uint64))]
+                keys = [set_sums(x, at).view(np.int64) for x in (sets, T.mixed(sets ^ np.uint64(0xA5A5A5A5A5A5A5A5)))]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(lens), *map(pa.array, keys), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], stop)).astype(np.int32)), pa.array(prefix.view(np.int64))), pa.array([x.tobytes() for x in bitmaps(sets, at)], pa.binary())],
                     ["id", "n", "k1", "k2", "prefix", "bits"],
@@ -266,22 +282,25 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = written(members.where("rn > 1 or next is not null").select("token", "id", "rn", *(f"p{i}" for i in range(PIVOTS))), "postings")
     pivots = F.array(*(F.when(F.col("rn") > i + 1, F.col(f"p{i}")) for i in range(PIVOTS)))
     pairs = members.where("rn > 1").select("id", F.explode(F.array_compact(pivots)).alias("pivot")).where("id != pivot").distinct()
-    needed = written(members.select("id").distinct(), "needed")
-    info = kept.join(needed, "id", "left_semi").select("id", "n", "bits")
-    near = pairs.join(info, "id").join(info.select(F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("bits").alias("pbits")), "pivot")
+    info = kept.select("id", "n", "bits")
+    listed = written(info.join(members.select("id").distinct(), "id", "left_semi"), "listed")
+    release(spark)
+    near = pairs.join(listed, "id").join(listed.select(F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("bits").alias("pbits")), "pivot")
     near = near.where((100 * F.col("n") >= percent * F.col("pn")) & (100 * F.col("pn") >= percent * F.col("n")))
     near = written(near.mapInArrow(_possible(percent), "id long, pivot long"), "near")
 
-    sets = written(_sets_of(base, needed, words), "sets")
+    sets = written(_sets_of(base, near.select("id").union(near.select("pivot")).distinct(), words), "sets")
+    release(spark)
     full = near.join(sets, "id").join(sets.select(F.col("id").alias("pivot"), F.col("shingles").alias("other")), "pivot")
     shared, both = F.size(F.array_intersect("shingles", "other")), F.size("shingles") + F.size("other")
     links = full.where(100 * shared >= percent * (both - shared)).select(F.col("id").alias("u"), F.col("pivot").alias("v"))
     links = written(links, "links")
     classes = written(connected(links, "classes"), "classes")
+    release(spark)
 
-    more = _tree_stage(members, classes, sets, percent)
-    links = links.union(more) if more is not None else links
+    more = _tree_stage(members, classes, listed, base, words, percent)
     if more is not None:
+        links = links.union(more)
         classes = written(connected(links, "classes"), "classes")
     # Rows of equal sets, or of equal ids, share a class; the class id is the smallest id of any of them.
     same = keyed.join(reps, ["k1", "k2", "n"]).select("id", "rep").distinct()
@@ -341,7 +360,7 @@ def _sets_of(base: DataFrame, needed: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(run, "id long, shingles array<long>").where(F.size("shingles") > 0).join(needed, "id", "left_semi")
 
 
-def _tree_stage(members: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+def _tree_stage(members: DataFrame, classes: DataFrame, listed: DataFrame, base: DataFrame, words: int, percent: int) -> DataFrame | None:
     """Links from the posting lists that pivots didn't finish; None if there are none."""
     long = members.groupBy("token").agg(F.max("rn").alias("c")).where(F.col("c") > PIVOTS + 1).select("token")
     rest = members.join(long, "token", "left_semi").join(classes, F.col("id") == F.col("node"), "left").select("token", "id", "rn", F.coalesce("component", "id").alias("comp"))
@@ -356,7 +375,12 @@ def _tree_stage(members: DataFrame, classes: DataFrame, sets: DataFrame, percent
     pairs = nodes.join(right, "token").where("node <= other").select("rows", F.when(F.col("node") < F.col("other"), F.col("more")).alias("more")).distinct()
     pairs = written(pairs.select(F.monotonically_increasing_id().alias("task"), "rows", "more"), "pairs")
     sides = pairs.select("task", F.lit(0).alias("side"), F.explode("rows").alias("r")).union(pairs.select("task", F.lit(1).alias("side"), F.explode("more").alias("r")))
-    sides = sides.select("task", "side", F.col("r.id").alias("id"), F.col("r.comp").alias("comp")).join(sets, "id")
+    sides = sides.select("task", "side", F.col("r.id").alias("id"), F.col("r.comp").alias("comp"))
+    maybe = written(sides.join(listed, "id").groupBy("task").applyInArrow(_tree_filter(percent), "task long, side int, id long, comp long"), "maybe")
+    if maybe.isEmpty():
+        return None
+    sets = written(_sets_of(base, maybe.select("id").distinct(), words), "sets")
+    release(maybe.sparkSession)
 
     def run(table: pa.Table) -> pa.Table:
         part = [table.filter(pa.array(table.column("side").to_numpy() == s)) for s in (0, 1)]
@@ -364,7 +388,31 @@ def _tree_stage(members: DataFrame, classes: DataFrame, sets: DataFrame, percent
         links = tree_links(*both[0], other=both[1] if part[1].num_rows else None, percent=percent)
         return pa.table({"u": pa.array([x for x, _ in links], pa.int64()), "v": pa.array([y for _, y in links], pa.int64())})
 
-    return written(sides.groupBy("task").applyInArrow(run, "u long, v long"), "tree-links")
+    return written(maybe.join(sets, "id").groupBy("task").applyInArrow(run, "u long, v long"), "tree-links")
+
+
+def _tree_filter(percent: int):
+    """The rows of a pair of nodes that may link to a row of another class, by the trees' bitmaps and sizes alone: rows, not pairs."""
+
+    def run(table: pa.Table) -> pa.Table:
+        side, comp = table.column("side").to_numpy(), table.column("comp").to_numpy()
+        sizes = table.column("n").to_numpy()
+        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(side), -1)
+        place = [np.flatnonzero(side == s) for s in (0, 1)]
+        a = SignatureTree(sizes[place[0]], bits[place[0]])
+        two = len(place[1]) > 0
+        b = SignatureTree(sizes[place[1]], bits[place[1]]) if two else a
+        other = place[1] if two else place[0]
+        keep = np.zeros(len(side), bool)
+        for i, rows in dual_traverse(a, b, percent):
+            mine, theirs = place[0][i], other[rows]
+            theirs = theirs[comp[theirs] != comp[mine]]
+            if len(theirs):
+                keep[mine] = True
+                keep[theirs] = True
+        return table.select(["task", "side", "id", "comp"]).filter(pa.array(keep))
+
+    return run
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
