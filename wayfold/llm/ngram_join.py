@@ -14,11 +14,11 @@ from .store import release, written
 
 #: Words of a shingle, and the least similarity in percent.
 SHINGLE, PERCENT = 5, 80
-#: Bits of a text's token bitmap.
-BITMAP = 4096
+#: A text's token bitmap has so many bits at least, and four times as many as it has shingles.
+BITMAP = 512
 #: The order of shingles puts those last that stand in at least HEAVY_DOCS of a sample of SAMPLE_DOCS documents.
 #: Any order finds every link; this one keeps passages that many documents share out of the prefixes.
-SAMPLE_DOCS, HEAVY_DOCS = 8_000, 4
+SAMPLE_DOCS, HEAVY_DOCS = 10_000, 3
 #: Members of a posting list that all later ones are held against; a list of one more is thereby done.
 PIVOTS = 3
 #: Rows of a node of the upper tree level, and of a leaf below it.
@@ -75,11 +75,20 @@ def prefix_size(n: np.ndarray | int, percent: int = PERCENT):
     return n - -(-percent * n // 100) + 1
 
 
-def bitmaps(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Token bitmaps (texts, BITMAP / 64)."""
-    out = np.zeros((len(at) - 1, BITMAP), bool)
-    out[T.row_of(at), (sets >> np.uint64(20)).astype(np.int64) % BITMAP] = True
-    return np.packbits(out, axis=1, bitorder="little").view(np.uint64)
+def bitmap(one: np.ndarray) -> np.ndarray:
+    """The token bitmap of one set, as words of 64 bits; a power of two, so that a wider one folds to a narrower one by OR."""
+    width = max(BITMAP, 1 << int(4 * len(one) - 1).bit_length()) if len(one) else BITMAP
+    out = np.zeros(width, bool)
+    out[(one >> np.uint64(20)).astype(np.int64) & (width - 1)] = True
+    return np.packbits(out, bitorder="little").view(np.uint64)
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (texts, words or more) made ``words`` words wide."""
+    while bits.shape[-1] > words:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] | bits[..., half:]
+    return bits
 
 
 def most_overlap(bits_a, size_a, bits_b, size_b):
@@ -151,6 +160,29 @@ def dual_traverse(a: SignatureTree, b: SignatureTree, percent: int = PERCENT):
             stack += [(i, k) for k in kids_b]
 
 
+def possible_pairs(sizes_a, bits_a, sizes_b, bits_b, percent: int = PERCENT):
+    """Pairs that bitmaps and sizes don't rule out: (row of a, rows of b).
+
+    There is a tree for each width of bitmaps; sets that may link differ by at most one doubling, and the wider are folded.
+    """
+    by = [{w: np.array([i for i, x in enumerate(bits) if len(x) == w]) for w in {len(x) for x in bits}} for bits in (bits_a, bits_b)]
+    trees: dict = {}
+
+    def tree(side, width, words):
+        if (side, width, words) not in trees:
+            rows = by[side][width]
+            sizes, bits = ((sizes_a, bits_a), (sizes_b, bits_b))[side]
+            trees[side, width, words] = SignatureTree(np.asarray(sizes)[rows], folded(np.stack([bits[i] for i in rows]), words))
+        return trees[side, width, words]
+
+    for wa, rows_a in by[0].items():
+        for wb, rows_b in by[1].items():
+            if max(wa, wb) <= 2 * min(wa, wb):
+                words = min(wa, wb)
+                for i, rows in dual_traverse(tree(0, wa, words), tree(1, wb, words), percent):
+                    yield int(rows_a[i]), rows_b[rows]
+
+
 def tree_links(ids, comp, sets, other=None, percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links that join all classes among the rows, or between them and ``other`` rows: (id, id).
 
@@ -165,15 +197,10 @@ def tree_links(ids, comp, sets, other=None, percent: int = PERCENT) -> list[tupl
             x = parent[x]
         return x
 
-    def build(s):
-        sizes = np.array([len(x) for x in s], np.int64)
-        return SignatureTree(sizes, bitmaps(np.concatenate(s) if s else np.zeros(0, np.uint64), np.concatenate(([0], np.cumsum(sizes)))))
-
     ids_b, comp_b, sets_b = other or (ids, comp, sets)
-    a = build(sets)
-    b = build(sets_b) if other else a
+    sides = [([len(x) for x in s], [bitmap(x) for x in s]) for s in (sets, sets_b)]
     links = []
-    for i, rows in dual_traverse(a, b, percent):
+    for i, rows in possible_pairs(*sides[0], *sides[1], percent):
         for j in rows.tolist():
             if ids[i] == ids_b[j] or (x := find(comp[i])) == (y := find(comp_b[j])):
                 continue
@@ -264,7 +291,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 prefix = ordered[np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(at[:-1] - stop + size, size)]
                 keys = [set_sums(x, at).view(np.int64) for x in (sets, T.mixed(sets ^ np.uint64(0xA5A5A5A5A5A5A5A5)))]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(lens), *map(pa.array, keys), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], stop)).astype(np.int32)), pa.array(prefix.view(np.int64))), pa.array([x.tobytes() for x in bitmaps(sets, at)], pa.binary())],
+                    [part.column("doc_id"), pa.array(lens), *map(pa.array, keys), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], stop)).astype(np.int32)), pa.array(prefix.view(np.int64))), pa.array([bitmap(sets[a:b]).tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())],
                     ["id", "n", "k1", "k2", "prefix", "bits"],
                 )
 
@@ -319,12 +346,11 @@ def _possible(percent: int):
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("bits", "pbits"))
-            n, m = batch.column("n").to_numpy(), batch.column("pn").to_numpy()
-            ok = pa.array(may_link(most_overlap(a, n, b, m), n, m, percent))
-            yield pa.RecordBatch.from_arrays([batch.column("id").filter(ok), batch.column("pivot").filter(ok)], ["id", "pivot"])
+            ok = np.zeros(batch.num_rows, bool)
+            for k, (a, n, b, m) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("bits", "n", "pbits", "pn")))):
+                words = min(len(a), len(b)) // 8
+                ok[k] = may_link(most_overlap(folded(np.frombuffer(a, np.uint64), words), n, folded(np.frombuffer(b, np.uint64), words), m), n, m, percent)
+            yield pa.RecordBatch.from_arrays([batch.column("id").filter(pa.array(ok)), batch.column("pivot").filter(pa.array(ok))], ["id", "pivot"])
 
     return run
 
@@ -379,7 +405,10 @@ def _tree_stage(members: DataFrame, classes: DataFrame, listed: DataFrame, base:
     maybe = written(sides.join(listed, "id").groupBy("task").applyInArrow(_tree_filter(percent), "task long, side int, id long, comp long"), "maybe")
     if maybe.isEmpty():
         return None
-    sets = written(_sets_of(base, maybe.select("id").distinct(), words), "sets")
+    # Shingles of one passage give many lists that leave the same rows over: each such set of rows is compared once.
+    left = maybe.groupBy("task").agg(F.sort_array(F.collect_list(F.struct("side", "id", "comp"))).alias("rows")).select("rows").distinct()
+    left = written(left.select(F.monotonically_increasing_id().alias("task"), F.explode("rows").alias("r")).select("task", "r.*"), "left")
+    sets = written(_sets_of(base, left.select("id").distinct(), words), "sets")
     release(maybe.sparkSession)
 
     def run(table: pa.Table) -> pa.Table:
@@ -388,7 +417,7 @@ def _tree_stage(members: DataFrame, classes: DataFrame, listed: DataFrame, base:
         links = tree_links(*both[0], other=both[1] if part[1].num_rows else None, percent=percent)
         return pa.table({"u": pa.array([x for x, _ in links], pa.int64()), "v": pa.array([y for _, y in links], pa.int64())})
 
-    return written(maybe.join(sets, "id").groupBy("task").applyInArrow(run, "u long, v long"), "tree-links")
+    return written(left.join(sets, "id").groupBy("task").applyInArrow(run, "u long, v long"), "tree-links")
 
 
 def _tree_filter(percent: int):
@@ -397,14 +426,11 @@ def _tree_filter(percent: int):
     def run(table: pa.Table) -> pa.Table:
         side, comp = table.column("side").to_numpy(), table.column("comp").to_numpy()
         sizes = table.column("n").to_numpy()
-        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(side), -1)
+        bits = [np.frombuffer(x, np.uint64) for x in table.column("bits").to_pylist()]
         place = [np.flatnonzero(side == s) for s in (0, 1)]
-        a = SignatureTree(sizes[place[0]], bits[place[0]])
-        two = len(place[1]) > 0
-        b = SignatureTree(sizes[place[1]], bits[place[1]]) if two else a
-        other = place[1] if two else place[0]
+        other = place[1] if len(place[1]) else place[0]
         keep = np.zeros(len(side), bool)
-        for i, rows in dual_traverse(a, b, percent):
+        for i, rows in possible_pairs(sizes[place[0]], [bits[k] for k in place[0]], sizes[other], [bits[k] for k in other], percent):
             mine, theirs = place[0][i], other[rows]
             theirs = theirs[comp[theirs] != comp[mine]]
             if len(theirs):
