@@ -1,6 +1,381 @@
-"""Registered queries of the trajectory engine."""
+"""Registered queries of the trajectory engine, over trajectories derived from ``events``, and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import geo
+from .functions.values import joined, object_ids, stamp
+from .operators import preprocess, recurrence, simplify, windows
+from .operators.dbscan import core_points
+from .operators.joins import assign_windows, near_pairs, trajectory_pairs
+from .plans import convoys
+from .sources.points import FIXTURE_SQL, centroids, events_fixture, numbered, routes
+
+#: Parameters of the fixture: objects, snapshots, distance, simplification, times of a window, grid cell.
+M, K, EPS, DELTA, SIZE, CELL = 3, 3, 60.0, 30.0, 4, 250.0
+#: The fixture's plane laid on the globe.
+GEO_SQL = "SELECT id, time, 116.4 + x / 85000.0 AS x, 39.9 + y / 111000.0 AS y FROM traj"
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events_fixture(spark, sf_dir)
+
+
+def _geo(spark, sf_dir) -> DataFrame:
+    return _points(spark, sf_dir).select("id", "time", (116.4 + F.col("x") / 85000.0).alias("x"), (39.9 + F.col("y") / 111000.0).alias("y"))
+
+
+def _raw(spark, sf_dir) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select(F.col("user_id").alias("id"), F.col("ts").cast("timestamp").alias("time"), ((F.col("user_id") % 5) * 400.0 + F.col("value")).alias("x"), F.regexp_extract("props", "([0-9]+)", 1).cast("double").alias("y"))
+
+
+def _members(spark, sf_dir):
+    return convoys.snapshot_members(_points(spark, sf_dir), EPS, M)
+
+
+def _segments(spark, sf_dir):
+    return simplify.segments(_points(spark, sf_dir))
+
+
+def _windows_of(spark, sf_dir):
+    return windows.lambda_windows(_points(spark, sf_dir), SIZE)
+
+
+def _convoy_rows(df: DataFrame) -> DataFrame:
+    return df.select(joined(F.col("objects")).alias("objects"), stamp(F.col("start_time")).alias("start_time"), stamp(F.col("end_time")).alias("end_time"), F.col("lifetime_points").cast("long").alias("lifetime_points"))
+
+
+def coord_filter_window(s, d):
+    df = preprocess.in_window(preprocess.valid_points(_points(s, d), 400.0, 30.0), F.to_timestamp(F.lit("2024-01-05")), F.to_timestamp(F.lit("2024-01-20")))
+    return df.select("id", stamp(F.col("time")).alias("time"), "x", "y")
+
+
+def bin_dedupe_10min(s, d):
+    return preprocess.bin_and_dedupe(_raw(s, d)).select("id", stamp(F.col("time")).alias("time"), "x", "y")
+
+
+def trajectory_stats(s, d):
+    return preprocess.trajectory_stats(_points(s, d)).select("id", "n_points", "n_times", stamp(F.col("first_time")).alias("first_time"), stamp(F.col("last_time")).alias("last_time"), F.round("mean_x", 6).alias("mean_x"), F.round("mean_y", 6).alias("mean_y"))
+
+
+def local_projection(s, d):
+    return preprocess.local_projection(_geo(s, d)).select("id", stamp(F.col("time")).alias("time"), F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+
+
+def haversine_consecutive(s, d):
+    g = simplify.segments(_geo(s, d))
+    return g.select("id", stamp(F.col("t0")).alias("t0"), F.round(geo.haversine(*map(F.col, ("x0", "y0", "x1", "y1"))), 3).alias("meters"))
+
+
+def stay_points(s, d):
+    return preprocess.remove_stay_points(_points(s, d), 100.0, 1440.0, planar=True).select("id", stamp(F.col("time")).alias("time"), "x", "y")
+
+
+def _spans(s, d):
+    p = _points(s, d)
+    return p.groupBy("id").agg(F.min("time").alias("start_time"), F.max("time").alias("end_time")).select(F.lit(0).alias("track"), "id", "start_time", "end_time")
+
+
+def _grid_rows(df):
+    return df.select("id", stamp(F.col("time")).alias("time"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+def time_grid_interpolate(s, d):
+    return _grid_rows(windows.interpolate(_points(s, d), _spans(s, d), "12 hours"))
+
+
+def interpolate_asof_window(s, d):
+    spans = _points(s, d).select("id").distinct().select(F.lit(0).alias("track"), "id", F.to_timestamp(F.lit("2024-01-10")).alias("start_time"), F.to_timestamp(F.lit("2024-01-14")).alias("end_time"))
+    return _grid_rows(windows.interpolate(_points(s, d), spans, "1 day", reach_out=True))
+
+
+def lambda_windows(s, d):
+    return _windows_of(s, d).select(F.col("p").cast("long").alias("p"), stamp(F.col("p_start")).alias("p_start"), stamp(F.col("p_end")).alias("p_end"))
+
+
+def _dp(line):
+    def run(s, d):
+        return simplify.simplify(_points(s, d), DELTA, line).where("kept").select("id", stamp(F.col("time")).alias("time"), "x", "y")
+
+    return run
+
+
+def dp_segments_tolerance(s, d):
+    g = simplify.segments(simplify.simplify(_points(s, d), DELTA))
+    return g.select("id", stamp(F.col("t0")).alias("t0"), stamp(F.col("t1")).alias("t1"), F.round("tolerance", 6).alias("tolerance"))
+
+
+def dp_reduction_stats(s, d):
+    return simplify.simplification_stats(simplify.simplify(_points(s, d), DELTA)).withColumn("reduction_percent", F.round("reduction_percent", 6))
+
+
+def segment_partition_join(s, d):
+    return assign_windows(_segments(s, d), _windows_of(s, d)).select("id", stamp(F.col("t0")).alias("t0"), F.col("p").cast("long").alias("p"))
+
+
+def _segment_pairs(s, d):
+    """Each object's segments with its next one but one."""
+    from pyspark.sql import Window
+
+    names = ("x0", "y0", "x1", "y1")
+    w = Window.partitionBy("id").orderBy("t0")
+    return _segments(s, d).select("id", "t0", *names, *(F.lead(c, 2).over(w).alias(f"n{c}") for c in names)).where("nx0 is not null")
+
+
+_EIGHT = ("x0", "y0", "x1", "y1", "nx0", "ny0", "nx1", "ny1")
+
+
+def point_segment_distance(s, d):
+    return _segment_pairs(s, d).select("id", stamp(F.col("t0")).alias("t0"), F.round(geo.point_segment(*map(F.col, ("nx0", "ny0", "x0", "y0", "x1", "y1"))), 6).alias("d"), F.round(geo.point_line(*map(F.col, ("nx0", "ny0", "x0", "y0", "x1", "y1"))), 6).alias("d_line"))
+
+
+def segments_intersect(s, d):
+    return _segment_pairs(s, d).select("id", stamp(F.col("t0")).alias("t0"), geo.segments_intersect(*map(F.col, _EIGHT)).alias("meets"))
+
+
+def segment_distance(s, d):
+    return _segment_pairs(s, d).select("id", stamp(F.col("t0")).alias("t0"), F.round(geo.segment_segment(*map(F.col, _EIGHT)), 6).alias("d"))
+
+
+def _traj_pairs(lemma):
+    def run(s, d):
+        segs = simplify.segments(simplify.simplify(_points(s, d), DELTA))
+        return trajectory_pairs(assign_windows(segs, _windows_of(s, d)), EPS, CELL, lemma).select(F.col("p").cast("long").alias("p"), "a", "b")
+
+    return run
+
+
+def segment_pair_edges_endpoint(s, d):
+    """Unsimplified segments of a day whose distance is at most EPS, by the same grid join."""
+    segs = _segments(s, d).withColumnsRenamed({"t0": "p"}).withColumn("t0", F.col("p"))
+    return trajectory_pairs(segs, EPS, CELL).select(stamp(F.col("p")).alias("t0"), "a", "b")
+
+
+def eps_neighbor_pairs(s, d):
+    return near_pairs(_points(s, d), EPS).select(stamp(F.col("time")).alias("time"), "a", "b")
+
+
+def eps_neighbor_pairs_haversine(s, d):
+    return near_pairs(_geo(s, d), EPS, geographic=True).select(stamp(F.col("time")).alias("time"), "a", "b")
+
+
+def dbscan_core_border(s, d):
+    return core_points(near_pairs(_points(s, d), EPS), M).select(stamp(F.col("time")).alias("time"), "id", "neighbours", "core")
+
+
+def snapshot_clusters(s, d):
+    return _members(s, d).select(stamp(F.col("time")).alias("time"), "label", "id")
+
+
+def traj_clusters(s, d):
+    return convoys.partition_clusters(_points(s, d), M, EPS, DELTA, SIZE, CELL)[1].select(F.col("p").cast("long").alias("p"), "label", "id")
+
+
+def cmc_convoys(s, d):
+    return _convoy_rows(convoys.cmc(_points(s, d), M, K, EPS))
+
+
+def _candidates(s, d):
+    return convoys.cuts_filter(_points(s, d), M, K, EPS, DELTA, SIZE, CELL)
+
+
+def cuts_candidates(s, d):
+    return _convoy_rows(_candidates(s, d))
+
+
+def cuts_convoys(s, d):
+    return _convoy_rows(convoys.cuts(_points(s, d), M, K, EPS, DELTA, SIZE, CELL, "1 day"))
+
+
+def cuts_filter_log(s, d):
+    log = convoys.filter_log(_points(s, d), M, EPS, DELTA, SIZE, CELL)
+    return log.select("p", stamp(F.col("p_start")).alias("p_start"), stamp(F.col("p_end")).alias("p_end"), "objects_in_partition", "filter_clusters")
+
+
+def cmc_vs_cuts_coverage(s, d):
+    found = recurrence.coverage(convoys.cmc(_points(s, d), M, K, EPS), _candidates(s, d))
+    return found.groupBy("covered").agg(F.count(F.lit(1)).alias("n_convoys"))
+
+
+def _numbered(s, d):
+    return recurrence.numbered_members(_members(s, d))
+
+
+def recurrent_clusters_rci(s, d):
+    return recurrence.shared_members(_numbered(s, d), 3).select(F.col("earlier").cast("long").alias("earlier"), F.col("later").cast("long").alias("later"), "shared")
+
+
+def _boxes(s, d):
+    return recurrence.box_overlaps(recurrence.cluster_boxes(_numbered(s, d), _points(s, d)))
+
+
+def cluster_bbox_overlap(s, d):
+    return _boxes(s, d).select(F.col("earlier").cast("long").alias("earlier"), F.col("later").cast("long").alias("later"))
+
+
+def cluster_hausdorff(s, d):
+    h = recurrence.hausdorff(_boxes(s, d), _numbered(s, d), _points(s, d))
+    return h.select(F.col("earlier").cast("long").alias("earlier"), F.col("later").cast("long").alias("later"), F.round("hausdorff", 6).alias("hausdorff"))
+
+
+def tau_sweep(s, d):
+    pairs = recurrence.shared_members(_numbered(s, d), 2)
+    return pairs.withColumn("tau", F.explode(F.array(*map(F.lit, (2, 3, 4, 5))))).where("shared >= tau").groupBy("tau").agg(F.count(F.lit(1)).alias("n_pairs")).select(F.col("tau").cast("long").alias("tau"), "n_pairs")
+
+
+def parse_object_ids(s, d):
+    e = s.read.parquet(f"{d}/events.parquet")
+    return e.select("event_id", joined(object_ids(F.concat_ws(" ", F.lit("{np.int64("), "user_id", "props", F.lit("), 7}")))).alias("ids"))
+
+
+def convoy_summary_numbered(s, d):
+    n = numbered(convoys.cmc(_points(s, d), M, K, EPS))
+    return n.select(F.col("convoy_id").cast("long").alias("convoy_id"), F.col("object_count").cast("long").alias("object_count"), "objects", stamp(F.col("start_time")).alias("start_time"), stamp(F.col("end_time")).alias("end_time"), F.col("lifetime_points").cast("long").alias("lifetime_points"), F.col("lifetime_minutes").cast("long").alias("lifetime_minutes"))
+
+
+def _identified(s, d):
+    n = numbered(convoys.cmc(_points(s, d), M, K, EPS))
+    return n.select("convoy_id", object_ids(F.col("objects")).alias("objects"), "start_time", "end_time")
+
+
+def convoy_routes(s, d):
+    return routes(_points(s, d), _identified(s, d)).select(F.col("convoy_id").cast("long").alias("convoy_id"), "id", stamp(F.col("time")).alias("time"), "x", "y")
+
+
+def convoy_centroids(s, d):
+    c = centroids(_points(s, d), _identified(s, d))
+    return c.select(F.col("convoy_id").cast("long").alias("convoy_id"), F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"), "n_points")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        coord_filter_window, bin_dedupe_10min, trajectory_stats, local_projection, haversine_consecutive, stay_points, time_grid_interpolate, interpolate_asof_window,
+        lambda_windows, dp_segments_tolerance, dp_reduction_stats, segment_partition_join, point_segment_distance, segments_intersect, segment_distance,
+        segment_pair_edges_endpoint, eps_neighbor_pairs, eps_neighbor_pairs_haversine, dbscan_core_border, snapshot_clusters, traj_clusters, cmc_convoys,
+        cuts_candidates, cuts_convoys, cuts_filter_log, cmc_vs_cuts_coverage, recurrent_clusters_rci, cluster_bbox_overlap, cluster_hausdorff, tau_sweep,
+        parse_object_ids, convoy_summary_numbered, convoy_routes, convoy_centroids,
+    )
+} | {"dp_keep_points": _dp(False), "dp_line_variant": _dp(True), "traj_pair_edges": _traj_pairs(False), "traj_pair_edges_pruned": _traj_pairs(True)}
+
+# --- SQL ----------------------------------------------------------------------
+
+_TRAJ = f"traj AS ({FIXTURE_SQL.format(events='events')})"
+_T = lambda c: f"strftime({c}, '%Y-%m-%d %H:%M:%S')"
+_EDGES = f"edges AS (SELECT a.time, a.id AS a, b.id AS b FROM traj a JOIN traj b ON a.time = b.time AND a.id < b.id AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= {EPS})"
+_CLUSTERS = f"""{_EDGES}, both_ways AS (SELECT time, a, b FROM edges UNION ALL SELECT time, b, a FROM edges),
+ deg AS (SELECT time, a AS id, count(*) + 1 AS neighbours FROM both_ways GROUP BY time, a),
+ core AS (SELECT time, id FROM deg WHERE neighbours >= {M}),
+ core_edges AS (SELECT e.* FROM both_ways e JOIN core c ON e.time = c.time AND e.a = c.id JOIN core d ON e.time = d.time AND e.b = d.id),
+ reach AS (SELECT time, id AS a, id AS b FROM core UNION SELECT r.time, r.a, e.b FROM reach r JOIN core_edges e ON r.time = e.time AND r.b = e.a),
+ labels AS (SELECT time, a AS id, min(b) AS label FROM reach GROUP BY time, a),
+ members AS (SELECT time, label, id FROM labels UNION ALL
+   SELECT e.time, min(l.label), e.a FROM both_ways e JOIN labels l ON e.time = l.time AND e.b = l.id
+   WHERE NOT EXISTS (SELECT 1 FROM core c WHERE c.time = e.time AND c.id = e.a) GROUP BY e.time, e.a)"""
+_FOLD = f"""sets AS (SELECT time, list_sort(list(DISTINCT id)) AS objs FROM members GROUP BY time, label),
+ steps AS (SELECT t.time, row_number() OVER (ORDER BY t.time) AS n, coalesce((SELECT list(s.objs ORDER BY s.objs) FROM sets s WHERE s.time = t.time), []) AS cs FROM (SELECT DISTINCT time FROM traj) t),
+ fold AS (
+   SELECT 0::BIGINT AS n, []::STRUCT(o BIGINT[], s TIMESTAMP, e TIMESTAMP, l BIGINT)[] AS act, []::STRUCT(o BIGINT[], s TIMESTAMP, e TIMESTAMP, l BIGINT)[] AS done
+   UNION ALL
+   SELECT st.n,
+     list_concat(flatten(list_transform(f.act, lambda v: list_transform(list_filter(st.cs, lambda c: len(list_intersect(v.o, c)) >= {M}), lambda c: struct_pack(o := list_sort(list_intersect(v.o, c)), s := v.s, e := st.time, l := v.l + 1)))),
+       list_transform(list_filter(st.cs, lambda c: len(list_filter(f.act, lambda v: len(list_intersect(v.o, c)) >= {M})) = 0), lambda c: struct_pack(o := c, s := st.time, e := st.time, l := 1::BIGINT))),
+     list_concat(f.done, list_filter(f.act, lambda v: v.l >= {K} AND len(list_filter(st.cs, lambda c: len(list_intersect(v.o, c)) >= {M})) = 0))
+   FROM fold f JOIN steps st ON st.n = f.n + 1),
+ final AS (SELECT unnest(list_concat(done, list_filter(act, lambda v: v.l >= {K}))) AS v FROM fold ORDER BY n DESC LIMIT 1),
+ last_fold AS (SELECT list_concat(done, list_filter(act, lambda v: v.l >= {K})) AS vs FROM fold WHERE n = (SELECT max(n) FROM fold)),
+ convoys AS (SELECT v.o AS o, array_to_string(v.o, ',') AS objects, v.s AS s, v.e AS e, v.l AS l FROM (SELECT unnest(vs) AS v FROM last_fold))"""
+_FOLD = _FOLD.replace(f"""\n final AS (SELECT unnest(list_concat(done, list_filter(act, lambda v: v.l >= {K}))) AS v FROM fold ORDER BY n DESC LIMIT 1),""", "")
+_SEGS = "segs AS (SELECT * FROM (SELECT id, time AS t0, lead(time) OVER w AS t1, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM traj WINDOW w AS (PARTITION BY id ORDER BY time)) WHERE t1 IS NOT NULL)"
+_PAIRS = f"{_SEGS}, pairs AS (SELECT * FROM (SELECT id, t0, x0, y0, x1, y1, lead(x0, 2) OVER w AS nx0, lead(y0, 2) OVER w AS ny0, lead(x1, 2) OVER w AS nx1, lead(y1, 2) OVER w AS ny1 FROM segs WINDOW w AS (PARTITION BY id ORDER BY t0)) WHERE nx0 IS NOT NULL)"
+_WINDOWS = f"""nth AS (SELECT time, row_number() OVER (ORDER BY time) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT time FROM traj)),
+ wins AS (SELECT a.i // {SIZE - 1} AS p, a.time AS p_start, b.time AS p_end FROM nth a JOIN nth b ON b.i = least(a.i + {SIZE - 1}, a.n - 1) WHERE a.i % {SIZE - 1} = 0 AND (a.i < a.n - 1 OR a.n = 1))"""
+
+
+def _hyp(ax, ay, bx, by):
+    return f"sqrt(({ax} - {bx}) * ({ax} - {bx}) + ({ay} - {by}) * ({ay} - {by}))"
+
+
+def _ps(px, py, ax, ay, bx, by):
+    size = f"(({bx} - {ax}) * ({bx} - {ax}) + ({by} - {ay}) * ({by} - {ay}))"
+    t = f"greatest(0.0, least(1.0, (({px} - {ax}) * ({bx} - {ax}) + ({py} - {ay}) * ({by} - {ay})) / {size}))"
+    return f"CASE WHEN {size} = 0 THEN {_hyp(px, py, ax, ay)} ELSE {_hyp(px, py, f'({ax} + {t} * ({bx} - {ax}))', f'({ay} + {t} * ({by} - {ay}))')} END"
+
+
+def _o(ax, ay, bx, by, cx, cy):
+    return f"(({bx} - {ax}) * ({cy} - {ay}) - ({by} - {ay}) * ({cx} - {ax}))"
+
+
+def _on(ax, ay, bx, by, px, py):
+    return f"({px} >= least({ax}, {bx}) - 1e-12 AND {px} <= greatest({ax}, {bx}) + 1e-12 AND {py} >= least({ay}, {by}) - 1e-12 AND {py} <= greatest({ay}, {by}) + 1e-12)"
+
+
+def _meets(a, b):
+    (ax, ay, bx, by), (cx, cy, dx, dy) = a, b
+    o = _o(ax, ay, bx, by, cx, cy), _o(ax, ay, bx, by, dx, dy), _o(cx, cy, dx, dy, ax, ay), _o(cx, cy, dx, dy, bx, by)
+    on = _on(ax, ay, bx, by, cx, cy), _on(ax, ay, bx, by, dx, dy), _on(cx, cy, dx, dy, ax, ay), _on(cx, cy, dx, dy, bx, by)
+    return f"({o[0]} * {o[1]} < 0 AND {o[2]} * {o[3]} < 0) OR " + " OR ".join(f"(abs({x}) < 1e-12 AND {y})" for x, y in zip(o, on))
+
+
+def _ss(a, b):
+    ends = ", ".join((_ps(*a[:2], *b), _ps(*a[2:], *b), _ps(*b[:2], *a), _ps(*b[2:], *a)))
+    return f"CASE WHEN {_meets(a, b)} THEN 0.0 ELSE least({ends}) END"
+
+
+_A, _B = ("x0", "y0", "x1", "y1"), ("nx0", "ny0", "nx1", "ny1")
+_NUMBERED = "numbered AS (SELECT DISTINCT time, label, id, dense_rank() OVER (ORDER BY time, label) AS seq FROM members)"
+_BOXES = "spots AS (SELECT n.seq, n.id, t.x, t.y FROM numbered n JOIN traj t ON n.time = t.time AND n.id = t.id), boxes AS (SELECT seq, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM spots GROUP BY seq), meets AS (SELECT a.seq AS earlier, b.seq AS later FROM boxes a JOIN boxes b ON a.seq < b.seq AND a.lx <= b.hx AND b.lx <= a.hx AND a.ly <= b.hy AND b.ly <= a.hy)"
+_SHARED = "shared AS (SELECT a.seq AS earlier, b.seq AS later, count(*) AS shared FROM numbered a JOIN numbered b ON a.id = b.id AND a.seq < b.seq GROUP BY ALL)"
+_CONVOY_NO = f"no AS (SELECT row_number() OVER (ORDER BY s, len(o) DESC, objects, e) AS convoy_id, * FROM convoys)"
+_ROUTES = "routes AS (SELECT c.convoy_id, t.id, t.time, t.x, t.y FROM (SELECT convoy_id, s, e, unnest(o) AS id FROM no) c JOIN traj t ON t.id = c.id AND t.time BETWEEN c.s AND c.e)"
+_HAV = "2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians({y1} - {y0}) / 2), 2) + cos(radians({y0})) * cos(radians({y1})) * pow(sin(radians({x1} - {x0}) / 2), 2))))"
+_BIN = "make_timestamp(CAST(round_even(epoch_us(time) / 600000000.0, 0) AS BIGINT) * 600000000)"
+
+
+def _interp(known: str, grid: str) -> str:
+    return f"""known AS ({known}), grid AS ({grid}),
+ allt AS (SELECT id, time, max(x) AS x, max(y) AS y, bool_or(g) AS g FROM (SELECT id, time, x, y, false AS g FROM known UNION ALL SELECT id, time, NULL, NULL, true FROM grid) GROUP BY id, time),
+ nb AS (SELECT *, last_value(CASE WHEN x IS NOT NULL THEN struct_pack(t := time, x := x, y := y) END IGNORE NULLS) OVER (PARTITION BY id ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lo,
+   first_value(CASE WHEN x IS NOT NULL THEN struct_pack(t := time, x := x, y := y) END IGNORE NULLS) OVER (PARTITION BY id ORDER BY time ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS hi FROM allt),
+ part AS (SELECT *, CASE WHEN lo.t = hi.t THEN 0.0 ELSE (epoch_us(time) - epoch_us(lo.t)) / (epoch_us(hi.t) - epoch_us(lo.t)) END AS f FROM nb WHERE g AND lo IS NOT NULL AND hi IS NOT NULL)
+ SELECT id, {_T('time')} AS time, round(lo.x + (hi.x - lo.x) * f, 6) AS x, round(lo.y + (hi.y - lo.y) * f, 6) AS y FROM part"""
+
+
+_REC = "WITH RECURSIVE " + _TRAJ + ", "
+ORACLE_SQL = {
+    "coord_filter_window": f"WITH {_TRAJ} SELECT id, {_T('time')} AS time, x, y FROM traj WHERE x > 400 AND y > 30 AND time BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20'",
+    "bin_dedupe_10min": f"""WITH raw AS (SELECT user_id AS id, CAST(ts AS TIMESTAMP) AS time, (user_id % 5) * 400.0 + value AS x, CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) AS y FROM events),
+        b AS (SELECT *, {_BIN} AS bin FROM raw), r AS (SELECT *, row_number() OVER (PARTITION BY id, bin ORDER BY time, x, y) AS rn FROM b)
+        SELECT id, {_T('bin')} AS time, x, y FROM r WHERE rn = 1""",
+    "trajectory_stats": f"WITH {_TRAJ} SELECT id, count(*) AS n_points, count(DISTINCT time) AS n_times, {_T('min(time)')} AS first_time, {_T('max(time)')} AS last_time, round(avg(x), 6) AS mean_x, round(avg(y), 6) AS mean_y FROM traj GROUP BY id",
+    "local_projection": f"WITH {_TRAJ}, g AS ({GEO_SQL}), m AS (SELECT avg(x) AS x0, avg(y) AS y0 FROM g) SELECT id, {_T('time')} AS time, round((x - x0) * 111320.0 * cos(radians(y0)), 3) AS x, round((y - y0) * 111320.0, 3) AS y FROM g, m",
+    "haversine_consecutive": f"WITH {_TRAJ.replace('traj AS', 'traj0 AS')}, traj AS ({GEO_SQL.replace('FROM traj', 'FROM traj0')}), {_SEGS} SELECT id, {_T('t0')} AS t0, round({_HAV.format(x0='x0', y0='y0', x1='x1', y1='y1')}, 3) AS meters FROM segs",
+    "time_grid_interpolate": f"WITH {_TRAJ}, " + _interp("SELECT id, time, x, y FROM traj", "SELECT id, unnest(generate_series(min(time), max(time), INTERVAL 12 HOURS)) AS time FROM traj GROUP BY id"),
+    "interpolate_asof_window": f"WITH {_TRAJ}, s AS (SELECT id, max(time) FILTER (time < TIMESTAMP '2024-01-10') AS b, min(time) FILTER (time > TIMESTAMP '2024-01-14') AS a FROM traj GROUP BY id), "
+    + _interp("SELECT t.id, t.time, t.x, t.y FROM traj t JOIN s ON t.id = s.id WHERE t.time BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-14' OR t.time = s.b OR t.time = s.a", "SELECT DISTINCT id, unnest(generate_series(TIMESTAMP '2024-01-10', TIMESTAMP '2024-01-14', INTERVAL 1 DAY)) AS time FROM traj"),
+    "lambda_windows": f"WITH {_TRAJ}, {_WINDOWS} SELECT CAST(p AS BIGINT) AS p, {_T('p_start')} AS p_start, {_T('p_end')} AS p_end FROM wins",
+    "segment_partition_join": f"WITH {_TRAJ}, {_SEGS}, {_WINDOWS} SELECT id, {_T('t0')} AS t0, CAST(p AS BIGINT) AS p FROM segs JOIN wins ON t1 >= p_start AND t0 <= p_end",
+    "point_segment_distance": f"WITH {_TRAJ}, {_PAIRS} SELECT id, {_T('t0')} AS t0, round({_ps('nx0', 'ny0', *_A)}, 6) AS d, round(CASE WHEN {_hyp(*_A)} = 0 THEN {_hyp('nx0', 'ny0', 'x0', 'y0')} ELSE abs((x1 - x0) * (y0 - ny0) - (x0 - nx0) * (y1 - y0)) / {_hyp(*_A)} END, 6) AS d_line FROM pairs",
+    "segments_intersect": f"WITH {_TRAJ}, {_PAIRS} SELECT id, {_T('t0')} AS t0, ({_meets(_A, _B)}) AS meets FROM pairs",
+    "segment_distance": f"WITH {_TRAJ}, {_PAIRS} SELECT id, {_T('t0')} AS t0, round({_ss(_A, _B)}, 6) AS d FROM pairs",
+    "segment_pair_edges_endpoint": f"WITH {_TRAJ}, {_SEGS} SELECT DISTINCT {_T('a.t0')} AS t0, a.id AS a, b.id AS b FROM segs a JOIN segs b ON a.t0 = b.t0 AND a.id < b.id WHERE {_ss(tuple('a.' + c for c in _A), tuple('b.' + c for c in _A))} <= {EPS}",
+    "eps_neighbor_pairs": f"WITH {_TRAJ}, {_EDGES} SELECT {_T('time')} AS time, a, b FROM edges",
+    "eps_neighbor_pairs_haversine": f"WITH {_TRAJ}, g AS ({GEO_SQL}) SELECT {_T('a.time')} AS time, a.id AS a, b.id AS b FROM g a JOIN g b ON a.time = b.time AND a.id < b.id WHERE {_HAV.format(x0='a.x', y0='a.y', x1='b.x', y1='b.y')} <= {EPS}",
+    "dbscan_core_border": f"{_REC}{_CLUSTERS} SELECT {_T('time')} AS time, id, neighbours, neighbours >= {M} AS core FROM deg",
+    "snapshot_clusters": f"{_REC}{_CLUSTERS} SELECT {_T('time')} AS time, label, id FROM members",
+    "cmc_convoys": f"{_REC}{_CLUSTERS}, {_FOLD} SELECT objects, {_T('s')} AS start_time, {_T('e')} AS end_time, l AS lifetime_points FROM convoys",
+    "convoy_summary_numbered": f"{_REC}{_CLUSTERS}, {_FOLD}, {_CONVOY_NO} SELECT convoy_id, len(o) AS object_count, objects, {_T('s')} AS start_time, {_T('e')} AS end_time, l AS lifetime_points, l * 10 AS lifetime_minutes FROM no",
+    "convoy_routes": f"{_REC}{_CLUSTERS}, {_FOLD}, {_CONVOY_NO}, {_ROUTES} SELECT convoy_id, id, {_T('time')} AS time, x, y FROM routes",
+    "convoy_centroids": f"{_REC}{_CLUSTERS}, {_FOLD}, {_CONVOY_NO}, {_ROUTES} SELECT convoy_id, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, count(*) AS n_points FROM routes GROUP BY convoy_id",
+    "recurrent_clusters_rci": f"{_REC}{_CLUSTERS}, {_NUMBERED}, {_SHARED} SELECT earlier, later, shared FROM shared WHERE shared >= 3",
+    "tau_sweep": f"{_REC}{_CLUSTERS}, {_NUMBERED}, {_SHARED} SELECT CAST(tau AS BIGINT) AS tau, count(*) AS n_pairs FROM shared, (SELECT unnest([2, 3, 4, 5]) AS tau) WHERE shared >= tau GROUP BY tau",
+    "cluster_bbox_overlap": f"{_REC}{_CLUSTERS}, {_NUMBERED}, {_BOXES} SELECT earlier, later FROM meets",
+    "cluster_hausdorff": f"""{_REC}{_CLUSTERS}, {_NUMBERED}, {_BOXES}, d AS (SELECT m.earlier, m.later, a.id AS ai, b.id AS bi, {_hyp('a.x', 'a.y', 'b.x', 'b.y')} AS d FROM meets m JOIN spots a ON a.seq = m.earlier JOIN spots b ON b.seq = m.later)
+        SELECT earlier, later, round(max(d), 6) AS hausdorff FROM (SELECT earlier, later, min(d) AS d FROM d GROUP BY earlier, later, ai UNION ALL SELECT earlier, later, min(d) FROM d GROUP BY earlier, later, bi) GROUP BY earlier, later""",
+    "parse_object_ids": """WITH m AS (SELECT event_id, regexp_extract_all('{np.int64( ' || user_id || ' ' || props || ' ), 7}', '([-+]?[0-9]+)', 1) AS l FROM events),
+        u AS (SELECT event_id, CAST(unnest(l) AS BIGINT) AS v, unnest(range(len(l))) AS i FROM m), f AS (SELECT event_id, v, min(i) AS i FROM u GROUP BY event_id, v)
+        SELECT event_id, string_agg(CAST(v AS VARCHAR), ',' ORDER BY i) AS ids FROM f GROUP BY event_id""",
+}
