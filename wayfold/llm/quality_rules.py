@@ -22,6 +22,8 @@ MIN_WORDS, MIN_CHARS = 60, 300
 CLASS_LIMIT, WORD_LIMIT = 0.30, 0.48
 #: Counts that one task holds before small ones are dropped (see _candidates).
 HELD = 1_000_000
+#: Tasks that add up the partitions' counts before the driver does.
+SUM_TASKS = 16
 
 _CLASS = np.full(256, -1, np.int8)
 _CLASS[33:127] = 5
@@ -44,6 +46,8 @@ def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def _repeats(rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order by (row, hash), and for each place in it whether it equals the place before, and the one after."""
     order = np.lexsort((hashes, rows))
+    if not len(order):
+        return order, np.zeros(0, bool), np.zeros(0, bool)
     same = (rows[order][1:] == rows[order][:-1]) & (hashes[order][1:] == hashes[order][:-1])
     return order, np.concatenate(([False], same)), np.concatenate((same, [False]))
 
@@ -121,7 +125,7 @@ def _candidates(batches):
 
 
 def _exact(keys: np.ndarray):
-    """Exact counts, per language, of the given words, of all words (key 0 of kind 1) and of the classes (kind 2)."""
+    """Exact counts, per language, of the given words, then of all words, then of the classes: one row per language and task."""
 
     def run(batches):
         total: dict = {}
@@ -139,11 +143,25 @@ def _exact(keys: np.ndarray):
                     now = np.concatenate((np.bincount(place[mine & known], minlength=len(keys)), [mine.sum()], classes[code == k].sum(0)))
                     total[lang] = total.get(lang, 0) + now
         for lang, sums in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(sums), pa.string()), pa.array(np.arange(len(sums), dtype=np.int64)), pa.array(np.asarray(sums, np.int64))], ["lang", "slot", "n"])
+            yield _counts_row(lang, sums)
 
     return run
 
 
+def _counts_row(lang: str, sums: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([np.asarray(sums, np.int64)], pa.list_(pa.int64()))], ["lang", "counts"])
+
+
+def _sum_counts(batches):
+    """Sums of the rows of a task, one row per language at a time in memory."""
+    total: dict = {}
+    for batch in batches:
+        for lang, counts in zip(batch.column("lang").to_pylist(), batch.column("counts")):
+            total[lang] = total.get(lang, 0) + counts.values.to_numpy()
+    for lang, sums in total.items():
+        yield _counts_row(lang, sums)
+
+
 def language_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict:
     """Histograms of each language over all rows: exact counts of its common words and of the character classes.
 
@@ -154,13 +172,12 @@ def language_references(docs: DataFrame, text_col: str = "text", lang_col: str =
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     found = rows.mapInArrow(_candidates, "lang string, word long").select("word").distinct().toPandas()["word"].to_numpy()
     keys = np.sort(found.astype(np.int64).view(np.uint64))
-    counted = rows.mapInArrow(_exact(keys), "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
+    each = rows.mapInArrow(_exact(keys), "lang string, counts array<long>")
+    summed = each.repartition(SUM_TASKS).mapInArrow(_sum_counts, "lang string, counts array<long>").toPandas()  # SUM_TASKS rows per language
     table: dict[str, np.ndarray] = {}
-    for lang, part in counted.groupby("lang"):
-        sums = np.zeros(len(keys) + 1 + CLASSES)
-        sums[part["slot"].to_numpy()] = part["n"].to_numpy()
-        if lang and sums[len(keys)] and sums[len(keys) + 1 :].sum():
-            table[lang] = sums
+    for lang, counts in zip(summed["lang"], summed["counts"]):
+        table[lang] = table.get(lang, 0) + np.asarray(counts, np.float64)
+    table = {lang: sums for lang, sums in table.items() if lang and sums[len(keys)] and sums[len(keys) + 1 :].sum()}
     langs = sorted(table)
     chosen: set[int] = set()
     for lang in langs:
