@@ -60,11 +60,11 @@ def read_convoys(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_points(df: DataFrame, path: str) -> None:
-    df.select("id", "time", "x", "y").write.mode("overwrite").csv(path, header=True)
+    df.select("id", "time", "x", "y").write.mode("overwrite").csv(path, header=True, timestampFormat="yyyy-MM-dd HH:mm:ss")
 
 
 def write_convoys(convoys: DataFrame, path: str) -> None:
-    convoys.withColumn("objects", joined(F.col("objects"))).write.mode("overwrite").csv(path, header=True)
+    convoys.withColumn("objects", joined(F.col("objects"))).write.mode("overwrite").csv(path, header=True, timestampFormat="yyyy-MM-dd HH:mm:ss")
 
 
 def numbered(convoys: DataFrame) -> DataFrame:
