@@ -62,16 +62,20 @@ def learn_contexts(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Keys and vectors of the most frequent words: normalised sums of the index vectors around them, plus their own."""
     keys, back, counts = np.unique(h, return_inverse=True, return_counts=True)
     row = T.row_of(at)
-    near = np.zeros((len(keys), DIM), np.float32)
+    top = np.sort(np.lexsort((keys, -counts))[:VOCABULARY])
+    place = np.full(len(keys), -1, np.int32)
+    place[top] = np.arange(len(top))
     index = index_vectors(keys)
+    near = np.zeros((len(top), DIM))
     for gap in range(1, WINDOW + 1):
         same = row[gap:] == row[:-gap]
-        a, b = back[gap:][same], back[:-gap][same]
-        for j in range(DIM):
-            near[:, j] += np.bincount(a, index[b, j], len(keys)) + np.bincount(b, index[a, j], len(keys))
-    own = near / np.maximum(np.linalg.norm(near, axis=1, keepdims=True), 1e-6) + index / np.sqrt(PLACES)
-    top = np.sort(np.lexsort((keys, -counts))[:VOCABULARY])
-    return keys[top], own[top].astype(np.float32)
+        for a, b in ((back[gap:], back[:-gap]), (back[:-gap], back[gap:])):
+            known = same & (place[a] >= 0)
+            word, beside = place[a[known]], b[known]
+            for j in range(DIM):
+                near[:, j] += np.bincount(word, index[beside, j], len(top))
+    own = near / np.maximum(np.linalg.norm(near, axis=1, keepdims=True), 1e-6) + index[top] / np.sqrt(PLACES)
+    return keys[top], own.astype(np.float32)
 
 
 def pooled(model: dict, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -104,12 +108,14 @@ def _network(x, net):
 def fit(texts: list[str], truth: np.ndarray, seed: int = 11) -> dict:
     """Word vectors, the network (Adam on four fifths of the rows) and its temperature (on the last fifth)."""
     truth = np.asarray(truth, float)
-    data, offsets = T.buffers(pa.array(texts, pa.string()))
-    h, at = tokens(data, offsets)
+    parts = [tokens(*T.buffers(column)) for _, column in T.pieces(texts)]
+    h = np.concatenate([x for x, _ in parts]) if parts else np.zeros(0, np.uint64)
+    at = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(x) for _, x in parts])))) if parts else np.zeros(1, np.int64)
     model: dict = {"keys": np.zeros(0, np.uint64), "vectors": np.zeros((0, DIM), np.float32), "temperature": 1.0}
     if len(h):
         model["keys"], model["vectors"] = learn_contexts(h, at)
-    x = pooled(model, data, offsets)
+    del parts, h
+    x = np.concatenate([pooled(model, *T.buffers(column)) for _, column in T.pieces(texts)]) if texts else np.zeros((0, DIM + 4))
     model["mean"], model["scale"] = (x.mean(0), x.std(0) + 1e-3) if len(x) else (np.zeros(DIM + 4), np.ones(DIM + 4))
     rng = np.random.default_rng(seed)
     net = {"w1": rng.normal(0, 0.3, (DIM + 4, HIDDEN)), "b1": np.zeros(HIDDEN), "w2": rng.normal(0, 0.3, HIDDEN), "b2": np.zeros(())}

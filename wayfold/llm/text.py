@@ -48,6 +48,18 @@ def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES
         start = stop
 
 
+def pieces(texts: list[str], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, pa.Array]]:
+    """Texts in arrays of about ``limit`` characters, each with the place of its first one."""
+    start = size = 0
+    for i, text in enumerate(texts):
+        if size and size + len(text) > limit:
+            yield start, pa.array(texts[start:i], pa.string())
+            start, size = i, 0
+        size += len(text)
+    if start < len(texts):
+        yield start, pa.array(texts[start:], pa.string())
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+``, and n + 1 offsets of the rows into them."""
     if not len(data):

@@ -86,19 +86,25 @@ def fit(texts: list[str], toxic: np.ndarray) -> dict:
     """Select terms by log odds, derive the categories, and fit the chain on out-of-fold probabilities."""
     toxic = np.asarray(toxic, float)
     n = len(texts)
-    data, offsets = T.buffers(pa.array(texts, pa.string()))
-    row, h = terms(data, offsets)
-    both = np.unique(np.stack((row.astype(np.uint64), h), 1), axis=0) if len(row) else np.zeros((0, 2), np.uint64)
-    keys, where = np.unique(both[:, 1], return_inverse=True)
-    mark = toxic[both[:, 0].astype(np.int64)] if len(both) else np.zeros(0)
-    bad, good = np.bincount(where, mark, len(keys)), np.bincount(where, 1 - mark, len(keys))
+    keys, bad, good = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
+    for first, column in T.pieces(texts):  # counts of one group of texts at a time
+        row, h = terms(*T.buffers(column))
+        _, one = np.unique(T.mixed(h + T.mixed(row.astype(np.uint64))), return_index=True)
+        some, where = np.unique(h[one], return_inverse=True)
+        mark = toxic[first + row[one]]
+        both, back = np.unique(np.concatenate((keys, some)), return_inverse=True)
+        bad = np.bincount(back, np.concatenate((bad, np.bincount(where, mark, len(some)))), len(both))
+        good = np.bincount(back, np.concatenate((good, np.bincount(where, 1 - mark, len(some)))), len(both))
+        keys = both
     odds = np.log((bad + 0.5) / (toxic.sum() + 1)) - np.log((good + 0.5) / (n - toxic.sum() + 1))
     telling = np.flatnonzero((bad >= MIN_DOCS) & (odds > 1.0))
     best = telling[np.lexsort((keys[telling], -odds[telling] * np.sqrt(bad[telling])))][:MAX_TERMS]
     order = np.sort(best)
     model = {"keys": keys[order], "categories": CATEGORIES, "chain": [], "sieve": np.zeros(65536, bool)}
     model["sieve"][(model["keys"] & np.uint64(0xFFFF)).astype(np.int64)] = True
-    rows, cols = features(model["keys"], model["sieve"], data, offsets)
+    found = [(first, *features(model["keys"], model["sieve"], *T.buffers(column))) for first, column in T.pieces(texts)]
+    rows = np.concatenate([first + r for first, r, _ in found]) if found else np.zeros(0, np.int64)
+    cols = np.concatenate([c for *_, c in found]) if found else np.zeros(0, np.int64)
     strong = np.isin(np.arange(len(order)), np.searchsorted(order, best[:SEVERE_TERMS]))
     hits = np.bincount(rows, strong[cols].astype(float), n)
     targets = {"severe": toxic * (hits >= SEVERE_HITS), "toxic": toxic}
