@@ -191,7 +191,7 @@ def language_references(docs: DataFrame, text_col: str = "text", lang_col: str =
         words.append(np.concatenate((own, [table[lang][len(keys)] - own.sum()])) / table[lang][len(keys)])
         kinds = table[lang][len(keys) + 1 :]
         classes.append(kinds / kinds.sum())
-    return {"langs": langs, "keys": keys[bins] if len(bins) else keys[:0], "words": np.array(words).reshape(len(langs), -1), "classes": np.array(classes).reshape(len(langs), CLASSES)}
+    return {"langs": langs, "keys": keys[bins] if len(bins) else keys[:0], "words": np.array(words).reshape(len(langs), len(bins) + 1), "classes": np.array(classes).reshape(len(langs), CLASSES)}
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
