@@ -302,6 +302,7 @@ def _encoded(path: str, batches) -> Iterator[tuple[pa.RecordBatch, np.ndarray, n
         for i in range(0, len(parts), GROUP):
             group = parts[i : i + GROUP]
             yield from ((part, *found) for part, found in zip(group, encode_batches(path, [p.column("text") for p in group])))
+        T.trim()
 
 
 def decode_batch(path: str, ids: np.ndarray, at: np.ndarray) -> list[bytes]:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+_libc = ctypes.CDLL(None)
+
 #: Texts are handled in groups of about so many bytes; one longer text is a group of its own.
 CHUNK_BYTES = 2_000_000
 
@@ -46,6 +49,14 @@ def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES
         stop = max(start + 1, int(np.searchsorted(total, base + limit, "right")))
         yield batch.slice(start, stop - start)
         start = stop
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system: a worker that is used again would hold its largest batch's share for good."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
 
 
 def pieces(texts: list[str], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, pa.Array]]:
