@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import itertools
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -21,9 +22,16 @@ WHITE_SPACE = (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B)
 #: The endings that stand alone after an apostrophe.
 ENDINGS = ("s", "t", "m", "d", "re", "ve", "ll")
 #: A worker keeps the ids of so many pre-tokens (some 40 bytes each) from one group of texts to the next.
-CACHE = 2_000_000
+CACHE = 1_000_000
+#: Rows go to the workers in Arrow batches of about so many bytes.
+BATCH_BYTES = 8_000_000
+#: Texts are handled in groups of about so many bytes: the arrays over a group take some 60 bytes for each of them.
+CHUNK = 1_000_000
 #: Groups of texts whose new pre-tokens go through one queue.
-GROUP = 8
+GROUP = 4
+
+#: The session's setting for BATCH_BYTES.
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 _state: dict = {}
@@ -103,7 +111,7 @@ class Vocabulary:
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs, -1 where there is none."""
-        key = left * self.size + right
+        key = left.astype(np.int64) * self.size + right
         out = np.full(len(key), -1, np.int64)
         maybe = np.flatnonzero(self.sieve[self._spread(key)])
         if len(maybe):
@@ -156,14 +164,15 @@ def encode_pieces(vocab: Vocabulary, data: np.ndarray, starts: np.ndarray, ends:
     total = int(at[-1])
     if not total:
         return np.zeros(0, np.int64), np.zeros(n + 1, np.int64)
-    ids = vocab.byte[data[np.arange(total) + np.repeat(starts - at[:-1], lens)]]
-    owner = np.repeat(np.arange(n), lens)
-    nxt, prv = np.arange(1, total + 1), np.arange(-1, total - 1)
+    place = np.int32 if total < 2**31 - 1 else np.int64
+    ids = vocab.byte[data[np.arange(total) + np.repeat(starts - at[:-1], lens)]].astype(place)
+    owner = np.repeat(np.arange(n, dtype=place), lens)
+    nxt, prv = np.arange(1, total + 1, dtype=place), np.arange(-1, total - 1, dtype=place)
     nxt[at[1:][lens > 0] - 1] = -1
     prv[at[:-1][lens > 0]] = -1
     live, odd = np.ones(total, bool), np.zeros(n, bool)
     queue = RankQueue(vocab.size)
-    left = np.flatnonzero(nxt >= 0)
+    left = np.flatnonzero(nxt >= 0).astype(place)
     r = vocab.rank(ids[left], ids[nxt[left]])
     queue.push(r[r >= 0], left[r >= 0])
     while (popped := queue.pop()) is not None:
@@ -177,8 +186,8 @@ def encode_pieces(vocab: Vocabulary, data: np.ndarray, starts: np.ndarray, ends:
             chained = nxt[pos[:-1]] == pos[1:]
             if chained.any():  # runs of overlapping pairs
                 head = np.concatenate(([True], ~chained))
-                place = np.arange(len(pos))
-                pos = pos[(place - np.maximum.accumulate(np.where(head, place, 0))) % 2 == 0]
+                step = np.arange(len(pos))
+                pos = pos[(step - np.maximum.accumulate(np.where(head, step, 0))) % 2 == 0]
         if not len(pos):
             continue
         gone = nxt[pos]
@@ -298,11 +307,10 @@ def encode_batch(path: str, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _encoded(path: str, batches) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches, GROUP of them encoded at a time."""
     for batch in batches:
-        parts = list(T.chunks(batch))
-        for i in range(0, len(parts), GROUP):
-            group = parts[i : i + GROUP]
+        parts = T.chunks(batch, limit=CHUNK)
+        while group := list(itertools.islice(parts, GROUP)):
             yield from ((part, *found) for part, found in zip(group, encode_batches(path, [p.column("text") for p in group])))
-        T.trim()
+            T.trim()
 
 
 def decode_batch(path: str, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
@@ -310,6 +318,12 @@ def decode_batch(path: str, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
     return [vocab.decode(ids[a:b].astype(np.int64)) for a, b in zip(at[:-1], at[1:])]
 
 
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Ids and texts.  The session's Arrow batches hold BATCH_BYTES from here on: its own bound, 10,000 rows, is too much of long texts."""
+    docs.sparkSession.conf.set(ARROW_BYTES, str(BATCH_BYTES))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
 def bpe_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every whole text: ``id_col, ids`` (array of int).
 
@@ -321,8 +335,7 @@ def bpe_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         for part, ids, at in _encoded(path, batches):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))], ["doc_id", "ids"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>").withColumnRenamed("doc_id", id_col)
+    return _rows(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>").withColumnRenamed("doc_id", id_col)
 
 
 def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -335,5 +348,4 @@ def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
             back = [hashlib.sha256(x).hexdigest() for x in decode_batch(path, ids, at)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(at)), pa.array(sha, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("doc_id", id_col)
+    return _rows(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("doc_id", id_col)
