@@ -300,6 +300,14 @@ def test_tree_links_join_all_classes(monkeypatch):
         assert {i: find(i) for i in range(len(texts))} == {i: c for i, (_, c) in plain_classes(dict(enumerate(texts))).items()}
 
 
+def test_set_views():
+    table = pa.table({"side": [0, 1, 0, 1], "s": pa.array([[1, -2], [3], [], [4, 5]], pa.list_(pa.int64()))})
+    parts = pa.concat_tables([table, table])
+    for side, expected in ((0, [[1, 2**64 - 2], []] * 2), (1, [[3], [4, 5]] * 2), (2, [])):
+        found = ngram_join.set_views(parts.filter(pa.array(np.isin(parts["side"].to_numpy(), side)))["s"])
+        assert [x.tolist() for x in found] == expected
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 50), (50, 70), (200, 201)]
     got = {r["node"]: r["component"] for r in ngram_join.connected(spark.createDataFrame(edges, "u long, v long"), "t").collect()}

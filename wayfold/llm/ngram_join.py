@@ -386,6 +386,13 @@ def _sets_of(base: DataFrame, needed: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(run, "id long, shingles array<long>").where(F.size("shingles") > 0).join(needed, "id", "left_semi")
 
 
+def set_views(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The sets of a list column without nulls, as views of its values: no Python number per shingle."""
+    whole = column.combine_chunks()
+    values, at = whole.values.to_numpy().view(np.uint64), whole.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(at[:-1], at[1:])]
+
+
 def _tree_stage(members: DataFrame, classes: DataFrame, listed: DataFrame, base: DataFrame, words: int, percent: int) -> DataFrame | None:
     """Links from the posting lists that pivots didn't finish; None if there are none."""
     long = members.groupBy("token").agg(F.max("rn").alias("c")).where(F.col("c") > PIVOTS + 1).select("token")
@@ -413,7 +420,7 @@ def _tree_stage(members: DataFrame, classes: DataFrame, listed: DataFrame, base:
 
     def run(table: pa.Table) -> pa.Table:
         part = [table.filter(pa.array(table.column("side").to_numpy() == s)) for s in (0, 1)]
-        both = [(p.column("id").to_pylist(), p.column("comp").to_pylist(), [np.asarray(x, np.int64).view(np.uint64) for x in p.column("shingles").to_pylist()]) for p in part]
+        both = [(p.column("id").to_pylist(), p.column("comp").to_pylist(), set_views(p.column("shingles"))) for p in part]
         links = tree_links(*both[0], other=both[1] if part[1].num_rows else None, percent=percent)
         return pa.table({"u": pa.array([x for x, _ in links], pa.int64()), "v": pa.array([y for _, y in links], pa.int64())})
 
