@@ -22,6 +22,8 @@ PREFIXES = (5, 6, 7, 9)
 #: A term takes part if it stands in so many toxic training documents; the most telling MAX_TERMS of them are features.
 MIN_DOCS, MAX_TERMS = 4, 4_000
 FOLDS, STEPS, L2 = 5, 300, 1e-3
+#: Training texts are counted in groups of about so many characters.
+PIECE = 500_000
 #: A document is rejected from this probability of the last category on.
 THRESHOLD = 0.5
 
@@ -87,7 +89,7 @@ def fit(texts: list[str], toxic: np.ndarray) -> dict:
     toxic = np.asarray(toxic, float)
     n = len(texts)
     keys, bad, good = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
-    for first, column in T.pieces(texts):  # counts of one group of texts at a time
+    for first, column in T.pieces(texts, PIECE):  # counts of one group of texts at a time
         row, h = terms(*T.buffers(column))
         _, one = np.unique(T.mixed(h + T.mixed(row.astype(np.uint64))), return_index=True)
         some, where = np.unique(h[one], return_inverse=True)
@@ -102,7 +104,7 @@ def fit(texts: list[str], toxic: np.ndarray) -> dict:
     order = np.sort(best)
     model = {"keys": keys[order], "categories": CATEGORIES, "chain": [], "sieve": np.zeros(65536, bool)}
     model["sieve"][(model["keys"] & np.uint64(0xFFFF)).astype(np.int64)] = True
-    found = [(first, *features(model["keys"], model["sieve"], *T.buffers(column))) for first, column in T.pieces(texts)]
+    found = [(first, *features(model["keys"], model["sieve"], *T.buffers(column))) for first, column in T.pieces(texts, PIECE)]
     rows = np.concatenate([first + r for first, r, _ in found]) if found else np.zeros(0, np.int64)
     cols = np.concatenate([c for *_, c in found]) if found else np.zeros(0, np.int64)
     strong = np.isin(np.arange(len(order)), np.searchsorted(order, best[:SEVERE_TERMS]))
@@ -138,7 +140,10 @@ def train_on(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> dic
     """A chain fitted on at most ``limit`` labelled documents; those of remainder 0 modulo 5 are held out."""
     table, known = labelled(docs, labels, ["toxic"], remainder("doc_id", 5) != 0, limit)
     ids = table["doc_id"].to_pylist()
-    return fit(table["text"].to_pylist(), np.array([known[i][0] for i in ids]))
+    model = fit(table["text"].to_pylist(), np.array([known[i][0] for i in ids]))
+    del table
+    T.trim()
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
