@@ -139,6 +139,125 @@ def test_cmc_doesnt_depend_on_partitions(spark):
     assert runs[0] == runs[1] and len(runs[0]) == 2
 
 
+def walks(seed, objects=14, times=12):
+    """Groups that drift together for a while, with gaps."""
+    rnd = random.Random(seed)
+    home = {i: (i % 4) * 60.0 for i in range(objects)}
+    rows = []
+    for t in range(times):
+        for i in range(objects):
+            if rnd.random() < 0.12:
+                home[i] = rnd.choice((0.0, 60.0, 120.0, 180.0))
+            if rnd.random() < 0.9:
+                rows.append((i, at(10 * t), home[i] + rnd.uniform(-9, 9), 15.0 * t + rnd.uniform(-9, 9)))
+    return rows
+
+
+def plain_dbscan(n, near, m):
+    """Clusters grown from each core in order; a point stays with the first that reaches it."""
+    around = [[j for j in range(n) if j == i or near(min(i, j), max(i, j))] for i in range(n)]
+    label = [None] * n
+    for i in range(n):
+        if label[i] is None and len(around[i]) >= m:
+            label[i], todo = i, [i]
+            while todo:
+                for j in around[todo.pop()]:
+                    if label[j] is None:
+                        label[j] = i
+                        if len(around[j]) >= m:
+                            todo.append(j)
+    return [[i for i in range(n) if label[i] == c] for c in sorted({x for x in label if x is not None})]
+
+
+def plain_track(steps, m, k):
+    """steps: (start, end, list of sets)."""
+    active, done = [], []
+    for start, end, found in steps:
+        nxt = [(o & c, s, end, n + 1) for o, s, _, n in active for c in found if len(o & c) >= m]
+        done += [v for v in active if v[3] >= k and all(len(v[0] & c) < m for c in found)]
+        nxt += [(c, start, end, 1) for c in found if all(len(v[0] & c) < m for v in active)]
+        active = nxt
+    return done + [v for v in active if v[3] >= k]
+
+
+def plain_cmc(rows, m, k, eps):
+    steps = []
+    for t in sorted({r[1] for r in rows}):
+        now = sorted(r for r in rows if r[1] == t)
+        groups = plain_dbscan(len(now), lambda i, j: math.hypot(now[i][2] - now[j][2], now[i][3] - now[j][3]) <= eps, m)
+        steps.append((t, t, [frozenset(now[i][0] for i in g) for g in groups]))
+    return plain_track(steps, m, k)
+
+
+def plain_minutes_filter(rows, m, k, eps, delta, minutes):
+    segs = []
+    for i in sorted({r[0] for r in rows}):
+        own = sorted((r for r in rows if r[0] == i), key=lambda r: r[1])
+        x, y = np.array([r[2] for r in own]), np.array([r[3] for r in own])
+        kept = np.flatnonzero(simplify.kept_points(x, y, delta))
+        segs += [(i, own[a][1], own[b][1], own[a][2:], own[b][2:], simplify._gaps(x, y, a, b, False).max(initial=0.0)) for a, b in zip(kept[:-1], kept[1:])]
+    steps, start, last = [], min(r[1] for r in rows), max(r[1] for r in rows)
+    while start <= last:
+        end = start + timedelta(minutes=minutes)
+        part = [s for s in segs if s[1] <= end and s[2] >= start]
+        near = lambda i, j: min(math.dist(p, q) for p in part[i][3:5] for q in part[j][3:5]) <= eps + part[i][5] + part[j][5]
+        steps.append((start, end, [frozenset(part[i][0] for i in g) for g in plain_dbscan(len(part), near, m)]))
+        start = end
+    return plain_track(steps, m, k)
+
+
+def convoy_list(df):
+    return sorted((tuple(r["objects"]), r["start_time"], r["end_time"], r["lifetime_points"]) for r in df.collect())
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_minutes_filter_and_refinement_equal_plain_ones(spark, seed):
+    rows = walks(seed)
+    pts = spark.createDataFrame(rows, sources.POINT).cache()
+    exact, candidates = convoys.cuts_minutes(pts, 3, 1, 3, 14.0, 5.0, 30, 50.0)
+    want = plain_minutes_filter(rows, 3, 1, 14.0, 5.0, 30)
+    assert convoy_list(candidates) == sorted((tuple(sorted(o)), *rest) for o, *rest in want) and want
+    refined = [v for o, s, e, _ in want for v in plain_cmc([r for r in rows if r[0] in o and s <= r[1] <= e], 3, 3, 14.0)]
+    assert convoy_list(exact) == sorted((tuple(sorted(o)), *rest) for o, *rest in refined) and refined
+    once = convoys.refine_by_cmc(pts, candidates, 3, 3, 14.0, dedupe=True)
+    assert {v[:3] for v in convoy_list(once)} == {v[:3] for v in convoy_list(exact)} and once.count() == len({v[:3] for v in convoy_list(exact)})
+
+
+def test_refinement_interpolates_and_equals_plain_one(spark):
+    rows = walks(5)
+    pts = spark.createDataFrame(rows, sources.POINT).cache()
+    spans = [(1, list(range(14)), at(0), at(110), 12), (2, [0, 4, 8, 12, 1], at(20), at(90), 8)]
+    cand = spark.createDataFrame(spans, "candidate int, objects array<long>, start_time timestamp, end_time timestamp, lifetime_points int")
+    want = set()
+    for _, ids, start, end, _ in spans:
+        grid = []
+        for i in ids:
+            own = sorted((r for r in rows if r[0] == i and start <= r[1] <= end), key=lambda r: r[1])
+            ts = [(r[1] - T0).total_seconds() for r in own]
+            for t in range(int((start - T0).total_seconds()), int((end - T0).total_seconds()) + 1, 600):
+                if ts and ts[0] <= t <= ts[-1]:
+                    grid.append((i, T0 + timedelta(seconds=t), float(np.interp(t, ts, [r[2] for r in own])), float(np.interp(t, ts, [r[3] for r in own]))))
+        steps = []
+        for t in sorted({r[1] for r in grid}):
+            now = sorted(r for r in grid if r[1] == t)
+            groups = plain_dbscan(len(now), lambda a, b: math.hypot(now[a][2] - now[b][2], now[a][3] - now[b][3]) <= 14.0, 3)
+            steps.append((t, t, [frozenset(now[a][0] for a in g) for g in groups if len(g) >= 3]))
+        want |= {(tuple(sorted(o)), s, e) for o, s, e, _ in plain_track(steps, 3, 3)}
+    got = convoy_list(convoys.refine(pts, cand, 3, 3, 14.0))
+    assert {v[:3] for v in got} == want and len(got) == len(want) and want
+
+
+def test_stream_of_points_is_binned(spark, tmp_path):
+    from wayfold.streaming.snapshots import binned_stream
+
+    rows = [(1, at(1), 5.0, 5.0), (1, at(0), 4.0, 4.0), (2, at(12), 6.0, 6.0), (9, at(200), 0.0, 0.0)]
+    spark.createDataFrame(rows, sources.POINT).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = binned_stream(spark.readStream.schema(sources.POINT).parquet(str(tmp_path / "in")))
+    run = stream.writeStream.format("memory").queryName("binned").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert run.awaitTermination(90)
+    assert sorted(tuple(r) for r in spark.table("binned").collect()) == [(1, at(0), 4.0, 4.0), (2, at(10), 6.0, 6.0)]
+
+
 def test_coverage(spark):
     schema = "objects array<long>, start_time timestamp, end_time timestamp, lifetime_points int"
     exact = spark.createDataFrame([([1, 2, 3], at(0), at(20), 3), ([4, 5, 6], at(0), at(20), 3)], schema)
@@ -168,6 +287,7 @@ def test_empty_points(spark):
     none = spark.createDataFrame([], sources.POINT)
     assert convoys.cmc(none, 3, 3, 60.0).count() == 0
     assert convoys.cuts(none, 3, 3, 60.0, 30.0, 4, 250.0).count() == 0
+    assert [df.count() for df in convoys.cuts_minutes(none, 3, 1, 3, 60.0, 30.0, 30, 250.0)] == [0, 0]
 
 
 @pytest.fixture(scope="module")

@@ -66,12 +66,21 @@ def segments_intersect(a0x, a0y, a1x, a1y, b0x, b0y, b1x, b1y) -> Column:
     return crossing | touch
 
 
-def segment_segment(a0x, a0y, a1x, a1y, b0x, b0y, b1x, b1y) -> Column:
-    ends = F.least(
+def segment_ends(a0x, a0y, a1x, a1y, b0x, b0y, b1x, b1y) -> Column:
+    """The least distance of any end of one to any end of the other."""
+    return F.least(distance(a0x, a0y, b0x, b0y), distance(a0x, a0y, b1x, b1y), distance(a1x, a1y, b0x, b0y), distance(a1x, a1y, b1x, b1y))
+
+
+def segment_clamped(a0x, a0y, a1x, a1y, b0x, b0y, b1x, b1y) -> Column:
+    """The least distance of an end of one to the other segment; crossing segments don't count as 0."""
+    return F.least(
         point_segment(a0x, a0y, b0x, b0y, b1x, b1y), point_segment(a1x, a1y, b0x, b0y, b1x, b1y),
         point_segment(b0x, b0y, a0x, a0y, a1x, a1y), point_segment(b1x, b1y, a0x, a0y, a1x, a1y),
     )
-    return F.when(segments_intersect(a0x, a0y, a1x, a1y, b0x, b0y, b1x, b1y), F.lit(0.0)).otherwise(ends)
+
+
+def segment_segment(*ends: Column) -> Column:
+    return F.when(segments_intersect(*ends), F.lit(0.0)).otherwise(segment_clamped(*ends))
 
 
 def lower_bound(gap: Column, tolerance_a: Column, tolerance_b: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -63,3 +63,33 @@ def trajectory_pairs(parts: DataFrame, eps: float, cell: float, lemma: bool = Tr
         ok = ok & (gap("x") <= reach) & (gap("y") <= reach)
     far = geo.segment_segment(*(c(f"{s}_{k}") for s in "ab" for k in ("x0", "y0", "x1", "y1")))
     return a.join(b, ["p", "cx", "cy"]).where(ok & (geo.lower_bound(far, c("a_tolerance"), c("b_tolerance")) <= eps)).select("p", c("a_id").alias("a"), c("b_id").alias("b")).distinct()
+
+
+#: The distances that segments can be joined by.
+SEGMENT_DISTANCES = {"ends": geo.segment_ends, "clamped": geo.segment_clamped, "exact": geo.segment_segment}
+
+
+def numbered_segments(parts: DataFrame) -> DataFrame:
+    """``parts`` with ``seg``, the segment's number in its window by object and time."""
+    return parts.withColumn("seg", F.row_number().over(Window.partitionBy("p").orderBy("id", "t0")).cast("long"))
+
+
+def segment_pairs(parts: DataFrame, eps: float, cell: float, distance: str = "ends", temporal: bool = False) -> DataFrame:
+    """``p, a, b`` with a < b: numbered segments of one window, also of one object, at most eps and both tolerances apart.
+
+    Boxes are dealt to grid cells as in :func:`trajectory_pairs`; of the cells that a pair shares, only the first
+    joins it, so no pair comes twice.  ``temporal`` asks for a common time as well.
+    """
+    pad = F.col("tolerance") + eps / 2
+    floor = lambda v: F.floor(v / cell)
+    low = {"fx": floor(F.least("x0", "x1") - pad), "fy": floor(F.least("y0", "y1") - pad), "lx": floor(F.greatest("x0", "x1") + pad), "ly": floor(F.greatest("y0", "y1") + pad)}
+    boxed = parts.withColumns(low).withColumn("cx", F.explode(F.sequence("fx", "lx"))).withColumn("cy", F.explode(F.sequence("fy", "ly")))
+    names = ["seg", "t0", "t1", "x0", "y0", "x1", "y1", "tolerance", "fx", "fy"]
+    a, b = (boxed.select("p", "cx", "cy", *(F.col(n).alias(f"{s}_{n}") for n in names)) for s in "ab")
+    c = F.col
+    first = (c("cx") == F.greatest("a_fx", "b_fx")) & (c("cy") == F.greatest("a_fy", "b_fy"))
+    ok = first & (c("a_seg") < c("b_seg"))
+    if temporal:
+        ok = ok & geo.overlap(c("a_t0"), c("a_t1"), c("b_t0"), c("b_t1"))
+    far = SEGMENT_DISTANCES[distance](*(c(f"{s}_{k}") for s in "ab" for k in ("x0", "y0", "x1", "y1")))
+    return a.join(b, ["p", "cx", "cy"]).where(ok & (far <= eps + c("a_tolerance") + c("b_tolerance"))).select("p", c("a_seg").alias("a"), c("b_seg").alias("b"))

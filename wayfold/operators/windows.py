@@ -19,11 +19,14 @@ def lambda_windows(times: DataFrame, size: int) -> DataFrame:
     return starts.join(nth.select(F.col("i").alias("j"), F.col("time").alias("p_end")), "j").select("p", "p_start", "p_end")
 
 
-def fixed_windows(times: DataFrame, minutes: int) -> DataFrame:
-    """Windows of a fixed length from the first time on, while they begin no later than the last."""
+def fixed_windows(times: DataFrame, minutes: int, closed: bool = True) -> DataFrame:
+    """``p, p_start, p_end``: windows of a fixed length from the first time on, while they begin no later than the last
+    time, or before it if not ``closed``."""
     ends = times.agg(F.min("time").alias("a"), F.max("time").alias("b"))
     begin = F.explode(F.sequence("a", "b", F.expr(f"INTERVAL {minutes} MINUTES"))).alias("p_start")
-    return ends.select(begin).select((F.row_number().over(Window.orderBy("p_start")) - 1).alias("p"), "p_start", (F.col("p_start") + F.expr(f"INTERVAL {minutes} MINUTES")).alias("p_end"))
+    rows = ends.select(begin, "b")
+    rows = rows if closed else rows.where("p_start < b")
+    return rows.select((F.row_number().over(Window.orderBy("p_start")) - 1).alias("p"), "p_start", (F.col("p_start") + F.expr(f"INTERVAL {minutes} MINUTES")).alias("p_end"))
 
 
 def interpolate(points: DataFrame, spans: DataFrame, step: str = "10 minutes", reach_out: bool = False) -> DataFrame:

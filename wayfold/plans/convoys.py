@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.values import round_time
 from ..operators.dbscan import cluster_sets, clusters
-from ..operators.joins import assign_windows, near_pairs, trajectory_pairs
+from ..operators.joins import assign_windows, near_pairs, numbered_segments, segment_pairs, trajectory_pairs
 from ..operators.simplify import segments, simplify
 from ..operators.tracker import track
-from ..operators.windows import interpolate, lambda_windows
+from ..operators.windows import fixed_windows, interpolate, lambda_windows
 
 
 def snapshot_members(points: DataFrame, eps: float, m: int, geographic: bool = False) -> DataFrame:
@@ -68,3 +68,49 @@ def refine(points: DataFrame, candidates: DataFrame, m: int, k: int, eps: float,
 
 def cuts(points: DataFrame, m: int, k: int, eps: float, delta: float, size: int, cell: float, step: str = "10 minutes") -> DataFrame:
     return refine(points, cuts_filter(points, m, k, eps, delta, size, cell), m, k, eps, step)
+
+
+def segment_clusters(points: DataFrame, m: int, eps: float, delta: float, minutes: int, cell: float, distance: str = "ends", temporal: bool = False, drop_small: bool = False, closed: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Windows of a fixed length, and ``p, objects``: the objects of each cluster of single segments.
+
+    A segment's neighbours may be of its own object; ``drop_small`` leaves out clusters of fewer than m objects.
+    """
+    windows = fixed_windows(points, minutes, closed)
+    parts = numbered_segments(assign_windows(segments(simplify(points, delta)), windows))
+    members = clusters(segment_pairs(parts, eps, cell, distance, temporal), m, "p")
+    owners = members.join(parts.select("p", F.col("seg").alias("id"), F.col("id").alias("object")), ["p", "id"])
+    sets = owners.groupBy("p", "label").agg(F.array_sort(F.collect_set("object")).alias("objects")).select("p", "objects")
+    return windows, sets.where(F.size("objects") >= m) if drop_small else sets
+
+
+def minutes_filter(points: DataFrame, m: int, k: int, eps: float, delta: float, minutes: int, cell: float, **options) -> DataFrame:
+    """Candidates of the filter on windows of ``minutes`` and single segments, k windows long at least; equal ones stay.
+
+    ``options`` are those of :func:`segment_clusters`.  ``lifetime_points`` counts windows.
+    """
+    windows, sets = segment_clusters(points, m, eps, delta, minutes, cell, **options)
+    rows = windows.join(sets, "p", "left").select(F.lit(0).alias("track"), F.col("p_start").alias("start"), F.col("p_end").alias("end"), F.lit(1).alias("points"), "objects")
+    found = track(rows, m, k, dedupe=False).drop("track")
+    return found.withColumn("candidate", F.row_number().over(Window.orderBy("start_time", "end_time", "objects")))  # candidates are few
+
+
+def refine_by_cmc(points: DataFrame, candidates: DataFrame, m: int, k: int, eps: float, geographic: bool = False, buffer_minutes: int = 0, dedupe: bool = False) -> DataFrame:
+    """Exact convoys among each candidate's own objects at the times that were observed, all candidates at once.
+
+    ``buffer_minutes`` widens a candidate's time at both ends; ``dedupe`` keeps one of equal convoys of several candidates.
+    """
+    wider = F.expr(f"INTERVAL {buffer_minutes} MINUTES")
+    spans = candidates.select(F.col("candidate").alias("track"), F.explode("objects").alias("id"), (F.col("start_time") - wider).alias("s"), (F.col("end_time") + wider).alias("e"))
+    own = points.join(spans, "id").where(F.col("time").between(F.col("s"), F.col("e")))
+    own = own.withColumn("snap", F.concat_ws("|", "track", F.unix_micros("time").cast("string")))
+    sets = cluster_sets(clusters(near_pairs(own, eps, "snap", geographic), m, "snap"), "snap")
+    steps = own.select("track", "time", "snap").distinct().join(sets, "snap", "left")
+    rows = steps.select("track", F.col("time").alias("start"), F.col("time").alias("end"), F.lit(1).alias("points"), "objects")
+    found = track(rows, m, k, dedupe=False).drop("track")
+    return found.dropDuplicates(["objects", "start_time", "end_time"]) if dedupe else found
+
+
+def cuts_minutes(points: DataFrame, m: int, k_filter: int, k: int, eps: float, delta: float, minutes: int, cell: float, buffer_minutes: int = 0, dedupe: bool = False, **options) -> tuple[DataFrame, DataFrame]:
+    """Convoys by the filter on windows of minutes with exact refinement, and the filter's candidates."""
+    found = minutes_filter(points, m, k_filter, eps, delta, minutes, cell, **options)
+    return refine_by_cmc(points, found, m, k, eps, buffer_minutes=buffer_minutes, dedupe=dedupe), found

@@ -9,12 +9,14 @@ from .functions import geo
 from .functions.values import joined, object_ids, stamp
 from .operators import preprocess, recurrence, simplify, windows
 from .operators.dbscan import core_points
-from .operators.joins import assign_windows, near_pairs, trajectory_pairs
+from .operators.joins import assign_windows, near_pairs, numbered_segments, segment_pairs, trajectory_pairs
 from .plans import convoys
 from .sources.points import FIXTURE_SQL, centroids, events_fixture, numbered, routes
 
 #: Parameters of the fixture: objects, snapshots, distance, simplification, times of a window, grid cell.
 M, K, EPS, DELTA, SIZE, CELL = 3, 3, 60.0, 30.0, 4, 250.0
+#: Minutes of a window of fixed length.
+MINUTES = 3 * 24 * 60
 #: The fixture's plane laid on the globe.
 GEO_SQL = "SELECT id, time, 116.4 + x / 85000.0 AS x, 39.9 + y / 111000.0 AS y FROM traj"
 
@@ -154,6 +156,34 @@ def segment_pair_edges_endpoint(s, d):
     return trajectory_pairs(segs, EPS, CELL).select(stamp(F.col("p")).alias("t0"), "a", "b")
 
 
+def fixed_windows(s, d):
+    w = windows.fixed_windows(_points(s, d), MINUTES)
+    return w.select(F.col("p").cast("long").alias("p"), stamp(F.col("p_start")).alias("p_start"), stamp(F.col("p_end")).alias("p_end"))
+
+
+def _segment_edges(distance, temporal):
+    """Unsimplified segments of a window of fixed length, numbered in it, that are at most EPS apart."""
+
+    def run(s, d):
+        pts = _points(s, d)
+        parts = numbered_segments(assign_windows(simplify.segments(pts), windows.fixed_windows(pts, MINUTES)))
+        return segment_pairs(parts, EPS, CELL, distance, temporal).select(F.col("p").cast("long").alias("p"), "a", "b")
+
+    return run
+
+
+def _minutes_cuts(s, d):
+    return convoys.cuts_minutes(_points(s, d), M, 2, K, EPS, DELTA, MINUTES, CELL, dedupe=True, distance="exact", temporal=True, drop_small=True)
+
+
+def cuts_minutes_candidates(s, d):
+    return _convoy_rows(_minutes_cuts(s, d)[1])
+
+
+def cuts_minutes_convoys(s, d):
+    return _convoy_rows(_minutes_cuts(s, d)[0])
+
+
 def eps_neighbor_pairs(s, d):
     return near_pairs(_points(s, d), EPS).select(stamp(F.col("time")).alias("time"), "a", "b")
 
@@ -257,9 +287,9 @@ QUERIES = {
         lambda_windows, dp_segments_tolerance, dp_reduction_stats, segment_partition_join, point_segment_distance, segments_intersect, segment_distance,
         segment_pair_edges_endpoint, eps_neighbor_pairs, eps_neighbor_pairs_haversine, dbscan_core_border, snapshot_clusters, traj_clusters, cmc_convoys,
         cuts_candidates, cuts_convoys, cuts_filter_log, cmc_vs_cuts_coverage, recurrent_clusters_rci, cluster_bbox_overlap, cluster_hausdorff, tau_sweep,
-        parse_object_ids, convoy_summary_numbered, convoy_routes, convoy_centroids,
+        parse_object_ids, convoy_summary_numbered, convoy_routes, convoy_centroids, fixed_windows, cuts_minutes_candidates, cuts_minutes_convoys,
     )
-} | {"dp_keep_points": _dp(False), "dp_line_variant": _dp(True), "traj_pair_edges": _traj_pairs(False), "traj_pair_edges_pruned": _traj_pairs(True)}
+} | {"dp_keep_points": _dp(False), "dp_line_variant": _dp(True), "traj_pair_edges": _traj_pairs(False), "traj_pair_edges_pruned": _traj_pairs(True), "segment_edges_ends": _segment_edges("ends", False), "segment_edges_exact": _segment_edges("exact", True)}
 
 # --- SQL ----------------------------------------------------------------------
 
@@ -334,6 +364,9 @@ _ROUTES = "routes AS (SELECT c.convoy_id, t.id, t.time, t.x, t.y FROM (SELECT co
 _HAV = "2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians({y1} - {y0}) / 2), 2) + cos(radians({y0})) * cos(radians({y1})) * pow(sin(radians({x1} - {x0}) / 2), 2))))"
 _BIN = "make_timestamp(CAST(round_even(epoch_us(time) / 600000000.0, 0) AS BIGINT) * 600000000)"
 
+_FIXED = f"fixed AS (SELECT row_number() OVER (ORDER BY p_start) - 1 AS p, p_start, p_start + INTERVAL {MINUTES} MINUTES AS p_end FROM (SELECT unnest(generate_series(min(time), max(time), INTERVAL {MINUTES} MINUTES)) AS p_start FROM traj))"
+_PARTS = f"{_SEGS}, {_FIXED}, parts AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY id, t0) AS seg, t0, t1, x0, y0, x1, y1 FROM segs JOIN fixed ON t1 >= p_start AND t0 <= p_end)"
+
 
 def _interp(known: str, grid: str) -> str:
     return f"""known AS ({known}), grid AS ({grid}),
@@ -362,6 +395,10 @@ ORACLE_SQL = {
     "segments_intersect": f"WITH {_TRAJ}, {_PAIRS} SELECT id, {_T('t0')} AS t0, ({_meets(_A, _B)}) AS meets FROM pairs",
     "segment_distance": f"WITH {_TRAJ}, {_PAIRS} SELECT id, {_T('t0')} AS t0, round({_ss(_A, _B)}, 6) AS d FROM pairs",
     "segment_pair_edges_endpoint": f"WITH {_TRAJ}, {_SEGS} SELECT DISTINCT {_T('a.t0')} AS t0, a.id AS a, b.id AS b FROM segs a JOIN segs b ON a.t0 = b.t0 AND a.id < b.id WHERE {_ss(tuple('a.' + c for c in _A), tuple('b.' + c for c in _A))} <= {EPS}",
+    "fixed_windows": f"WITH {_TRAJ}, {_FIXED} SELECT p, {_T('p_start')} AS p_start, {_T('p_end')} AS p_end FROM fixed",
+    "segment_edges_ends": f"""WITH {_TRAJ}, {_PARTS} SELECT a.p, a.seg AS a, b.seg AS b FROM parts a JOIN parts b ON a.p = b.p AND a.seg < b.seg
+        WHERE least({_hyp('a.x0', 'a.y0', 'b.x0', 'b.y0')}, {_hyp('a.x0', 'a.y0', 'b.x1', 'b.y1')}, {_hyp('a.x1', 'a.y1', 'b.x0', 'b.y0')}, {_hyp('a.x1', 'a.y1', 'b.x1', 'b.y1')}) <= {EPS}""",
+    "segment_edges_exact": f"WITH {_TRAJ}, {_PARTS} SELECT a.p, a.seg AS a, b.seg AS b FROM parts a JOIN parts b ON a.p = b.p AND a.seg < b.seg AND a.t0 <= b.t1 AND a.t1 >= b.t0 WHERE {_ss(tuple('a.' + c for c in _A), tuple('b.' + c for c in _A))} <= {EPS}",
     "eps_neighbor_pairs": f"WITH {_TRAJ}, {_EDGES} SELECT {_T('time')} AS time, a, b FROM edges",
     "eps_neighbor_pairs_haversine": f"WITH {_TRAJ}, g AS ({GEO_SQL}) SELECT {_T('a.time')} AS time, a.id AS a, b.id AS b FROM g a JOIN g b ON a.time = b.time AND a.id < b.id WHERE {_HAV.format(x0='a.x', y0='a.y', x1='b.x', y1='b.y')} <= {EPS}",
     "dbscan_core_border": f"{_REC}{_CLUSTERS} SELECT {_T('time')} AS time, id, neighbours, neighbours >= {M} AS core FROM deg",
