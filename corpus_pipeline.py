@@ -18,9 +18,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts the one with the smallest id stays."""
-    drop = exact_dedup.exact_dedup(docs, keep="min").where(~F.col("kept")).select(F.col("doc_id").alias("__drop"))
-    return docs.join(drop, docs["doc_id"] == F.col("__drop"), "left_anti")
+    """Of documents with equal texts the one with the smallest id stays; a row goes by its id and its text.
+
+    So a row that shares its id with a copy stays if its own text does, and rows without an id go if any other row has
+    their text.
+    """
+    copies = exact_dedup.exact_dedup(docs, keep="min").where(~F.col("kept"))
+    drop = copies.select(F.col("doc_id").alias("__drop"), F.xxhash64("text_sha256").alias("__text"))
+    own = F.xxhash64(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256))
+    return docs.join(drop, docs["doc_id"].cast("long").eqNullSafe(F.col("__drop")) & (own == F.col("__text")), "left_anti")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

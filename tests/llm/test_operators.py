@@ -351,3 +351,63 @@ def test_pipeline(spark, docs):
         assert nxt.columns == columns, name
         now = nxt.cache()
     assert {r["doc_id"] for r in out} == {r["doc_id"] for r in now.collect()}
+
+
+def spark_order(doc_id):
+    """The hash by which the mix orders a source's documents."""
+    import struct
+
+    import xxhash
+
+    seed = xxhash.xxh64(struct.pack("<i", 17), seed=42).intdigest()
+    return struct.unpack("<q", struct.pack("<Q", xxhash.xxh64(struct.pack("<q", doc_id), seed=seed).intdigest()))[0]
+
+
+def plain_copies(rows):
+    """How often the mix takes each (id, source, size), document by document."""
+    names = sorted({s for _, s, _ in rows}, key=lambda s: (s is None, s or ""))
+    size = {s: sum(n for _, x, n in rows if x == s) for s in names}
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    target, left, still = {s: 0.0 for s in names}, float(sum(size.values())), [s for s in names if size[s]]
+    while still:
+        unit = left / sum(weight[s] for s in still)
+        over = [s for s in still if weight[s] * unit >= 3 * size[s]]
+        for s in over or still:
+            target[s] = 3.0 * size[s] if over else weight[s] * unit
+        left, still = left - sum(target[s] for s in over), [s for s in still if s not in over] if over else []
+    out = {}
+    for s in names:
+        at = 0
+        whole = int(target[s] / size[s] + 1e-9) if size[s] else 0
+        for i, _, n in sorted((r for r in rows if r[1] == s), key=lambda r: ((spark_order(r[0]) >> 20) % 256, spark_order(r[0]), r[0])):
+            again = whole < 3 and at + n / 2 < target[s] - whole * size[s]
+            out[i], at = (min(3, whole + again) if n else 0), at + n
+    return out
+
+
+def test_pipeline_equals_plain_one(spark, docs):
+    import corpus_pipeline
+
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    model = toxicity.train_on(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    now = [i for i in sorted(rows) if toxicity.predict(model, pa.array([rows[i]["text"]], pa.string()))[0, -1] < toxicity.THRESHOLD]
+    first = {}
+    for i in now:
+        first.setdefault(rows[i]["text"] or "", i)
+    now = sorted(first.values())
+    classes = plain_classes({i: rows[i]["text"] or "" for i in now})
+    now = [i for i in now if classes[i][1] == i]
+    copies = plain_copies([(i, rows[i]["source"], len(WORD.findall(rows[i]["text"] or ""))) for i in now])
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(BPE, "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter({i: n for i, n in copies.items() if n})
+    assert all(list(r["ids"]) == enc.encode_ordinary(rows[r["doc_id"]]["text"]) for r in got)
+
+
+def test_repeated_ids_keep_their_other_texts(spark):
+    import corpus_pipeline
+
+    rows = [(1, "a text that stands alone", "en", "s", 1), (3, "copied", "en", "s", 1), (5, "copied", "en", "s", 1), (5, "another text with this id", "en", "s", 1), (None, "copied", "en", "s", 1), (7, None, "en", "s", 1), (8, "", "en", "s", 1)]
+    got = corpus_pipeline.drop_copies(spark, spark.createDataFrame(rows, SCHEMA), SF).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=repr) == sorted([(1, rows[0][1]), (3, "copied"), (5, rows[3][1]), (7, None)], key=repr)
