@@ -1,4 +1,4 @@
-"""The corpus pipeline: documents in, token ids in training order out."""
+"""The corpus pipeline: documents in, token ids and their places in training order out."""
 
 from __future__ import annotations
 
@@ -40,9 +40,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, n_tokens, ids`` of each row."""
-    rows = byte_bpe.bpe_tokens(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """``doc_id, n_tokens, ids, position`` of each row of the written mix; position is the place in training order, from 0."""
+    rows = byte_bpe.bpe_tokens(mixing.in_training_order(docs), public_tokenizers.path("byte_bpe_50k.tiktoken"), place_col="position")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "position")
 
 
 STAGES = [

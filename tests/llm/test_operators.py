@@ -411,3 +411,24 @@ def test_repeated_ids_keep_their_other_texts(spark):
     rows = [(1, "a text that stands alone", "en", "s", 1), (3, "copied", "en", "s", 1), (5, "copied", "en", "s", 1), (5, "another text with this id", "en", "s", 1), (None, "copied", "en", "s", 1), (7, None, "en", "s", 1), (8, "", "en", "s", 1)]
     got = corpus_pipeline.drop_copies(spark, spark.createDataFrame(rows, SCHEMA), SF).collect()
     assert sorted(((r["doc_id"], r["text"]) for r in got), key=repr) == sorted([(1, rows[0][1]), (3, "copied"), (5, rows[3][1]), (7, None)], key=repr)
+
+
+def test_training_order_survives_several_files(spark, tmp_path):
+    import corpus_pipeline
+
+    rnd = random.Random(5)
+    rows = [(i, " ".join(f"w{rnd.randint(0, 10**6)}" for _ in range(rnd.randint(1, 40) * (1 + 9 * (i % 2)))), "en", f"s{i % 3}", 1) for i in range(600)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        corpus_pipeline.mix(spark, docs, SF).write.option("maxRecordsPerFile", 70).parquet(path := str(tmp_path / "mixed"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    mixed = spark.read.parquet(path)
+    assert mixed.select("_metadata.file_name").distinct().count() > 4
+    got = corpus_pipeline.tokenize(spark, mixed, SF)
+    got.write.parquet(out := str(tmp_path / "tokens"))
+    got = {r["position"]: r["doc_id"] for r in spark.read.parquet(out).collect()}
+    plan = sorted((at, r["doc_id"]) for r in mixing.mix_sources(docs).collect() for at in r["positions"])
+    assert [got[k] for k in range(len(got))] == [i for _, i in plan]

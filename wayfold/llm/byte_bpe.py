@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
@@ -318,24 +318,28 @@ def decode_batch(path: str, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
     return [vocab.decode(ids[a:b].astype(np.int64)) for a, b in zip(at[:-1], at[1:])]
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _rows(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
     """Ids and texts.  The session's Arrow batches hold BATCH_BYTES from here on: its own bound, 10,000 rows, is too much of long texts."""
     docs.sparkSession.conf.set(ARROW_BYTES, str(BATCH_BYTES))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
 
 
-def bpe_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode every whole text: ``id_col, ids`` (array of int).
+def bpe_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", place_col: str | None = None) -> DataFrame:
+    """Encode every whole text: ``id_col, ids`` (array of int), and ``place_col`` as a long if it is named.
 
     Null and empty texts give no ids; a pre-token of any length is one span of the queue.  Special tokens are ordinary text.
-    Repeated rows get equal ids, an empty table gives an empty result, extra columns are ignored.
+    Repeated rows get equal ids, an empty table gives an empty result, other columns are ignored.
     """
+    names = ["doc_id", "ids", "place"] if place_col else ["doc_id", "ids"]
 
     def run(batches):
         for part, ids, at in _encoded(path, batches):
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))], ["doc_id", "ids"])
+            rest = [part.column(c) for c in names[2:]]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32))), *rest], names)
 
-    return _rows(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>").withColumnRenamed("doc_id", id_col)
+    more = [F.col(place_col).cast("long").alias("place")] if place_col else []
+    out = _rows(docs, id_col, text_col, *more).mapInArrow(run, "doc_id long, ids array<int>" + ", place long" * len(more))
+    return out.toDF(id_col, "ids", *[place_col] * len(more))
 
 
 def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
