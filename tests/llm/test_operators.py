@@ -432,3 +432,19 @@ def test_training_order_survives_several_files(spark, tmp_path):
     got = {r["position"]: r["doc_id"] for r in spark.read.parquet(out).collect()}
     plan = sorted((at, r["doc_id"]) for r in mixing.mix_sources(docs).collect() for at in r["positions"])
     assert [got[k] for k in range(len(got))] == [i for _, i in plan]
+
+
+def test_curriculum_takes_rows_with_null_and_repeated_ids(spark):
+    rnd = random.Random(6)
+    rows = [(rnd.choice([None, None, *range(6)]), " ".join(["w"] * n), "en", rnd.choice("abc"), n) for n in range(1, 61)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    plan = mixing.mix_sources(docs).collect()
+    got = mixing.curriculum(docs)
+    assert got.columns == docs.columns
+    taken = Counter(got.collect())
+    assert {r["n_chars"]: n for r, n in taken.items()} == {r["size"]: r["copies"] for r in plan if r["copies"]}
+    assert {tuple(r) for r in taken} <= set(rows) and any(r["doc_id"] is None for r in taken)
+    words = Counter()
+    for r, n in taken.items():
+        words[r["source"]] += n * r["n_chars"]
+    assert all(abs(words[r["source"]] - r["target"]) <= 60 for r in plan)
