@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.llm import byte_bpe, exact_dedup, mixing, ngram_join, toxicity
-from wayfold.llm.store import read_table, written
+from wayfold.llm.store import in_written_order, read_table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,19 +18,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts the one with the smallest id stays; a row goes by its id and its text.
+    """Of documents with equal texts one row stays: one with the smallest id; a row goes by its id and its text.
 
     So a row that shares its id with a copy stays if its own text does, and rows without an id go if any other row has
-    their text.
+    their text.  Of rows with equal ids and texts the least in the order of the columns is taken.
     """
-    copies = exact_dedup.exact_dedup(docs, keep="min").where(~F.col("kept"))
-    drop = copies.select(F.col("doc_id").alias("__drop"), F.xxhash64("text_sha256").alias("__text"))
+    marks = exact_dedup.exact_dedup(docs, keep="min").select(F.col("doc_id").alias("__id"), F.xxhash64("text_sha256").alias("__text"), "kept")
+    marks = written(marks, "exact-marks")
     own = F.xxhash64(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256))
-    return docs.join(drop, docs["doc_id"].cast("long").eqNullSafe(F.col("__drop")) & (own == F.col("__text")), "left_anti")
+    if not marks.where("kept").groupBy("__id", "__text").count().where("count > 1").isEmpty():
+        docs = docs.groupBy(F.col("doc_id").cast("long"), own).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    drop = marks.where("not kept")
+    return docs.join(drop, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (own == F.col("__text")), "left_anti").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the smallest id stays."""
+    """Of each class of near copies one row stays, one with the smallest id."""
     return ngram_join.keep_one(docs)
 
 
@@ -41,7 +44,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids, position`` of each row of the written mix; position is the place in training order, from 0."""
-    rows = byte_bpe.bpe_tokens(mixing.in_training_order(docs), public_tokenizers.path("byte_bpe_50k.tiktoken"), place_col="position")
+    rows = byte_bpe.bpe_tokens(in_written_order(docs, "position"), public_tokenizers.path("byte_bpe_50k.tiktoken"), place_col="position")
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "position")
 
 

@@ -448,3 +448,18 @@ def test_curriculum_takes_rows_with_null_and_repeated_ids(spark):
     for r, n in taken.items():
         words[r["source"]] += n * r["n_chars"]
     assert all(abs(words[r["source"]] - r["target"]) <= 60 for r in plan)
+
+
+def test_one_row_of_each_group_of_copies_stays(spark):
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(60)]
+    near = " ".join([*base[:-1], "x"])
+    rows = [(4, " ".join(base), "en", "s", 1), (4, " ".join(base), "en", "s", 1), (4, " ".join(base), "de", "t", 1), (9, near, "en", "s", 1), (9, "an own text with id nine", "en", "s", 1)]
+    rows += [(None, "no id here but copied", "en", "s", 1)] * 3 + [(None, near + " y", "en", "s", 1), (2, "another text", "en", "s", 1), (2, "yet other words", "en", "s", 1)]
+    one = corpus_pipeline.drop_copies(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), SF)
+    assert one.columns == [c.split()[0] for c in SCHEMA.split(", ")]
+    assert Counter((r["doc_id"], r["text"]) for r in one.collect()) == Counter({(r[0], r[1]) for r in rows})
+    left = corpus_pipeline.drop_near_copies(spark, one, SF)
+    expected = {(4, rows[0][1]), (9, rows[4][1]), (None, rows[5][1]), (2, "another text"), (2, "yet other words")}
+    assert left.columns == one.columns and Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter(expected)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as T
-from .store import release, written
+from .store import in_written_order, release, written
 
 #: Words of a shingle, and the least similarity in percent.
 SHINGLE, PERCENT = 5, 80
@@ -449,6 +449,17 @@ def _tree_filter(percent: int):
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each class: the row whose id is the class id; rows with a null id stay.  Columns as they are."""
-    drop = near_classes(docs, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__drop")).distinct()
-    return docs.join(drop, docs[id_col].cast("long") == F.col("__drop"), "left_anti")
+    """One row of each class of near copies: the one with the smallest id, then the smallest hash; a row without an id comes last.
+
+    Columns as they are.  If ids repeat or are null, rows are numbered in that order and the numbers are joined, so that a row
+    goes by its own text alone.
+    """
+    own = F.col(id_col).cast("long")
+    if docs.groupBy(own.alias("id")).agg(F.count(F.lit(1)).alias("c")).where("c > 1 or id is null").isEmpty():
+        rows, key = docs, id_col
+    else:
+        order = [own.asc_nulls_last(), F.xxhash64(*(F.col(c).cast("string") for c in docs.columns))]
+        rows = written(docs.repartitionByRange(*order).sortWithinPartitions(*order), "ranked")
+        rows, key = in_written_order(rows, "__place"), "__place"
+    drop = near_classes(rows, key, text_col).where(F.col(key) != F.col("component_id")).select(F.col(key).alias("__drop"))
+    return rows.join(drop, rows[key].cast("long") == F.col("__drop"), "left_anti").select(*docs.columns)

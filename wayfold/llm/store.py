@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,6 +32,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_written_order(table: DataFrame, name: str) -> DataFrame:
+    """The rows of a written table and, as ``name``, their places from 0 in the order of the partitions that were written.
+
+    A scan lists files by size, so a reread keeps no order.  The partitions' numbers are in the names of the part files, and the
+    rows of a file are in order.  ``table`` is read from the files that one write left.
+    """
+    at = table.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    rows = at.groupBy("__file").count().collect()  # a row for each file
+    start, starts = 0, []
+    for r in sorted(rows, key=lambda r: tuple(map(int, re.fullmatch(r"part-(\d+)-.*-c(\d+)[^-]*", r["__file"]).groups()))):
+        starts.append((r["__file"], start))
+        start += r["count"]
+    known = table.sparkSession.createDataFrame(starts, "__name string, __start long")
+    placed = at.join(F.broadcast(known), F.col("__file") == F.col("__name"))
+    return placed.select(*[table[c] for c in table.columns], (F.col("__start") + F.col("__row")).alias(name))
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop shuffle files that nothing refers to any more: its cleaner waits for the driver's garbage collections."""
     gc.collect()
