@@ -463,3 +463,10 @@ def test_one_row_of_each_group_of_copies_stays(spark):
     left = corpus_pipeline.drop_near_copies(spark, one, SF)
     expected = {(4, rows[0][1]), (9, rows[4][1]), (None, rows[5][1]), (2, "another text"), (2, "yet other words")}
     assert left.columns == one.columns and Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter(expected)
+
+
+def test_every_language_is_learned(spark):
+    word = lambda k, j: "".join(chr(97 + (k * 7 + j * 5 + i * (k + 3)) % 26) for i in range(6)) + chr(97 + k % 26) + chr(97 + k // 26)
+    rows = [(100 * k + n, " ".join(word(k, j) for j in range(8)), f"l{k:02}", "s", 1) for k in range(70) for n in range(2 if k > 63 else 3)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert langid.train_on(docs, docs["doc_id"] >= 0)["langs"] == sorted({r[2] for r in rows})

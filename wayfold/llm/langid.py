@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from . import text as T
 from .sample import texts_of
 
-#: The model learns from at most so many documents of a language, and of at most so many languages.
-TRAIN_PER_LANG, MAX_LANGS = 60, 64
+#: The model learns from at most so many documents of a language.
+TRAIN_PER_LANG = 60
 #: Feature tables: hashed affixes, trigrams and words.
 BITS = 16
 SLOTS = 1 << BITS
@@ -231,14 +231,16 @@ def predict(model: dict, column: pa.Array) -> tuple[list[str], np.ndarray]:
 
 
 def train_on(docs: DataFrame, where, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = TRAIN_PER_LANG) -> dict:
-    """A model fitted on at most ``per_lang`` documents of each language among the rows for which ``where`` holds."""
+    """A model fitted on at most ``per_lang`` documents of each language among the rows for which ``where`` holds.
+
+    Every language is learned; the model takes 2 MB for each.
+    """
     rows = docs.where(where & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
-    pick = F.lit(False)
-    for r in counts:  # a hash threshold lets about per_lang documents through
-        share = int(min(1.0, 2.0 * per_lang / r["n"]) * 2**31)
-        pick = pick | ((F.col("lang") == r["lang"]) & (F.pmod(F.xxhash64("id"), F.lit(2**31)) < share))
-    found = rows.where(pick).orderBy(F.xxhash64("id")).limit(4 * per_lang * MAX_LANGS).collect()
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
+    # A hash threshold lets about 2 * per_lang documents of each language through; a row for each language is broadcast.
+    shares = docs.sparkSession.createDataFrame([(r["lang"], int(min(1.0, 2.0 * per_lang / r["n"]) * 2**31)) for r in counts], "__lang string, __share long")
+    picked = rows.join(F.broadcast(shares), F.col("lang") == F.col("__lang")).where(F.pmod(F.xxhash64("id"), F.lit(2**31)) < F.col("__share"))
+    found = picked.select("id", "lang").orderBy(F.xxhash64("id")).limit(4 * per_lang * max(64, len(counts))).collect()
     chosen: dict[str, list[int]] = {}
     for r in found:
         if len(mine := chosen.setdefault(r["lang"], [])) < per_lang:
