@@ -283,6 +283,13 @@ def test_csv_round_trip_and_missing_input(spark, tmp_path):
     assert "<svg" in (tmp_path / "m.html").read_text()
 
 
+def test_map_has_all_routes(spark, tmp_path):
+    rows = [(1, i, at(t), float(i), float(t)) for i in range(510) for t in (0, 10)] + [(1, 999, at(0), 5000.0, 0.0)]
+    sources.write_map(spark.createDataFrame(rows, "convoy_id int, id long, time timestamp, x double, y double"), str(tmp_path / "m.html"))
+    page = (tmp_path / "m.html").read_text()
+    assert page.count("<polyline") == 510 and 'points="20.0,580.0 20.0,20.0"' in page and page.endswith("</svg>")
+
+
 def test_empty_points(spark):
     none = spark.createDataFrame([], sources.POINT)
     assert convoys.cmc(none, 3, 3, 60.0).count() == 0

@@ -103,15 +103,17 @@ def geojson(route_rows: DataFrame, key: str = "convoy_id") -> DataFrame:
     return line.select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.col(key).alias("group"), F.col("id"), colour.alias("colour")).alias("properties"), shape.alias("geometry"))).alias("feature"))
 
 
-def write_map(route_rows: DataFrame, path: str, title: str = "Convoys", limit: int = 500) -> None:
-    """A self-contained page with a layer per route; a page is for people, so it holds at most ``limit`` routes."""
-    features = [json.loads(r["feature"]) for r in geojson(route_rows).limit(limit).collect()]
-    points = [p for f in features for p in f["geometry"]["coordinates"]] or [list(reversed(CENTRE))]
-    (x0, y0), (x1, y1) = (tuple(map(f, zip(*points))) for f in (min, max))
+def write_map(route_rows: DataFrame, path: str, title: str = "Convoys") -> None:
+    """A self-contained page with a layer per route: all routes, one after another, so the driver holds one partition's at a time."""
+    spans = route_rows.groupBy("convoy_id", "id").agg(*(f(c).alias(f"{f.__name__}_{c}") for c in "xy" for f in (F.min, F.max)), F.count(F.lit(1)).alias("n"))
+    x0, x1, y0, y1 = spans.where("n > 1").agg(F.min("min_x"), F.max("max_x"), F.min("min_y"), F.max("max_y")).first()
     scale = lambda p: f"{(p[0] - x0) / ((x1 - x0) or 1) * 960 + 20:.1f},{(y1 - p[1]) / ((y1 - y0) or 1) * 560 + 20:.1f}"
-    lines = "".join(f'<g><title>{f["properties"]["group"]}: {f["properties"]["id"]}</title><polyline fill="none" stroke="{f["properties"]["colour"]}" points="{" ".join(map(scale, f["geometry"]["coordinates"]))}"/></g>' for f in features)
     with open(path, "w") as out:
-        out.write(f'<!doctype html><title>{title}</title><h1>{title}</h1><svg viewBox="0 0 1000 600">{lines}</svg>')
+        out.write(f'<!doctype html><title>{title}</title><h1>{title}</h1><svg viewBox="0 0 1000 600">')
+        for r in geojson(route_rows).toLocalIterator():
+            f = json.loads(r["feature"])
+            out.write(f'<g><title>{f["properties"]["group"]}: {f["properties"]["id"]}</title><polyline fill="none" stroke="{f["properties"]["colour"]}" points="{" ".join(map(scale, f["geometry"]["coordinates"]))}"/></g>')
+        out.write("</svg>")
 
 
 def events_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
