@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import itertools
 import sys
 import unicodedata
@@ -38,13 +37,15 @@ _state: dict = {}
 
 
 class RankQueue:
-    """Positions in buckets by merge rank, and a bitmap of three levels over the ranks that have any.
+    """Positions in buckets by merge rank, and a bitmap over the ranks that have any, in levels up to a single word.
 
-    A bit of a higher level is set if the word below it is not 0; the next rank is found by three find-first-set steps.
+    A bit of a higher level is set if the word below it is not 0; the next rank is found by a find-first-set step a level.
     """
 
     def __init__(self, ranks: int) -> None:
-        self.levels = [[0] * (-(-ranks // 64**k) // 64 + 1) for k in range(3)]
+        self.levels = [[0] * (-(-ranks // 64) or 1)]
+        while len(self.levels[-1]) > 1:
+            self.levels.append([0] * -(-len(self.levels[-1]) // 64))
         self.buckets: dict[int, list[np.ndarray]] = {}
 
     def push(self, ranks: np.ndarray, positions: np.ndarray) -> None:
@@ -127,27 +128,36 @@ class Vocabulary:
 
 
 def encode_one(vocab: Vocabulary, piece: bytes) -> list[int]:
-    """One pre-token, one merge at a time: lowest rank first, leftmost first; stale entries are skipped."""
-    ids = [int(vocab.byte[b]) for b in piece]
+    """One pre-token by the rank queue, one merge at a time: lowest rank first, leftmost first; stale positions are skipped."""
+    ids = vocab.byte[np.frombuffer(piece, np.uint8)].tolist()
     nxt, prv = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
-    live = [True] * len(ids)
-    size, heap = vocab.size, []
-    for i in range(len(ids) - 1):
-        if (r := vocab.pairs.get(ids[i] * size + ids[i + 1])) is not None:
-            heap.append((r, i))
-    heapq.heapify(heap)
-    while heap:
-        r, i = heapq.heappop(heap)
-        if not live[i] or (j := nxt[i]) >= len(ids) or vocab.pairs.get(ids[i] * size + ids[j]) != r:
-            continue
-        ids[i], live[j], nxt[i] = r, False, nxt[j]
-        if nxt[i] < len(ids):
-            prv[nxt[i]] = i
-            if (s := vocab.pairs.get(r * size + ids[nxt[i]])) is not None:
-                heapq.heappush(heap, (s, i))
-        if prv[i] >= 0 and (s := vocab.pairs.get(ids[prv[i]] * size + r)) is not None:
-            heapq.heappush(heap, (s, prv[i]))
-    return [ids[i] for i in range(len(ids)) if live[i]]
+    live, size, end = [True] * len(ids), vocab.size, len(ids)
+    queue = RankQueue(size)
+    ranks = vocab.rank(np.array(ids[:-1], np.int64), np.array(ids[1:], np.int64))
+    queue.push(ranks[ranks >= 0], np.flatnonzero(ranks >= 0))
+
+    def pair(i):
+        return vocab.pairs.get(ids[i] * size + ids[nxt[i]], -1) if i >= 0 and nxt[i] < end else -1
+
+    while (popped := queue.pop()) is not None:
+        rank, positions = popped
+        # A merge may bring a lower rank, or the same one further left: what is left of the bucket then waits behind it.
+        todo = positions.tolist()[::-1]
+        while todo:
+            i = todo.pop()
+            if not live[i] or pair(i) != rank:
+                continue
+            j = nxt[i]
+            ids[i], live[j], nxt[i] = rank, False, nxt[j]
+            if nxt[i] < end:
+                prv[nxt[i]] = i
+            new = [(r, k) for k in (prv[i], i) if (r := pair(k)) >= 0]
+            if new:
+                queue.push(np.array([r for r, _ in new]), np.array([k for _, k in new]))
+                if todo and min(r for r, _ in new) <= rank:
+                    queue.push(np.full(len(todo), rank), np.array(todo))
+                    break
+    return [x for x, on in zip(ids, live) if on]
 
 
 def encode_pieces(vocab: Vocabulary, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -278,25 +288,34 @@ def encode_batches(path: str, columns: list[pa.Array]) -> Iterator[tuple[np.ndar
     """
     vocab = vocabulary(path)
     cache = _state.setdefault(("cache", path), T.SpanCache(CACHE))
-    met, new_keys, blobs, lens = [], [], [], []
+    cut = []
     for column in columns:
         data, offsets = T.buffers(column)
-        starts, ends, at = pre_tokens(data, offsets)
-        keys, place, back = cache.distinct(data, starts, ends)
-        met.append((keys, back.astype(np.int32), at, starts[place], ends[place], data))
-    cache.make_room(sum(len(x[0]) for x in met))
-    for keys, _, _, starts, ends, data in met:
-        fresh = cache.missing(keys)
-        a, n = starts[fresh], ends[fresh] - starts[fresh]
+        cut.append((data, *pre_tokens(data, offsets)))
+    try:
+        met = [cache.distinct(data, starts, ends) for data, starts, ends, _ in cut]
+        cache.make_room(sum(len(x[0]) for x in met))
+        fresh = [cache.missing(keys, second) for keys, second, *_ in met]
+        keys, second = (np.concatenate([x[k][f] for x, f in zip(met, fresh)]) for k in (0, 1))
+        some, first, back = np.unique(keys, return_index=True, return_inverse=True)
+        if (second != second[first][back]).any():
+            raise T.Collision
+    except T.Collision:  # every pre-token for itself
+        for data, starts, ends, at in cut:
+            ids, span_at = encode_pieces(vocab, data, starts, ends)
+            yield ids, span_at[at]
+        return
+    blobs, lens = [], []
+    for (data, starts, ends, _), (_, _, place, _), new in zip(cut, met, fresh):
+        a, n = starts[place[new]], (ends - starts)[place[new]]
         blobs.append(data[np.arange(int(n.sum())) + np.repeat(a - np.cumsum(n) + n, n)])
-        new_keys.append(keys[fresh])
         lens.append(n)
-    keys, first = np.unique(np.concatenate(new_keys), return_index=True)
-    ends = np.cumsum(np.concatenate(lens))
-    starts = ends - np.concatenate(lens)
-    cache.insert(keys, *encode_pieces(vocab, np.concatenate(blobs), starts[first], ends[first]))
-    for keys, back, at, *_ in met:
-        ids, span_at = cache.take(keys, back)
+    stops = np.cumsum(np.concatenate(lens))
+    begins = stops - np.concatenate(lens)
+    cache.insert(some, second[first], *encode_pieces(vocab, np.concatenate(blobs), begins[first], stops[first]))
+    met = [(keys, second, back.astype(np.int32)) for keys, second, _, back in met]
+    for (*_, at), found in zip(cut, met):
+        ids, span_at = cache.take(*found)
         yield ids, span_at[at]
 
 

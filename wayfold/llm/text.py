@@ -19,9 +19,9 @@ SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[list(SPACES)] = True
 
-_ODD = 0x9E3779B97F4A7C15
-_BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_pow: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Masks that keep the first 0 to 8 bytes of a block of 8.
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -98,23 +98,25 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0 to n of an odd number and of its inverse, modulo 2^64."""
-    if len(_pow[0]) <= n:
-        size = 1 << int(n).bit_length()
-        for k, x in enumerate((_ODD, pow(_ODD, -1, 2**64))):
-            steps = np.full(size + 1, x, np.uint64)
-            steps[0] = 1
-            _pow[k] = np.cumprod(steps, dtype=np.uint64)
-    return _pow[0], _pow[1]
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of byte spans; those of different seeds are independent.
 
-
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, from one running polynomial sum over all bytes."""
-    up, down = _powers(len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:], dtype=np.uint64)
-    return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    A span is cut into blocks of 8 bytes.  Each block is mixed with its place in the span before the blocks are summed, so that
+    no pattern of equal or swapped parts cancels out; spans of one length of up to 8 bytes never collide.
+    """
+    size = ends - starts
+    blocks = (size + 7) >> 3
+    stop = np.cumsum(blocks)
+    owner_start = np.repeat(starts - 8 * (stop - blocks), blocks)
+    at = owner_start + 8 * np.arange(int(stop[-1]) if len(stop) else 0)
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    value = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))[at]
+    value &= _KEEP[np.minimum(np.repeat(ends, blocks) - at, 8)]
+    place = (at - np.repeat(starts, blocks)).astype(np.uint64) + np.uint64(8 + (seed << 40))
+    value ^= mixed(place * _ODD)
+    total = np.zeros(len(value) + 1, np.uint64)
+    np.cumsum(mixed(value), out=total[1:], dtype=np.uint64)
+    return mixed(total[stop] - total[stop - blocks] + size.astype(np.uint64) * _ODD)
 
 
 def row_of(offsets: np.ndarray) -> np.ndarray:
@@ -129,10 +131,16 @@ def crc32_rows(ids: np.ndarray) -> np.ndarray:
     return np.array([zlib.crc32(str(int(x)).encode()) for x in ids], np.int64)
 
 
+class Collision(Exception):
+    """Two different spans have the same first hash."""
+
+
 class SpanCache:
     """Ids of byte spans by hash, kept from batch to batch: a large sorted part, and a small one that is merged into it now and then.
 
-    Over ``limit`` different spans it begins anew, so its memory is bounded.
+    A span is known by two independent hashes of 64 bits: it is looked up by the first, and the second must agree, else
+    :class:`Collision` is raised and the caller encodes its spans without the cache.  Over ``limit`` different
+    spans it begins anew, so its memory is bounded.
     """
 
     def __init__(self, limit: int) -> None:
@@ -141,38 +149,44 @@ class SpanCache:
 
     def _clear(self) -> None:
         none = np.zeros(0, np.int64)
-        self.parts = [(np.zeros(0, np.uint64), none, none), (np.zeros(0, np.uint64), none, none)]
+        self.parts = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), none, none) for _ in range(2)]
         self.pool, self.used = np.zeros(1 << 16, np.int32), 0
 
     @staticmethod
-    def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Keys of the different spans, where each is first met, and which of them every span is."""
-        return np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-
-    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First and second hashes of the different spans, where each is first met, and which of them every span is."""
+        keys, place, back = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        second = span_hashes(data, starts, ends, 1)
+        if (second != second[place][back]).any():
+            raise Collision
+        return keys, second[place], place, back
+
+    def _find(self, keys: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         begin, size = np.zeros(len(keys), np.int64), np.full(len(keys), -1, np.int64)
-        for known, at, lens in self.parts:
+        for known, check, at, lens in self.parts:
             if len(known):
                 where = np.minimum(np.searchsorted(known, keys), len(known) - 1)
                 hit = known[where] == keys
+                if (check[where[hit]] != second[hit]).any():
+                    raise Collision
                 begin[hit], size[hit] = at[where[hit]], lens[where[hit]]
         return begin, size
 
-    def missing(self, keys: np.ndarray) -> np.ndarray:
+    def missing(self, keys: np.ndarray, second: np.ndarray) -> np.ndarray:
         """Which of the keys are not kept."""
-        return np.flatnonzero(self._find(keys)[1] < 0)
+        return np.flatnonzero(self._find(keys, second)[1] < 0)
 
-    def insert(self, keys: np.ndarray, ids: np.ndarray, at: np.ndarray) -> None:
+    def insert(self, keys: np.ndarray, second: np.ndarray, ids: np.ndarray, at: np.ndarray) -> None:
         """Keep the ids of different keys that are not kept yet; ``at`` has n + 1 offsets."""
         if self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate((self.pool[: self.used], np.zeros(self.used + 2 * len(ids), np.int32)))
         self.pool[self.used : self.used + len(ids)] = ids
-        self._add(keys, self.used + at[:-1], np.diff(at))
+        self._add(keys, second, self.used + at[:-1], np.diff(at))
         self.used += len(ids)
 
-    def take(self, keys: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def take(self, keys: np.ndarray, second: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the spans one after another, and n + 1 offsets."""
-        begin, size = self._find(keys)
+        begin, size = self._find(keys, second)
         lens = size[back]
         stop = np.cumsum(lens)
         total = int(stop[-1]) if len(stop) else 0
@@ -185,15 +199,18 @@ class SpanCache:
 
     def lookup(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all spans one after another, and n + 1 offsets; ``encode(starts, ends)`` gives both for spans not met before."""
-        keys, place, back = self.distinct(data, starts, ends)
-        self.make_room(len(keys))
-        fresh = self.missing(keys)
+        try:
+            keys, second, place, back = self.distinct(data, starts, ends)
+            self.make_room(len(keys))
+            fresh = self.missing(keys, second)
+        except Collision:
+            return encode(starts, ends)
         if len(fresh):
-            self.insert(keys[fresh], *encode(starts[place[fresh]], ends[place[fresh]]))
-        return self.take(keys, back)
+            self.insert(keys[fresh], second[fresh], *encode(starts[place[fresh]], ends[place[fresh]]))
+        return self.take(keys, second, back)
 
-    def _add(self, keys, begin, size) -> None:
-        small = [np.concatenate(x) for x in zip(self.parts[1], (keys, begin, size))]
+    def _add(self, *new: np.ndarray) -> None:
+        small = [np.concatenate(x) for x in zip(self.parts[1], new)]
         if len(small[0]) > max(50_000, len(self.parts[0][0]) // 4):
             whole = [np.concatenate(x) for x in zip(self.parts[0], small)]
             order = np.argsort(whole[0])
