@@ -75,10 +75,12 @@ def test_dedup_hot_group(spark, monkeypatch):
     assert got[0] == (897, 300, False) and got[897] == (897, 300, True) and got[1] == (1, 1, True) and len(got) == 900
 
 
-def test_dedup_equals_sql(spark):
-    got = sorted(map(tuple, entry.op1_exact_dedup(spark, SF).select("doc_id", "group_size", "keep_id", "kept", "text_sha256").collect()))
+@pytest.mark.parametrize("name", sorted(entry.ORACLE_SQL))
+def test_query_equals_sql(spark, name):
+    got = entry.QUERIES[name](spark, SF)
+    cols = sorted(got.columns)
     duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    assert got == sorted(duckdb.sql(f"SELECT doc_id, group_size, keep_id, kept, text_sha256 FROM ({entry.ORACLE_SQL['op1_exact_dedup']})").fetchall())
+    assert sorted(map(tuple, got.select(*cols).collect())) == sorted(duckdb.sql(f"SELECT {', '.join(cols)} FROM ({entry.ORACLE_SQL[name]})").fetchall())
 
 
 def test_forward_backward_equals_plain_recursion():
@@ -177,8 +179,73 @@ def test_tokenizers_on_random_texts():
 
 
 def test_byte_bpe_digests(spark, texts):
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(BPE, "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     rows = {r["doc_id"]: r for r in entry.op5_byte_bpe(spark, SF).collect()}
-    assert all(rows[i]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest() for i, t in texts.items())
+    assert len(rows) == len(texts)
+    for i, t in texts.items():
+        ids = enc.encode_ordinary(t)
+        want = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+        assert (rows[i]["n_tokens"], rows[i]["ids_sha256"], rows[i]["decoded_sha256"]) == want
+
+
+def thue_morse(n):
+    """A word and its complement: sums of byte powers modulo 2^64 can't part them."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return [word, word.translate(str.maketrans("ab", "ba"))]
+
+
+@pytest.mark.parametrize("n", [512, 1024, 2048])
+def test_hashes_part_regular_words(spark, n):
+    pair = thue_morse(n)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(BPE, "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ids, at = byte_bpe.encode_batch(BPE, pa.array(pair))
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [enc.encode_ordinary(x) for x in pair]
+    tk = Tokenizer.from_file(WORDS)
+    ids, at = token_file.tokenize(WORDS, *T.buffers(pa.array(pair)))
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [tk.encode(x, add_special_tokens=False).ids for x in pair]
+    got = ngram_join.near_classes(spark.createDataFrame([(i, x, "en", "s", 1) for i, x in enumerate(pair)], SCHEMA)).collect()
+    assert sorted(r["component_id"] for r in got) == [0, 1]
+
+
+def test_equal_first_hashes_are_told_apart(monkeypatch):
+    """Were the first hashes of different pre-tokens equal, the second ones say so and each is encoded by itself."""
+    whole = T.span_hashes
+    monkeypatch.setattr(T, "span_hashes", lambda data, a, b, seed=0: whole(data, a, b, seed) if seed else whole(data, a, b) % np.uint64(7))
+    byte_bpe._state.pop(("cache", BPE), None)
+    token_file._state.clear()
+    texts = ["one two three four five six seven eight nine ten eleven", "twelve, thirteen. one"]
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(BPE, "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    tk = Tokenizer.from_file(WORDS)
+    for _ in range(2):
+        ids, at = byte_bpe.encode_batch(BPE, pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [enc.encode_ordinary(x) for x in texts]
+        ids, at = token_file.tokenize(WORDS, *T.buffers(pa.array(texts)))
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [tk.encode(x, add_special_tokens=False).ids for x in texts]
+    byte_bpe._state.pop(("cache", BPE), None)
+    token_file._state.clear()
+
+
+@pytest.mark.parametrize("ranks", [1, 64, 65, 4096, 262_144, 300_000])
+def test_rank_queue_pops_in_order(ranks):
+    queue, rnd = byte_bpe.RankQueue(ranks), random.Random(ranks)
+    pushed = [(rnd.randrange(ranks), i) for i in range(200)] + [(ranks - 1, 200)]
+    queue.push(np.array([r for r, _ in pushed[:90]]), np.array([i for _, i in pushed[:90]]))
+    queue.push(np.array([r for r, _ in pushed[90:]]), np.array([i for _, i in pushed[90:]]))
+    got = []
+    while (x := queue.pop()) is not None:
+        got += [(x[0], int(i)) for i in x[1]]
+    assert got == sorted(pushed)
+
+
+def test_one_pre_token_by_the_queue():
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(BPE, "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rnd = random.Random(2)
+    for x in ["a" * 500, "ababa" * 30, "", *("".join(rnd.choice("aabcdeoth ") for _ in range(120)) for _ in range(30))]:
+        assert byte_bpe.encode_one(byte_bpe.vocabulary(BPE), x.encode()) == (enc._encode_single_piece(x) if x else [])
 
 
 def test_toxicity_on_held_out_labels(spark):
@@ -266,8 +333,11 @@ def near_rows(rnd, n):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_near_classes_equal_all_pairs(spark, seed):
+@pytest.mark.parametrize("seed,block", [(1, None), (2, None), (3, 2), (4, 8)])
+def test_near_classes_equal_all_pairs(spark, monkeypatch, seed, block):
+    if block:  # lists of several blocks, and no light rounds but one: the exact round does the rest
+        monkeypatch.setattr(ngram_join, "BLOCK", block)
+        monkeypatch.setattr(ngram_join, "ROUNDS", 0)
     rnd = random.Random(seed)
     texts = dict(enumerate(near_rows(rnd, 150) + ["a b c", "A  b\nc", "a b", "", "one two three four five"]))
     got = ngram_join.near_classes(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts.items()], SCHEMA)).collect()
@@ -279,25 +349,95 @@ def test_tree_links_join_all_classes(monkeypatch):
     texts = near_rows(random.Random(9), 80)
     sets, at = ngram_join.shingle_sets(*T.buffers(pa.array(texts)))
     own = [sets[a:b] for a, b in zip(at[:-1], at[1:])]
-    parent = list(range(len(texts)))
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
+    ids = list(range(len(texts)))
+    want = {i: c for i, (_, c) in plain_classes(dict(enumerate(texts))).items()}
 
-    for half in (None, 40):
-        parent[:] = range(len(texts))
-        if half:  # two nodes: each with itself, and both together
-            ids = list(range(len(texts)))
-            cut = [(ids[:half], ids[:half], own[:half]), (ids[half:], ids[half:], own[half:])]
-            links = ngram_join.tree_links(*cut[0]) + ngram_join.tree_links(*cut[1]) + ngram_join.tree_links(*cut[0], other=cut[1])
-        else:
-            links = ngram_join.tree_links(list(range(len(texts))), list(range(len(texts))), own)
+    def classes(links):
+        parent = list(ids)
         for a, b in links:
-            x, y = find(a), find(b)
+            x, y = a, b
+            while parent[x] != x:
+                x = parent[x]
+            while parent[y] != y:
+                y = parent[y]
             parent[max(x, y)] = min(x, y)
-        assert {i: find(i) for i in range(len(texts))} == {i: c for i, (_, c) in plain_classes(dict(enumerate(texts))).items()}
+        return {i: (lambda x: [x := parent[x] for _ in ids][-1])(i) for i in ids}
+
+    assert classes(ngram_join.tree_links(ids, ids, own)) == want
+    side = np.arange(len(ids)) >= 40
+    halves = [ngram_join.tree_links(ids[a:b], ids[a:b], own[a:b]) for a, b in ((0, 40), (40, 80))]
+    assert classes(halves[0] + halves[1] + ngram_join.tree_links(ids, ids, own, side)) == want
+    every = {tuple(sorted(x)) for x in ngram_join.tree_links(ids, ids, own, every=True)}
+    assert every == plain_links(own) and len(every) > 5
+
+
+def pairs_of(chunks):
+    return [p for a, b in chunks for p in zip(a.tolist(), b.tolist())]
+
+
+def plain_links(sets):
+    out = set()
+    for i, a in enumerate(sets):
+        for j in range(i):
+            o = len(np.intersect1d(a, sets[j]))
+            if o and 100 * o >= 80 * (len(a) + len(sets[j]) - o):
+                out.add((j, i))
+    return out
+
+
+@pytest.mark.parametrize("leaf,fan", [(1, 2), (2, 3), (16, 4)])
+def test_forest_loses_no_pair(monkeypatch, leaf, fan):
+    """All pairs of a tree, or across two, that link are among those which the traversal leaves; most others aren't."""
+    monkeypatch.setattr(ngram_join, "LEAF", leaf)
+    monkeypatch.setattr(ngram_join, "FAN", fan)
+    monkeypatch.setattr(ngram_join, "PAIRS", 7)
+    rnd = random.Random(3)
+    texts = near_rows(rnd, 90) + [" ".join(f"v{rnd.randint(0, 10**6)}" for _ in range(k)) for k in (500, 600, 700, 1500)]
+    texts += [texts[-1] + " more words", texts[-2].replace("v1", "v2"), texts[-4]]
+    sets, at = ngram_join.shingle_sets(*T.buffers(pa.array(texts)))
+    own = [sets[a:b] for a, b in zip(at[:-1], at[1:])]
+    tree = np.array([rnd.randint(0, 2) for _ in texts])
+    forest = ngram_join.SignatureForest(tree, np.array([len(x) for x in own]), [ngram_join.bitmap(x) for x in own], np.arange(len(own)))
+    links = plain_links(own)
+    found = [tuple(sorted(p)) for p in pairs_of(forest.pairs())]
+    assert len(found) == len(set(found)) and {p for p in links if tree[p[0]] == tree[p[1]]} <= set(found) and all(tree[i] == tree[j] for i, j in found)
+    cross = {tuple(sorted(p)) for p in pairs_of(forest.pairs(across=(np.array([0]), np.array([2]))))}
+    assert {p for p in links if {tree[p[0]], tree[p[1]]} == {0, 2}} <= cross and len(cross) < 700
+    same = ngram_join.SignatureForest(tree, np.array([len(x) for x in own]), [ngram_join.bitmap(x) for x in own], np.zeros(len(own), np.int64))
+    assert not pairs_of(same.pairs())
+
+
+def test_near_links_are_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    texts = dict(enumerate(near_rows(random.Random(4), 120) + ["a b c", "", "A b  c"]))
+    sets, at = ngram_join.shingle_sets(*T.buffers(pa.array(list(texts.values()))))
+    own = [sets[a:b] for a, b in zip(at[:-1], at[1:])]
+    first = {}
+    for i, x in enumerate(own):
+        first.setdefault(x.tobytes(), i)
+    got = ngram_join.near_links(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts.items()], SCHEMA)).collect()
+    assert {tuple(r) for r in got} == {p for p in plain_links(own) if all(first[own[k].tobytes()] == k for k in p)}
+
+
+def test_lists_are_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 3)
+    rnd = random.Random(8)
+    rows = [(rnd.randint(1, 6), i, 9, 0) for i in range(40)] + [(100 + i, i, 1, 0) for i in range(30)] + [(200, 1, 10, 0), (200, 2, 99, 0), (201, 1, 100, 30), (201, 2, 100, 0)]
+    got = ngram_join._blocks(spark.createDataFrame(rows, "token long, id long, n long, pos int").repartition(5), "t", 80, []).collect()
+    blocks = defaultdict(list)
+    for r in got:
+        blocks[r["block"]].append(r)
+    assert all(len(b) <= 3 and len({r["token"] for r in b}) == 1 for b in blocks.values())
+    found = {tuple(r)[:4] for r in got}
+    assert found >= set(rows[:40]) and len(got) == len(found) and len([r for r in got if r["token"] > 99]) < 12
+
+
+def test_partners_by_size_and_place():
+    token, ids = np.array([1, 1, 1, 2, 2, 3, 3]), np.array([1, 2, 3, 1, 2, 1, 1])
+    n, pos = np.array([10, 80, 100, 100, 100, 50, 50]), np.array([0, 0, 0, 0, 12, 0, 0])
+    assert ngram_join._partnered(token, ids, n, pos, 80).tolist() == [False, True, True, False, False, False, False]
+    pos[4] = 11
+    assert ngram_join._partnered(token, ids, n, pos, 80)[3:5].all()
 
 
 def test_set_views():

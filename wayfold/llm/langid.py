@@ -120,14 +120,17 @@ def forward_backward(scores: np.ndarray, at: np.ndarray, trans: np.ndarray, pair
     e[t, b] = np.maximum(np.exp(scores - scores.max(1, keepdims=True)), 1e-30)
     step = np.exp(trans - trans.max())
     into, back = np.ones((total, k)) / k, np.ones((total, k))
-    # A chain begins without a transition, which an even state before it, solved back through it, gives.
-    into[rank[first[:-1][lens > 0]]] = np.linalg.solve(step.T, np.ones(k)) if np.linalg.cond(step) < 1e6 else np.ones(k) / k
+    begins = np.zeros(total, bool)  # a chain's first block: its first word has no transition before it
+    begins[rank[first[:-1][lens > 0]]] = True
     if most > 1:
         # Transfer of a block: row vector of the state before it -> row vector after it.
         move = np.tile(np.eye(k), (total, 1, 1))
         for i in range(BLOCK):
             c = reach[i]
-            move[:c] = (move[:c].reshape(-1, k) @ step).reshape(c, k, k) * e[i, :c, None, :]
+            moved = (move[:c].reshape(-1, k) @ step).reshape(c, k, k)
+            if i == 0:
+                moved[begins[:c]] = 1.0
+            move[:c] = moved * e[i, :c, None, :]
             if i % 8 == 7:
                 move[:c] /= move[:c].sum((1, 2), keepdims=True)
         for i in range(1, most):
@@ -142,7 +145,10 @@ def forward_backward(scores: np.ndarray, at: np.ndarray, trans: np.ndarray, pair
     now = into
     for i in range(BLOCK):
         c = reach[i]
-        nxt = np.maximum((now[:c] @ step) * e[i, :c], 1e-300)
+        nxt = now[:c] @ step
+        if i == 0:
+            nxt[begins[:c]] = 1.0
+        nxt = np.maximum(nxt * e[i, :c], 1e-300)
         now[:c] = nxt / nxt.sum(1, keepdims=True)
         alpha[i, :c] = now[:c]
     now = back

@@ -13,9 +13,9 @@ def remainder(id_col: str, modulus: int):
 
 
 def texts_of(docs: DataFrame, ids: list[int], id_col: str = "doc_id", text_col: str = "text", more: tuple[str, ...] = ()) -> pa.Table:
-    """The rows of a bounded list of ids, by id, one row each."""
+    """The rows of a bounded list of ids, by id, one row each: of rows with equal ids the one with the least text."""
     rows = docs.where(F.col(id_col).isin(ids) if ids else F.lit(False)).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *more)
-    return rows.dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    return rows.groupBy("doc_id").agg(F.min(F.struct("text", *more)).alias("row")).select("doc_id", "row.*").toArrow().sort_by("doc_id")
 
 
 def labelled(docs: DataFrame, labels: DataFrame, columns: list[str], where, limit: int) -> tuple[pa.Table, dict[int, tuple]]:

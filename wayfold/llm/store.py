@@ -12,9 +12,15 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset (tests)."""
+    """``spark.checkpoint.dir`` of the session.
+
+    Where it is unset, a session on this machine alone gets a temporary folder; on a cluster there is none that all executors
+    see, so that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="wayfold-checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -24,14 +30,28 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: a lineage cut that outlives executors."""
+def written(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: a lineage cut that outlives executors.
+
+    ``paths`` gets the table's path, for :func:`dropped`.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    if paths is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written tables that no result reads any more, by Spark's own file system for their paths."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    paths.clear()
+
+
 def in_written_order(table: DataFrame, name: str) -> DataFrame:
     """The rows of a written table and, as ``name``, their places from 0 in the order of the partitions that were written.
 
