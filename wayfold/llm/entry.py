@@ -57,7 +57,7 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix_sources(read_table(spark, sf_dir, "documents"))
-    return mix.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), F.array_min("positions").alias("first_position"))
+    return mix.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,4 +91,20 @@ ORACLE_SQL = {
         SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c.component_id
         FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c USING (doc_id)
     """,
+    # Targets by shares in the order in which sources reach their limits; the line of each source in the order of MD5.
+    "op9_mixing": r"""
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(CAST(doc_id AS VARCHAR)) AS o FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS nth FROM d GROUP BY source),
+        w AS (SELECT *, CAST([5, 2, 1][nth % 3 + 1] AS DOUBLE) AS weight FROM s),
+        c AS (SELECT *, sum(source_size) OVER () AS total, sum(weight) OVER () AS weights, coalesce(sum(source_size) OVER before, 0) AS cut_size, coalesce(sum(weight) OVER before, 0) AS cut_weight
+              FROM w WINDOW before AS (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        f AS (SELECT *, weight * (total - 3.0::DOUBLE * cut_size) / (weights - cut_weight) >= 3 * source_size AS whole FROM c),
+        t AS (SELECT source, source_size, CASE WHEN whole THEN CAST(3 * source_size AS DOUBLE) ELSE
+                weight * (total - 3.0::DOUBLE * coalesce(sum(source_size) FILTER (whole) OVER (), 0)) / (weights - coalesce(sum(weight) FILTER (whole) OVER (), 0)) END AS target FROM f),
+        l AS (SELECT d.doc_id, size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size + 1e-9) ELSE 0 END AS epochs,
+                sum(size) OVER (PARTITION BY d.source ORDER BY o, d.doc_id, size ROWS UNBOUNDED PRECEDING) - size / 2.0::DOUBLE AS middle
+              FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+        SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+               CAST(size * CASE WHEN size = 0 THEN 0 ELSE least(epochs + CASE WHEN epochs < 3 AND middle < target - epochs * source_size THEN 1 ELSE 0 END, 3) END AS BIGINT) AS taken FROM l
+    """,
 }

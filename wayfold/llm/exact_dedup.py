@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .store import written
 
-#: A text is hot when its copies would fill so large a part of one shuffle partition.
+#: A text is hot when its copies would fill over 1 / HOT_PARTS of one shuffle partition, by rows or by bytes.
 HOT_PARTS = 2
 #: Characters of the text by which it is first sorted and parted.
 LEAD = 32
@@ -40,7 +40,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = rows.withColumns({"lead": F.substring("t", 1, LEAD), "h": F.xxhash64("t")})
     salted = ["lead", "h"]
     if hot:
-        keyed = keyed.withColumn("salt", F.when(F.col("h").isin(hot), F.pmod(F.xxhash64("id"), F.lit(parts))).otherwise(F.lit(0)).cast("int"))
+        keyed = keyed.withColumn("salt", F.when(F.col("h").isin(hot), F.pmod(F.monotonically_increasing_id(), F.lit(parts))).otherwise(F.lit(0)).cast("int"))
         salted.append("salt")
     sorted_rows = keyed.repartitionByRange(*salted)
     same = Window.partitionBy(*salted, "t")  # met by the range partitions: no second exchange
@@ -55,7 +55,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             marked.where(F.col("h").isin(hot)).groupBy("sha", "salt").agg(F.first("top").alias("top"), F.first("n").alias("n"))
             .groupBy(F.col("sha").alias("hot_sha")).agg(best("top").alias("hot_top"), F.sum("n").alias("hot_n"))
         )
-        # len(hot) <= HOT_PARTS * parts by construction, 80 bytes each.
+        # len(hot) <= 2 * HOT_PARTS * parts by construction, 80 bytes each.
         marked = marked.join(F.broadcast(whole), F.col("sha") == F.col("hot_sha"), "left").select(
             "id", "sha", F.when(F.col("hot_n").isNull(), F.col("top")).otherwise(F.col("hot_top")).alias("top"), F.coalesce("hot_n", "n").alias("n")
         )
@@ -66,10 +66,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _hot(rows: DataFrame, parts: int) -> list[int]:
-    """Hashes of the texts with over total / (HOT_PARTS * parts) copies; there are fewer than HOT_PARTS * parts of them."""
-    per_text = rows.groupBy(F.xxhash64("t").alias("h")).agg(F.count(F.lit(1)).alias("n"))
-    # A text that fills 1 / (HOT_PARTS * parts) of the table is among the most frequent HOT_PARTS * parts.
-    top = per_text.orderBy(F.desc("n"), "h").limit(HOT_PARTS * parts)
-    total = rows.select(F.count(F.lit(1))).first()[0]
-    least = max(100, math.ceil(total / (HOT_PARTS * parts)))
-    return [r["h"] for r in top.where(F.col("n") >= least).collect()]
+    """Hashes of the texts with over 1 / (HOT_PARTS * parts) of all rows, or of all bytes; there are fewer than twice HOT_PARTS * parts."""
+    per_text = rows.groupBy(F.xxhash64("t").alias("h")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("t") + F.lit(1)).alias("b"))
+    total, size = rows.select(F.count(F.lit(1)), F.sum(F.octet_length("t") + F.lit(1))).first()
+    least = 1 / (HOT_PARTS * parts)
+    share = F.greatest(F.col("n") / max(total, 1), F.col("b") / max(size or 0, 1))
+    top = per_text.where((F.col("n") > 1) & (share > least)).orderBy(F.desc("n"), "h").limit(2 * HOT_PARTS * parts)  # no more than that can be
+    return [r["h"] for r in top.collect()]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
+from .store import written
 
 #: The symbols that are counted.
 SYMBOLS = b"#*$%&|<>"
@@ -20,7 +21,7 @@ COMMON_SHARE, COMMON_WORDS = 1 / 2000, 64
 #: Least words and characters for a verdict, and the distances beyond which a text is rejected.
 MIN_WORDS, MIN_CHARS = 60, 300
 CLASS_LIMIT, WORD_LIMIT = 0.30, 0.48
-#: Counts that one task holds before small ones are dropped (see _candidates).
+#: Counts that one task holds of a language before small ones are dropped (see _held_counts).
 HELD = 1_000_000
 #: Tasks that add up the partitions' counts before the driver does.
 SUM_TASKS = 16
@@ -98,8 +99,8 @@ def _word_hashes(data, offsets):
     return T.span_hashes(_LOWER[data], starts, ends), at
 
 
-def _candidates(batches):
-    """Words that may reach COMMON_SHARE of their language: lossy counts per language, their error counted in favour."""
+def _held_counts(batches):
+    """Lossy counts of a task's words per language: ``lang, word, n``; the row of a null word has all words, and in ``error`` what any count may lack."""
     held: dict = {}
     for batch in batches:
         for part in T.chunks(batch):
@@ -120,8 +121,22 @@ def _candidates(batches):
                     both, sums = both[stay], sums[stay]
                 held[lang] = (both, sums, error, total)
     for lang, (keys, counts, error, total) in held.items():
-        stay = counts + error >= COMMON_SHARE * total
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * int(stay.sum()), pa.string()), pa.array(keys[stay].view(np.int64))], ["lang", "word"])
+        n = len(keys)
+        word = pa.array(np.append(keys.view(np.int64), 0), mask=np.arange(n + 1) == n)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * (n + 1), pa.string()), word, pa.array(np.append(counts, total)), pa.array(np.append(np.zeros(n, np.int64), error))], ["lang", "word", "n", "error"])
+
+
+def _candidates(rows: DataFrame) -> np.ndarray:
+    """Hashes of the words that may reach COMMON_SHARE of a language: the tasks' counts are added up on the executors.
+
+    What a task has dropped of a word is at most its error, so the sum of all errors is counted in the words' favour.  The driver gets at most
+    1 / COMMON_SHARE words of a language, or those within the errors of it.
+    """
+    counts = rows.mapInArrow(_held_counts, "lang string, word long, n long, error long").groupBy("lang", "word").agg(F.sum("n").alias("n"), F.sum("error").alias("error"))
+    counts = written(counts, "word-counts")
+    whole = counts.where("word is null").select("lang", F.col("n").alias("total"), F.col("error").alias("slack"))  # a row for each language
+    near = counts.where("word is not null").join(F.broadcast(whole), "lang").where(F.col("n") + F.col("slack") >= COMMON_SHARE * F.col("total"))
+    return np.sort(near.select("word").distinct().toPandas()["word"].to_numpy().astype(np.int64).view(np.uint64))
 
 
 def _exact(keys: np.ndarray):
@@ -165,13 +180,11 @@ def _sum_counts(batches):
 def language_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict:
     """Histograms of each language over all rows: exact counts of its common words and of the character classes.
 
-    A word of a share of COMMON_SHARE or more has that share in some partition as well, so the candidates of the
-    partitions hold every such word; a second pass counts the candidates exactly.  What comes to the driver is bounded
-    by languages / COMMON_SHARE candidates per partition, summed on the executors first.
+    The candidates hold every word of a share of COMMON_SHARE or more; a second pass counts them exactly.  The number
+    of languages is taken as bounded: the driver and each task hold the candidates' counts of every one.
     """
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    found = rows.mapInArrow(_candidates, "lang string, word long").select("word").distinct().toPandas()["word"].to_numpy()
-    keys = np.sort(found.astype(np.int64).view(np.uint64))
+    keys = _candidates(rows)
     each = rows.mapInArrow(_exact(keys), "lang string, counts array<long>")
     summed = each.repartition(SUM_TASKS).mapInArrow(_sum_counts, "lang string, counts array<long>").toPandas()  # SUM_TASKS rows per language
     table: dict[str, np.ndarray] = {}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -139,12 +140,33 @@ def decode_block(table: Table, block: bytes, point: int | None = None) -> np.nda
 # --- tokenizing -------------------------------------------------------------
 
 
+#: The parts of a tokenizer file for which word_pieces holds: lower case, white space to one space, and runs of
+#: letters, single numbers, endings and runs of marks as pre-tokens.
+NORMALIZER = ("NFC", ("Replace", "\\s+", " "), "Lowercase")
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def splits_by_words(path: str) -> bool:
+    """Whether the file's normaliser, pre-tokenizer and special tokens are those that :func:`word_pieces` stands on."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)
+    steps = (found.get("normalizer") or {}).get("normalizers", [])
+    kinds = tuple((x["type"], x["pattern"].get("Regex"), x["content"]) if x["type"] == "Replace" else x["type"] for x in steps)
+    cuts = (found.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    split = [x for x in cuts if x["type"] == "Split"]
+    plain = [x for x in cuts if x["type"] == "ByteLevel" and not x["add_prefix_space"] and not x["use_regex"]]
+    return (
+        kinds == NORMALIZER and len(cuts) == 2 and len(split) == len(plain) == 1 and split[0]["pattern"] == {"Regex": SPLIT} and split[0]["invert"] and split[0]["behavior"] == "Removed"
+        and all(x["content"].startswith("<|") for x in found["added_tokens"]) and not found.get("post_processor") and found["model"]["type"] == "BPE"
+    )
+
+
 def _tokenizer(path: str):
     if path not in _state:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _state[path] = Tokenizer.from_file(path), T.SpanCache(CACHE)
+        _state[path] = Tokenizer.from_file(path), T.SpanCache(CACHE), splits_by_words(path)
     return _state[path]
 
 
@@ -174,9 +196,14 @@ def word_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def tokenize(path: str, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts by the tokenizer file, without added special tokens, and n + 1 row offsets.  Each different piece is tokenized once."""
-    tokenizer, cache = _tokenizer(path)
-    if b"<|" in data.tobytes():  # might be a special token's string: its letters' case and the marks in it matter
+    """Ids of all texts by the tokenizer file, without added special tokens, and n + 1 row offsets.
+
+    Each different piece is tokenized once; with a file of other rules than :func:`splits_by_words` knows, each different text.
+    """
+    tokenizer, cache, by_words = _tokenizer(path)
+    if not by_words:
+        starts, ends, at = offsets[:-1], offsets[1:], np.arange(len(offsets))
+    elif b"<|" in data.tobytes():  # might be a special token's string: its letters' case and the marks in it matter
         starts, ends, at = T.words(data, offsets)
     else:
         data = _LOWER[data]

@@ -13,8 +13,8 @@ from .sample import labelled, remainder
 
 #: The chain is fitted on at most so many labelled documents.
 TRAIN_ROWS = 6_000
-#: Categories in the order of the chain.  ``severe``: documents marked toxic in which at least SEVERE_SHARE of the
-#: SEVERE_TERMS most telling terms' mass lies above that of most toxic documents; ``toxic``: the label itself.
+#: Categories in the order of the chain.  ``severe``: documents marked toxic with at least SEVERE_HITS of the SEVERE_TERMS most
+#: telling terms; ``toxic``: the label itself.
 CATEGORIES = ("severe", "toxic")
 SEVERE_TERMS, SEVERE_HITS = 200, 4
 #: Terms: letter runs, and their beginnings of so many bytes.
@@ -84,47 +84,78 @@ def _probability(w, rows, cols, n, extra) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _telling(keys: np.ndarray, bad: np.ndarray, good: np.ndarray, n_bad: float, n_good: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the terms that take part, by key, and of the most telling of them, by log odds."""
+    odds = np.log((bad + 0.5) / (n_bad + 1)) - np.log((good + 0.5) / (n_good + 1))
+    some = np.flatnonzero((bad >= MIN_DOCS) & (odds > 1.0))
+    best = some[np.lexsort((keys[some], -odds[some] * np.sqrt(bad[some])))][:MAX_TERMS]
+    return np.sort(best), best[:SEVERE_TERMS]
+
+
 def fit(texts: list[str], toxic: np.ndarray) -> dict:
-    """Select terms by log odds, derive the categories, and fit the chain on out-of-fold probabilities."""
+    """Select terms by log odds, derive the categories, and fit the chain on out-of-fold probabilities.
+
+    For each fold, terms, categories and models are chosen from the other folds alone; the probabilities that they give to
+    the fold's documents are what the next category's model is fed in training.
+    """
     toxic = np.asarray(toxic, float)
     n = len(texts)
-    keys, bad, good = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
-    for first, column in T.pieces(texts, PIECE):  # counts of one group of texts at a time
+    fold = (T.mixed(np.arange(n, dtype=np.uint64)) % np.uint64(FOLDS)).astype(np.int64)
+    keys, counts = np.zeros(0, np.uint64), np.zeros((0, FOLDS, 2))
+    for first, column in T.pieces(texts, PIECE):  # counts of one group of texts at a time: documents by term, fold and label
         row, h = terms(*T.buffers(column))
         _, one = np.unique(T.mixed(h + T.mixed(row.astype(np.uint64))), return_index=True)
         some, where = np.unique(h[one], return_inverse=True)
-        mark = toxic[first + row[one]]
+        doc = first + row[one]
+        now = np.bincount((where * FOLDS + fold[doc]) * 2 + toxic[doc].astype(np.int64), minlength=len(some) * FOLDS * 2).reshape(-1, FOLDS, 2)
         both, back = np.unique(np.concatenate((keys, some)), return_inverse=True)
-        bad = np.bincount(back, np.concatenate((bad, np.bincount(where, mark, len(some)))), len(both))
-        good = np.bincount(back, np.concatenate((good, np.bincount(where, 1 - mark, len(some)))), len(both))
-        keys = both
-    odds = np.log((bad + 0.5) / (toxic.sum() + 1)) - np.log((good + 0.5) / (n - toxic.sum() + 1))
-    telling = np.flatnonzero((bad >= MIN_DOCS) & (odds > 1.0))
-    best = telling[np.lexsort((keys[telling], -odds[telling] * np.sqrt(bad[telling])))][:MAX_TERMS]
-    order = np.sort(best)
-    model = {"keys": keys[order], "categories": CATEGORIES, "chain": [], "sieve": np.zeros(65536, bool)}
-    model["sieve"][(model["keys"] & np.uint64(0xFFFF)).astype(np.int64)] = True
-    found = [(first, *features(model["keys"], model["sieve"], *T.buffers(column))) for first, column in T.pieces(texts, PIECE)]
+        merged = np.zeros((len(both), FOLDS, 2), np.int32)
+        np.add.at(merged, back[: len(keys)], counts.astype(np.int32))
+        np.add.at(merged, back[len(keys) :], now.astype(np.int32))
+        keys, counts = both, merged
+    docs = np.stack([np.bincount(fold, 1 - toxic, FOLDS), np.bincount(fold, toxic, FOLDS)], 1) if n else np.zeros((FOLDS, 2))
+    chosen = []  # for each fold, then for all documents: the terms, the strongest of them
+    for k in [*range(FOLDS), None]:
+        seen = np.arange(FOLDS) != (-1 if k is None else k)
+        sums, of = counts[:, seen].sum(1), docs[seen].sum(0)
+        chosen.append(_telling(keys, sums[:, 1], sums[:, 0], of[1], of[0]))
+    used = np.unique(np.concatenate([x for x, _ in chosen])) if len(keys) else np.zeros(0, np.int64)
+    wide = keys[used]
+    found = [(first, *features(wide, _sieve(wide), *T.buffers(column))) for first, column in T.pieces(texts, PIECE)]
     rows = np.concatenate([first + r for first, r, _ in found]) if found else np.zeros(0, np.int64)
     cols = np.concatenate([c for *_, c in found]) if found else np.zeros(0, np.int64)
-    strong = np.isin(np.arange(len(order)), np.searchsorted(order, best[:SEVERE_TERMS]))
-    hits = np.bincount(rows, strong[cols].astype(float), n)
-    targets = {"severe": toxic * (hits >= SEVERE_HITS), "toxic": toxic}
-    fold = (T.mixed(np.arange(n, dtype=np.uint64)) % np.uint64(FOLDS)).astype(np.int64)
+    views = []  # the same for each fold: its pairs of document and own column, the width, whether a document is severe
+    for best, strong in chosen:
+        at = np.full(len(used), -1, np.int64)
+        at[np.searchsorted(used, best)] = np.arange(len(best))
+        hard = np.zeros(len(used))
+        hard[np.searchsorted(used, strong)] = 1.0
+        on = at[cols] >= 0 if len(cols) else np.zeros(0, bool)
+        severe = toxic * (np.bincount(rows, hard[cols] if len(cols) else None, n) >= SEVERE_HITS)
+        views.append((rows[on], at[cols[on]], len(best), {"severe": severe, "toxic": toxic}))
+    model = {"keys": wide[np.searchsorted(used, chosen[-1][0])], "categories": CATEGORIES, "chain": []}
+    model["sieve"] = _sieve(model["keys"])
     extra = np.zeros((n, 0))
     for name in CATEGORIES:
-        truth, out = targets[name], np.zeros(n)
+        out = np.zeros(n)
         for k in range(FOLDS):
+            r, c, width, truth = views[k]
             seen = fold != k
-            keep = seen[rows]
-            again = np.cumsum(seen) - 1
-            w = _logistic(again[rows[keep]], cols[keep], int(seen.sum()), len(order), extra[seen], truth[seen])
-            out[~seen] = _probability(w, rows, cols, n, extra)[~seen]
-        model["chain"].append(_logistic(rows, cols, n, len(order), extra, truth))
+            keep, again = seen[r], np.cumsum(seen) - 1
+            w = _logistic(again[r[keep]], c[keep], int(seen.sum()), width, extra[seen], truth[name][seen])
+            out[~seen] = _probability(w, r, c, n, extra)[~seen]
+        r, c, width, truth = views[-1]
+        model["chain"].append(_logistic(r, c, n, width, extra, truth[name]))
         extra = np.column_stack((extra, out))
     return model
 
 
+def _sieve(keys: np.ndarray) -> np.ndarray:
+    out = np.zeros(65536, bool)
+    out[(keys & np.uint64(0xFFFF)).astype(np.int64)] = True
+    return out
+
+
 def predict(model: dict, column: pa.Array) -> np.ndarray:
     """Probabilities (texts, categories); each category's model gets those of the categories before it."""
     data, offsets = T.buffers(column)
