@@ -120,6 +120,57 @@ def test_quality_counts_equal_plain_ones(texts):
         assert want == tuple(int(got[c][k]) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
 
 
+def plain_references(rows):
+    """Shares of the common words and of the character classes of each language, counted plainly."""
+    words, classes = defaultdict(Counter), defaultdict(Counter)
+    for t, lang in rows:
+        if lang:
+            words[lang].update(x.lower() if x.isascii() else "".join(c.lower() if c.isascii() else c for c in x) for x in WORD.findall(t))
+            for c in t:
+                if c.isascii() and not 33 <= ord(c) < 127:
+                    continue
+                kind = 3 if not c.isascii() else 2 if c.isdigit() else 0 if c.islower() else 1 if c.isupper() else 4 if c in ".,;:'\"?!()-" else 5
+                classes[lang][kind] += 1
+    out = {}
+    for lang, c in words.items():
+        total = c.total()
+        out[lang] = (Counter({w: n for w, n in c.items() if n / total >= quality_rules.COMMON_SHARE}), total, [classes[lang][k] / classes[lang].total() for k in range(6)])
+    return out
+
+
+def test_references_and_verdicts_equal_plain_ones(spark, docs, monkeypatch):
+    """All common words are found over several partitions, shares are exact, and the verdict follows from the distances."""
+    monkeypatch.setattr(quality_rules, "COMMON_WORDS", 10**6)
+    rows = [(r["text"] or "", r["lang"]) for r in docs.collect()]
+    want = plain_references(rows)
+    refs = quality_rules.language_references(docs.repartition(5))
+    assert refs["langs"] == sorted(want)
+    bins = {}
+    for lang in want:
+        for w in want[lang][0]:
+            bins[int(T.span_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())]))[0])] = w
+    assert set(map(int, refs["keys"])) == set(bins)
+    for k, lang in enumerate(refs["langs"]):
+        assert refs["classes"][k] == pytest.approx(want[lang][2])
+        for j, key in enumerate(refs["keys"]):
+            if n := want[lang][0][bins[int(key)]]:
+                assert refs["words"][k][j] == pytest.approx(n / want[lang][1])
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(docs, references=refs).collect()}
+    names = {bins[int(key)]: j for j, key in enumerate(refs["keys"])}
+    for r in docs.collect():
+        t, g = r["text"] or "", got[r["doc_id"]]
+        ws = WORD.findall(t)
+        own = np.zeros(len(names) + 1)
+        for x in ws:
+            own[names.get("".join(c.lower() if c.isascii() else c for c in x), len(names))] += 1
+        chars = sum(1 for c in t if not c.isascii() or 33 <= ord(c) < 127)
+        if ws and r["lang"] in refs["langs"]:
+            far = quality_rules.js_distance(own / own.sum(), refs["words"][refs["langs"].index(r["lang"])])
+            assert g["word_distance"] == pytest.approx(far, abs=1e-9)
+        odd = (len(ws) >= quality_rules.MIN_WORDS and g["word_distance"] > quality_rules.WORD_LIMIT) or (chars >= quality_rules.MIN_CHARS and g["class_distance"] > quality_rules.CLASS_LIMIT)
+        assert g["kept"] == (not g["base_failed"] and not odd)
+
+
 def test_js_distance():
     p = np.array([[0.5, 0.5, 0, 0]])
     assert quality_rules.js_distance(p, np.array([0, 0, 0.5, 0.5]))[0] == pytest.approx(1)
@@ -159,6 +210,16 @@ def test_token_file_equals_the_library(spark, texts):
         at += len(ids)
 
 
+def test_other_tokenizer_files_take_whole_texts():
+    """A file of other rules isn't cut into word pieces: its ids are the library's all the same."""
+    other = P.path("byte_bpe_50k.json")
+    assert token_file.splits_by_words(WORDS) and not token_file.splits_by_words(other)
+    texts = [*random_texts(200)[:200], "An Upper Case. Text,  with spaces", ""]
+    tk = Tokenizer.from_file(other)
+    ids, at = token_file.tokenize(other, *T.buffers(pa.array(texts)))
+    assert all(tk.encode(t, add_special_tokens=False).ids == ids[at[i] : at[i + 1]].tolist() for i, t in enumerate(texts))
+
+
 def random_texts(n):
     rnd = random.Random(4)
     parts = [*"aaabcdeeeHILnorst   \n\t'''sdmlrtve.,!?&%#*|019²½éÉü  \x1c\x85漢字😀_-AZ×÷́", "'s", "'ll", " The", "\r\n", "aaaa", "…."]
@@ -255,6 +316,37 @@ def test_toxicity_on_held_out_labels(spark):
     assert np.mean([r["toxic"] for r in rows if r["label"] == 0]) < 0.02
 
 
+def test_chain_is_fed_out_of_fold_probabilities(monkeypatch):
+    """A fold's terms, categories and models never see its documents; prediction is the plain chain of logistic models."""
+    rnd = random.Random(5)
+    good, bad = [f"calm{i}x" for i in range(40)], [f"vile{i}x" for i in range(12)]
+    texts, mark = [], []
+    for i in range(240):
+        toxic = i % 4 == 0
+        texts.append(" ".join(rnd.choice(good) for _ in range(12)) + (" " + " ".join(rnd.sample(bad, 5)) if toxic else ""))
+        mark.append(float(toxic))
+    fold = (T.mixed(np.arange(240, dtype=np.uint64)) % np.uint64(toxicity.FOLDS)).astype(int)
+    seen = []
+    whole = toxicity._telling
+    monkeypatch.setattr(toxicity, "_telling", lambda keys, b, g, nb, ng: seen.append((nb, ng)) or whole(keys, b, g, nb, ng))
+    model = toxicity.fit(texts, np.array(mark))
+    assert seen == [(sum(m for m, f in zip(mark, fold) if f != k), sum(1 - m for m, f in zip(mark, fold) if f != k)) for k in range(toxicity.FOLDS)] + [(60.0, 180.0)]
+    p = toxicity.predict(model, pa.array(texts))
+    for i in (0, 1, 7, 100):
+        keys = set()
+        for w in re.findall(r"[A-Za-z]+", texts[i]):
+            data = np.frombuffer(w.encode(), np.uint8)
+            _, h = toxicity.terms(data, np.array([0, len(data)]))
+            keys |= set(h.tolist())
+        on = [j for j, key in enumerate(model["keys"].tolist()) if key in keys]
+        before = []
+        for j, w in enumerate(model["chain"]):
+            z = sum(w[k] for k in on) + sum(a * b for a, b in zip(before, w[len(model["keys"]) : -1])) + w[-1]
+            before.append(1 / (1 + np.exp(-z)))
+            assert p[i, j] == pytest.approx(before[-1])
+    assert all((p[i, -1] > 0.5) == bool(mark[i]) for i in range(240))
+
+
 def plain_capacity(sizes, shards):
     def fits(c):
         used, now = 1, 0
@@ -291,6 +383,25 @@ def test_shards(spark, texts):
     assert all(sorted(x) == list(range(len(x))) for x in slots.values()) and all(len(x) == 1 for x in where.values())
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_shards_are_the_minimum_of_the_groups(spark, monkeypatch, seed):
+    """The largest shard is as small as contiguous shards of whole groups can be, though the first cells hold many groups."""
+    monkeypatch.setattr(sharding, "FIRST_BITS", 3)
+    monkeypatch.setattr(sharding, "MORE_BITS", 2)
+    rnd = random.Random(seed)
+    texts = [f"{rnd.randint(0, 60)} " + "x" * (0 if seed % 2 else 5) for _ in range(200)] + (["hot" * 9] * 150 if seed > 3 else [])
+    df = spark.createDataFrame([(i, t * (1 + len(t) % 3), "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
+    rows = sharding.shard_documents(df, 5).collect()
+    size, of = Counter(), {r["doc_id"]: r for r in rows}
+    for r in rows:
+        size[r["shard"]] += r["size"]
+    keyed = df.selectExpr("xxhash64(text) AS h", "doc_id").collect()
+    groups = Counter()
+    for r in keyed:
+        groups[r["h"]] += of[r["doc_id"]]["size"]
+    assert max(size.values()) == plain_capacity([groups[h] for h in sorted(groups)], 5)
+
+
 def test_shards_hot_unit(spark):
     rows = [(i, "hot" if i < 3000 else f"text {i}", "en", "s", 1) for i in range(6000)]
     slots = defaultdict(list)
@@ -454,9 +565,41 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(1, 41)) and got[100] == got[70] == 50 and got[201] == 200
 
 
-def test_capped_shares():
-    assert mixing.capped_shares([100, 100, 100], [5, 2, 1], 300) == pytest.approx([187.5, 75, 37.5])
-    assert mixing.capped_shares([10, 100, 190], [5, 2, 1], 300) == pytest.approx([30, 180, 90])
+def plain_shares(sizes, weights, total, most=3):
+    """Rounds of sharing: whoever is over its limit gets that and leaves."""
+    out, left, still = [0.0] * len(sizes), float(total), [i for i, n in enumerate(sizes) if n]
+    while still:
+        unit = left / sum(weights[i] for i in still)
+        over = [i for i in still if weights[i] * unit >= most * sizes[i]]
+        for i in over or still:
+            out[i] = most * sizes[i] if over else weights[i] * unit
+        left, still = left - sum(out[i] for i in over), [i for i in still if i not in over] if over else []
+    return out
+
+
+@pytest.mark.parametrize("sizes", [[100, 100, 100], [10, 100, 190], [1, 1, 1000, 3, 7], [0, 5, 0, 9], [7], [0, 0], [1000, 1, 1, 1, 1, 1, 1, 2000]])
+def test_capped_shares(spark, sizes):
+    rows = mixing.capped_shares(spark.createDataFrame([(f"s{i}", n) for i, n in enumerate(sizes)], "key string, size long")).collect()
+    got = [r["target"] or 0.0 for r in sorted(rows, key=lambda r: r["nth"])]
+    assert got == pytest.approx(plain_shares(sizes, [(5, 2, 1)[i % 3] for i in range(len(sizes))], sum(sizes)))
+
+
+def test_positions_invert_the_schedule(spark):
+    """The words of a source before a position are the integral of its weight up to there."""
+    rnd = random.Random(3)
+    rows = [(i, "w " * rnd.randint(1, 9), "en", f"s{i % 3}", 1) for i in range(900)]
+    mix = mixing.mix_sources(spark.createDataFrame(rows, SCHEMA)).collect()
+    by = defaultdict(list)
+    for r in mix:
+        by[r["source"]] += [(p, r["size"]) for p in r["positions"]]
+        assert len(r["positions"]) == r["copies"] and all(0 <= p <= 1 for p in r["positions"])
+    for k, (a, b) in enumerate(mixing.SCHEDULES):
+        taken, total = sorted(by[f"s{k}"]), sum(n for _, n in by[f"s{k}"])
+        for t in (0.1, 0.25, 0.5, 0.75, 0.9):
+            want = (a * t + (b - a) * t * t / 2) / ((a + b) / 2)
+            assert sum(n for p, n in taken if p <= t) / total == pytest.approx(want, abs=0.01)
+    with pytest.raises(ValueError):
+        mixing.mix_sources(spark.createDataFrame(rows[:1], SCHEMA), most=2.5)
 
 
 def test_mix_meets_targets_and_schedule(spark):
@@ -465,12 +608,10 @@ def test_mix_meets_targets_and_schedule(spark):
     by = defaultdict(list)
     for r in rows:
         by[r["source"]].append(r)
-        assert r["taken"] <= 3 * r["size"] and (r["first_position"] is None or 0 <= r["first_position"] <= 1)
+        assert r["taken"] <= 3 * r["size"]
     for part in by.values():
         assert abs(sum(r["taken"] for r in part) - part[0]["target"]) <= max(r["size"] for r in part)
-    # The first source's weight falls over training: over half of its words lie in the first half.
-    first = [r for r in by[sorted(by)[0]] if r["first_position"] is not None]
-    assert first and abs(sum(r["target"] for r in {x[0]["source"]: x[0] for x in by.values()}.values()) - sum(r["size"] for r in rows)) < 1
+    assert abs(sum(x[0]["target"] for x in by.values()) - sum(r["size"] for r in rows)) < 1
 
 
 def test_quality_model_on_held_out_labels(spark):
@@ -493,33 +634,17 @@ def test_pipeline(spark, docs):
     assert {r["doc_id"] for r in out} == {r["doc_id"] for r in now.collect()}
 
 
-def spark_order(doc_id):
-    """The hash by which the mix orders a source's documents."""
-    import struct
-
-    import xxhash
-
-    seed = xxhash.xxh64(struct.pack("<i", 17), seed=42).intdigest()
-    return struct.unpack("<q", struct.pack("<Q", xxhash.xxh64(struct.pack("<q", doc_id), seed=seed).intdigest()))[0]
-
-
 def plain_copies(rows):
     """How often the mix takes each (id, source, size), document by document."""
     names = sorted({s for _, s, _ in rows}, key=lambda s: (s is None, s or ""))
     size = {s: sum(n for _, x, n in rows if x == s) for s in names}
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
-    target, left, still = {s: 0.0 for s in names}, float(sum(size.values())), [s for s in names if size[s]]
-    while still:
-        unit = left / sum(weight[s] for s in still)
-        over = [s for s in still if weight[s] * unit >= 3 * size[s]]
-        for s in over or still:
-            target[s] = 3.0 * size[s] if over else weight[s] * unit
-        left, still = left - sum(target[s] for s in over), [s for s in still if s not in over] if over else []
+    target = dict(zip(names, plain_shares([size[s] for s in names], [weight[s] for s in names], sum(size.values()))))
     out = {}
     for s in names:
         at = 0
         whole = int(target[s] / size[s] + 1e-9) if size[s] else 0
-        for i, _, n in sorted((r for r in rows if r[1] == s), key=lambda r: ((spark_order(r[0]) >> 20) % 256, spark_order(r[0]), r[0])):
+        for i, _, n in sorted((r for r in rows if r[1] == s), key=lambda r: hashlib.md5(str(r[0]).encode()).hexdigest()):
             again = whole < 3 and at + n / 2 < target[s] - whole * size[s]
             out[i], at = (min(3, whole + again) if n else 0), at + n
     return out
@@ -605,8 +730,121 @@ def test_one_row_of_each_group_of_copies_stays(spark):
     assert left.columns == one.columns and Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter(expected)
 
 
+def test_prediction_equals_plain_chain():
+    """Languages and scores are those of the textbook recursion over the letter runs of a text."""
+    rnd = random.Random(11)
+    words = {"aa": ["kato", "miro", "salu"], "bb": ["thorn", "wreck", "stilt"], "cc": ["\u00e9lan", "\u00fcber", "\u00f1oq"]}
+    texts, langs = [], []
+    for i in range(60):
+        lang = sorted(words)[i % 3]
+        texts.append(" ".join(rnd.choice(words[lang]) for _ in range(20)))
+        langs.append(lang)
+    model = langid.fit(texts, langs)
+    mixed = ["kato thorn miro wreck, salu! 12 stilt", "thorn " * 150 + "kato " * 20, "Kato", ""]
+    got, score = langid.predict(model, pa.array(mixed))
+    for k, text in enumerate(mixed):
+        runs = [w.encode() for w in re.findall(r"[A-Za-z\u0080-\uffff]+", text)]
+        if not runs:
+            assert got[k] == "und" and score[k] == 0
+            continue
+        data = np.frombuffer(b" ".join(runs), np.uint8)
+        ends = np.cumsum([len(r) + 1 for r in runs]) - 1
+        e = np.exp(langid.emissions(model, data, ends - [len(r) for r in runs], ends))
+        s, f, b = np.exp(model["trans"]), e.copy(), np.ones_like(e)
+        for i in range(1, len(e)):
+            f[i] = (f[i - 1] @ s) * e[i]
+            f[i] /= f[i].sum()
+        for i in range(len(e) - 2, -1, -1):
+            b[i] = s @ (e[i + 1] * b[i + 1])
+            b[i] /= b[i].sum()
+        p = f * b / (f * b).sum(1, keepdims=True)
+        mean = (p * np.array([[len(r)] for r in runs])).sum(0) / sum(map(len, runs))
+        assert got[k] == model["langs"][int(np.argmax(mean))] and score[k] == pytest.approx(mean.max(), abs=1e-9)
+
+
+def test_quality_calibration_and_pooling():
+    """Vectors pool to the mean over words, the temperature is the one of the least loss, and scores follow from the network."""
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choice(("good", "fine", "plain") if i % 2 else ("BUY", "spam", "$$$")) for _ in range(rnd.randint(5, 30))) for i in range(200)]
+    model = quality_model.fit(texts, np.arange(200) % 2)
+    known = dict(zip(model["keys"].tolist(), model["vectors"]))
+    for text in (texts[0], texts[1], "good good unseen"):
+        data, at = T.buffers(pa.array([text]))
+        h = quality_model.tokens(data, at)[0]
+        each = [known.get(x, quality_model.index_vectors(np.array([x], np.uint64))[0] / np.sqrt(quality_model.PLACES)) for x in h.tolist()]
+        mean = np.mean(each, 0)
+        x = np.concatenate((mean, [np.linalg.norm(mean), np.log1p(len(h)), len(set(h.tolist())) / len(h), max(Counter(h.tolist()).values()) / len(h)]))
+        x = (x - model["mean"]) / model["scale"]
+        net = model["net"]
+        z = np.maximum(x @ net["w1"] + net["b1"], 0) @ net["w2"] + net["b2"]
+        assert quality_model.predict(model, pa.array([text]))[0] == pytest.approx(1 / (1 + np.exp(-z / model["temperature"])), rel=1e-4)
+    score = quality_model.predict(model, pa.array(texts))
+    assert np.mean((score > 0.5) == (np.arange(200) % 2 == 1)) > 0.97 and 0.25 <= model["temperature"] <= 8
+
+
 def test_every_language_is_learned(spark):
     word = lambda k, j: "".join(chr(97 + (k * 7 + j * 5 + i * (k + 3)) % 26) for i in range(6)) + chr(97 + k % 26) + chr(97 + k // 26)
     rows = [(100 * k + n, " ".join(word(k, j) for j in range(8)), f"l{k:02}", "s", 1) for k in range(70) for n in range(2 if k > 63 else 3)]
     docs = spark.createDataFrame(rows, SCHEMA)
     assert langid.train_on(docs, docs["doc_id"] >= 0)["langs"] == sorted({r[2] for r in rows})
+
+
+CLASHES = ("toxic", "p_toxic", "p_severe", "id", "kept", "position", "place", "tie", "row", "n", "token", "h", "shard")
+
+
+def test_stages_keep_odd_rows_and_columns(spark, tmp_path):
+    """Nulls, empty texts, repeated rows and clashing columns through every stage; values are those of the docstrings."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    long = " ".join(f"w{i}" for i in range(3000))
+    rows = [
+        (1, None, None, None, None), (2, "", "en", "s", 0), (3, " \n ", "en", None, 3), (4, "the first text of six words", "en", "s", 1), (4, "the first text of six words", "en", "s", 1),
+        (None, "a text without an id stays", "en", "s", 1), (None, None, "en", "s", 1), (7, long, "en", "t", 1), (8, long + " end", "en", "t", 1), (9, "²³ 😀 é and more words here", None, None, 1),
+    ]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    docs = docs.select(*(F.lit(i).alias(c) for i, c in enumerate(CLASHES)), "*")
+    stages = dict(corpus_pipeline.STAGES)
+
+    def step(name, df):
+        stages[name](spark, df, SF).write.parquet(path := str(tmp_path / f"{name}-{df.count()}"))
+        out = spark.read.parquet(path)
+        return out, Counter((r["doc_id"], r["text"]) for r in out.collect()) if "text" in out.columns else None
+
+    given = Counter((r[0], r[1]) for r in rows)
+    safe, found = step("toxicity", docs)
+    assert safe.columns == docs.columns and found == given and {tuple(r)[: len(CLASHES)] for r in safe.collect()} == {tuple(range(len(CLASHES)))}
+    one, found = step("exact dedup", safe)
+    assert one.columns == docs.columns and found == Counter([(1, None), (3, rows[2][1]), (4, rows[3][1]), (None, rows[5][1]), (7, long), (8, long + " end"), (9, rows[9][1])])
+    far, found = step("n-gram Jaccard join", one)
+    assert far.columns == docs.columns and found == Counter([(1, None), (3, rows[2][1]), (4, rows[3][1]), (None, rows[5][1]), (7, long), (9, rows[9][1])])
+    mixed, found = step("mixing", far)
+    assert mixed.columns == docs.columns and set(found) <= {(4, rows[3][1]), (None, rows[5][1]), (7, long), (9, rows[9][1])} and found
+    done = stages["byte-level BPE"](spark, mixed, SF)
+    out = done.collect()
+    assert done.columns == ["doc_id", "n_tokens", "ids", "position"] and sorted(r["position"] for r in out) == list(range(mixed.count()))
+    assert Counter(r["doc_id"] for r in out) == Counter(k[0] for k in found.elements()) and all(len(r["ids"]) == r["n_tokens"] > 0 for r in out)
+
+
+def test_stages_on_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    now = spark.createDataFrame([], SCHEMA)
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, now, SF).write.parquet(path := str(tmp_path / str(k)))
+        now = spark.read.parquet(path)
+        assert now.count() == 0, name
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from wayfold.llm.store import shared_dir
+
+    context = lambda master: SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda d: None)
+    session = lambda master, found=None: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: found), sparkContext=context(master))
+    with pytest.raises(ValueError):
+        shared_dir(session("spark://host:7077"))
+    with pytest.raises(ValueError):
+        shared_dir(session("local-cluster[3,2,1024]"))
+    assert shared_dir(session("local[4]")) and shared_dir(session("yarn", "hdfs://x/shared/")) == "hdfs://x/shared"

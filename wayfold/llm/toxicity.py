@@ -65,6 +65,8 @@ def features(keys: np.ndarray, sieve: np.ndarray, data: np.ndarray, offsets: np.
 def _logistic(rows, cols, n, width, extra, truth) -> np.ndarray:
     """Weights of a ridge logistic regression on 0/1 features, extra columns and a constant; plain gradient steps with momentum."""
     w = np.zeros(width + extra.shape[1] + 1)
+    if not n:
+        return w
     v = np.zeros_like(w)
     count = np.concatenate((np.bincount(cols, minlength=width), (extra**2).sum(0), [n])) + 1.0
     rate = 1.0 / np.sqrt(count / n + 1e-3) / n
