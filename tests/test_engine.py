@@ -290,6 +290,96 @@ def test_map_has_all_routes(spark, tmp_path):
     assert page.count("<polyline") == 510 and 'points="20.0,580.0 20.0,20.0"' in page and page.endswith("</svg>")
 
 
+def test_poles_and_the_date_line(spark):
+    rows = [(1, 0, 0.0, 89.9), (2, 0, 0.2, 89.9), (3, 0, 179.9999, 10.0), (4, 0, -179.9999, 10.0), (5, 0, 10.0, 89.99999), (6, 0, -170.0, 89.99999), (7, 0, 50.0, -89.99999), (8, 0, 0.0, 45.0), (9, 0, 0.001, 45.0)]
+    rnd = random.Random(2)
+    rows += [(10 + i, 0, rnd.choice((-180.0, 179.9995, rnd.uniform(-180, 180))) + rnd.uniform(0, 0.0005), rnd.choice((89.9995, -89.9993, 60.0)) + rnd.uniform(0, 0.0005)) for i in range(120)]
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and preprocess._meters(a[2], a[3], b[2], b[3]) <= 60.0}
+    got = [(r["a"], r["b"]) for r in near_pairs(spark.createDataFrame(rows, "id long, time int, x double, y double"), 60.0, geographic=True).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and {(1, 2), (3, 4), (5, 6)} <= want
+
+
+def test_a_point_alone_is_a_cluster_of_one(spark):
+    rows = [(1, at(0), 0.0, 0.0), (2, at(0), 500.0, 0.0), (3, at(0), 501.0, 0.0)]
+    got = convoys.snapshot_members(spark.createDataFrame(rows, sources.POINT), 5.0, 1).collect()
+    assert {(r["label"], r["id"]) for r in got} == {(1, 1), (2, 2), (2, 3)}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_labels_equal_plain_clusters(seed):
+    from wayfold.operators.dbscan import labelled
+
+    rnd = random.Random(seed)
+    n = 60
+    near = {(i, j) for i in range(n) for j in range(i + 1, n) if rnd.random() < 0.035}
+    a, b = (np.array([p[k] for p in sorted(near)]) for k in (0, 1))
+    ids, label = labelled(a, b, 3)
+    want = {i: g[0] for g in plain_dbscan(n, lambda i, j: (i, j) in near, 3) for i in g}
+    # A cluster's label is its smallest core; a border point goes to the smallest of its clusters, as when clusters grow in order.
+    degree = np.bincount(np.concatenate((a, b)), minlength=n) + 1
+    groups = {}
+    for i, c in want.items():
+        groups.setdefault(c, []).append(i)
+    want = {i: min(x for x in groups[c] if degree[x] >= 3) for i, c in want.items()}
+    assert dict(zip(ids.tolist(), label.tolist())) == want
+
+
+def test_simplify_leaves_out_nulls_and_repeated_times(spark):
+    rows = [(1, at(0), 0.0, 0.0), (1, at(1), 1.0, None), (1, at(2), 2.0, 500.0), (1, at(3), 3.0, 0.0), (1, at(2), 2.0, 100.0), (1, None, 9.0, 9.0)]
+    got = simplify.simplify(spark.createDataFrame(rows, sources.POINT), 5.0).orderBy("time").collect()
+    assert [(r["x"], r["y"], r["kept"]) for r in got] == [(0.0, 0.0, True), (2.0, 100.0, True), (3.0, 0.0, True)]
+
+
+def test_windows_need_two_times(spark):
+    one = spark.createDataFrame([(at(0),)], "time timestamp")
+    assert windows.lambda_windows(one, 4).count() == 0
+    with pytest.raises(ValueError):
+        windows.lambda_windows(one, 1)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_assigned_windows_equal_all_pairs(spark, seed):
+    rnd = random.Random(seed)
+    segs = [(i, at(s := rnd.randint(0, 500)), at(s + rnd.choice((0, 5, 300)))) for i in range(80)]
+    wins = [(p, at(10 * p * p), at(10 * p * p + rnd.choice((1, 20, 200)))) for p in range(7)]
+    got = assign_windows(spark.createDataFrame(segs, "id long, t0 timestamp, t1 timestamp"), spark.createDataFrame(wins, "p long, p_start timestamp, p_end timestamp")).select("id", "p").collect()
+    want = {(i, p) for i, a, b in segs for p, c, d in wins if b >= c and a <= d}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_dense_cells_are_joined_by_blocks(spark, monkeypatch):
+    from wayfold.operators import joins
+
+    pts = Q._points(spark, SF)
+    parts = assign_windows(simplify.segments(simplify.simplify(pts, Q.DELTA)), windows.lambda_windows(pts, Q.SIZE)).cache()
+    want = {tuple(r) for r in trajectory_pairs(parts, Q.EPS, Q.CELL).collect()}
+    monkeypatch.setattr(joins, "BLOCK", 3)
+    got = trajectory_pairs(parts, Q.EPS, 10 * Q.CELL).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_day_window(spark):
+    rows = [(1, at(60 * h), 116.5, 39.9) for h in (9, 13, 15, 18, 20, 40)]
+    df = spark.createDataFrame(rows, sources.POINT)
+    assert preprocess.day_window(df).count() == 3 and preprocess.day_window(df, "2024-01-02", 15, 2).count() == 1
+    with pytest.raises(ValueError):
+        preprocess.day_window(df, "2025-05-05")
+
+
+def test_first_rows_are_those_of_the_file(spark, tmp_path):
+    (tmp_path / "log").mkdir()
+    for k in (0, 1):
+        (tmp_path / "log" / f"{k}.csv").write_text("".join(f"{100 * k + i},2024-01-01 00:0{i % 10}:40,116.5,39.9\n" for i in range(30)))
+    got = sources.read_first(spark, str(tmp_path / "log"), 35).collect()
+    assert [r["taxi_id"] for r in got] == [*range(30), *range(100, 105)]
+    assert got[0]["timestamp"] == at(1) and got[0]["lat_rad"] == pytest.approx(math.radians(39.9))
+
+
+def test_filter_log_counts_candidates(spark):
+    log = convoys.filter_log(spark.createDataFrame(walks(3), sources.POINT), 3, 4, 14.0, 5.0, 4, 50.0).orderBy("p").collect()
+    assert len(log) == 4 and all(r["objects_in_partition"] == 14 for r in log) and any(r["active_candidates"] for r in log)
+
+
 def test_empty_points(spark):
     none = spark.createDataFrame([], sources.POINT)
     assert convoys.cmc(none, 3, 3, 60.0).count() == 0

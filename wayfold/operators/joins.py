@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -18,14 +20,7 @@ def near_pairs(points: DataFrame, eps: float, key: str = "time", geographic: boo
     """
     points = points.select(key, "id", "x", "y").where("x is not null and y is not null")
     if geographic:
-        lat_step = eps / (math.pi * geo.EARTH_M / 180) * 1.000001
-        row = F.floor(F.col("y") / lat_step)
-        # Cells of a row are as wide as eps is at the row's end that is farther from the equator, one row further on.
-        far = F.least(F.greatest(F.abs((row - 1) * lat_step), F.abs((row + 2) * lat_step)), F.lit(89.0))
-        points = points.withColumns({"cy": row, "lon_step": lat_step / F.cos(F.radians(far))})
-        left = points.select(F.col(key), F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("cy").alias("own"), F.explode(F.sequence(F.col("cy") - 1, F.col("cy") + 1)).alias("cy"))
-        joined = left.join(points.select(F.col(key), F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), "cy", "lon_step"), [key, "cy"])
-        return joined.where((F.col("a") < F.col("b")) & (F.abs(F.col("ax") - F.col("bx")) <= 2 * F.col("lon_step")) & (geo.haversine(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")) <= eps)).select(key, "a", "b")
+        return _near_on_globe(points, eps, key)
     cells = points.withColumns({"cx": F.floor(F.col("x") / eps), "cy": F.floor(F.col("y") / eps)})
     half = [(0, 0), (1, 0), (-1, 1), (0, 1), (1, 1)]
     steps = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in half))
@@ -35,34 +30,129 @@ def near_pairs(points: DataFrame, eps: float, key: str = "time", geographic: boo
     return joined.where(met & (geo.distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")) <= eps)).select(key, F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
 
 
+def _near_on_globe(points: DataFrame, eps: float, key: str) -> DataFrame:
+    """Cells of bands of latitude: a band has as many cells around as keep them at least as wide as eps is in it and its neighbours.
+
+    Cells wrap at 180 degrees; a band at a pole has one cell.
+    """
+    lat_step = eps / (math.pi * geo.EARTH_M / 180) * 1.000001
+
+    def around(row):
+        far = F.greatest(F.abs((row - 1) * lat_step), F.abs((row + 2) * lat_step))
+        ratio = F.lit(math.sin(min(eps / 2 / geo.EARTH_M, math.pi / 2)) * 1.000001) / F.cos(F.radians(far))
+        return F.when((far >= 90) | (ratio >= 1), F.lit(1)).otherwise(F.greatest(F.lit(1), F.floor(math.pi / F.asin(F.least(ratio, F.lit(1.0)))))).cast("long")
+
+    def cell(n):
+        return F.pmod(F.floor((F.col("x") + 180) / 360 * n), n)
+
+    points = points.withColumn("cy", F.floor(F.col("y") / lat_step))
+    right = points.select(F.col(key), F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), "cy", cell(around(F.col("cy"))).alias("cx"))
+    left = points.withColumn("cy", F.explode(F.sequence(F.col("cy") - 1, F.col("cy") + 1))).withColumn("n", around(F.col("cy")))
+    beside = F.array_distinct(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.pmod(cell(F.col("n")) + d, F.col("n"))))
+    left = left.select(F.col(key), F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), "cy", F.explode(beside).alias("cx"))
+    met = left.join(right, [key, "cy", "cx"]).where(F.col("a") < F.col("b"))
+    return met.where(geo.haversine(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")) <= eps).select(key, "a", "b")
+
+
 def assign_windows(segs: DataFrame, windows: DataFrame) -> DataFrame:
-    """Segments with each window that they meet; the windows are few, one per step of time."""
-    return segs.join(windows, (F.col("t1") >= F.col("p_start")) & (F.col("t0") <= F.col("p_end")))
+    """Segments with each window that they meet.
+
+    Both are dealt to slots of the mean length of a window and joined by slot; of the slots that they share only the first joins them.
+    """
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    span = windows.agg(F.min(micros("p_start")).alias("__from"), F.greatest(F.lit(1), F.ceil((F.max(micros("p_end")) - F.min(micros("p_start"))) / F.greatest(F.count(F.lit(1)), F.lit(1)))).cast("long").alias("__step"), F.max(micros("p_end")).alias("__to"))
+
+    def dealt(df, start, end, first):
+        df = df.join(F.broadcast(span))  # one row
+        slot = lambda c: F.floor((F.least(F.greatest(micros(c), F.col("__from")), F.col("__to")) - F.col("__from")) / F.col("__step"))
+        return df.withColumn(first, slot(start)).withColumn("__slot", F.explode(F.sequence(F.col(first), slot(end)))).drop("__from", "__step", "__to")
+
+    met = dealt(segs.where("t0 <= t1"), "t0", "t1", "__first_s").join(dealt(windows, "p_start", "p_end", "__first_w"), "__slot")
+    meet = (F.col("t1") >= F.col("p_start")) & (F.col("t0") <= F.col("p_end")) & (F.col("__slot") == F.greatest("__first_s", "__first_w"))
+    return met.where(meet).select(*segs.columns, *windows.columns)
+
+
+#: Segments of a block: a cell of more is joined by pairs of blocks, in groups of their own.
+BLOCK = 1_024
+_BOX = ("x0", "y0", "x1", "y1")
+
+
+def _to_segment(px, py, ax, ay, bx, by) -> np.ndarray:
+    dx, dy = bx - ax, by - ay
+    size = dx * dx + dy * dy
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = np.clip(((px - ax) * dx + (py - ay) * dy) / size, 0.0, 1.0)
+    t = np.where(size == 0, 0.0, t)
+    ex, ey = px - (ax + t * dx), py - (ay + t * dy)
+    return np.sqrt(ex * ex + ey * ey)
+
+
+def segment_gap(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Distances of segments, as arrays of x0, y0, x1, y1; 0 where they cross or touch."""
+    (ax, ay, bx, by), (cx, cy, dx, dy) = a, b
+    turn = lambda px, py, qx, qy, rx, ry: (qx - px) * (ry - py) - (qy - py) * (rx - px)
+
+    def on(px, py, qx, qy, rx, ry):
+        return (rx >= np.minimum(px, qx) - geo.TINY) & (rx <= np.maximum(px, qx) + geo.TINY) & (ry >= np.minimum(py, qy) - geo.TINY) & (ry <= np.maximum(py, qy) + geo.TINY)
+
+    o = turn(ax, ay, bx, by, cx, cy), turn(ax, ay, bx, by, dx, dy), turn(cx, cy, dx, dy, ax, ay), turn(cx, cy, dx, dy, bx, by)
+    touch = on(ax, ay, bx, by, cx, cy), on(ax, ay, bx, by, dx, dy), on(cx, cy, dx, dy, ax, ay), on(cx, cy, dx, dy, bx, by)
+    zero = (o[0] * o[1] < 0) & (o[2] * o[3] < 0)
+    for turned, lies in zip(o, touch):
+        zero |= (np.abs(turned) < geo.TINY) & lies
+    ends = (_to_segment(ax, ay, cx, cy, dx, dy), _to_segment(bx, by, cx, cy, dx, dy), _to_segment(cx, cy, ax, ay, bx, by), _to_segment(dx, dy, ax, ay, bx, by))
+    return np.where(zero, 0.0, np.minimum.reduce(ends))
 
 
 def trajectory_pairs(parts: DataFrame, eps: float, cell: float, lemma: bool = True) -> DataFrame:
     """``p, a, b``: objects with segments at the same time whose lower bound is at most eps.
 
-    Boxes, grown by half of eps and the tolerance, are dealt to grid cells; pairs meet in a common cell and are first held
-    against the gap of their boxes (``lemma``), which can't lose a pair.
+    Boxes, grown by half of eps and the tolerance, are dealt to grid cells; only the first cell that two boxes share joins them.
+    A cell's segments are dealt to blocks of about BLOCK, and each pair of blocks is a group, held against each other as arrays:
+    first by time and by the gap of their boxes (``lemma``), which can't lose a pair, then by the distance of the segments, and
+    only as long as their objects haven't met.
     """
     pad = F.col("tolerance") + eps / 2
-    boxed = parts.withColumns({
-        "lo_x": F.least("x0", "x1"), "hi_x": F.greatest("x0", "x1"), "lo_y": F.least("y0", "y1"), "hi_y": F.greatest("y0", "y1"),
-    }).withColumns({
-        "cx": F.explode(F.sequence(F.floor((F.col("lo_x") - pad) / cell), F.floor((F.col("hi_x") + pad) / cell))),
-    }).withColumn("cy", F.explode(F.sequence(F.floor((F.col("lo_y") - pad) / cell), F.floor((F.col("hi_y") + pad) / cell))))
-    names = ["id", "t0", "t1", "x0", "y0", "x1", "y1", "tolerance", "lo_x", "hi_x", "lo_y", "hi_y"]
-    a = boxed.select("p", "cx", "cy", *(F.col(c).alias(f"a_{c}") for c in names))
-    b = boxed.select("p", "cx", "cy", *(F.col(c).alias(f"b_{c}") for c in names))
-    c = F.col
-    reach = eps + c("a_tolerance") + c("b_tolerance")
-    ok = (c("a_id") < c("b_id")) & geo.overlap(c("a_t0"), c("a_t1"), c("b_t0"), c("b_t1"))
-    if lemma:
-        gap = lambda k: F.greatest(c(f"a_lo_{k}") - c(f"b_hi_{k}"), c(f"b_lo_{k}") - c(f"a_hi_{k}"))
-        ok = ok & (gap("x") <= reach) & (gap("y") <= reach)
-    far = geo.segment_segment(*(c(f"{s}_{k}") for s in "ab" for k in ("x0", "y0", "x1", "y1")))
-    return a.join(b, ["p", "cx", "cy"]).where(ok & (geo.lower_bound(far, c("a_tolerance"), c("b_tolerance")) <= eps)).select("p", c("a_id").alias("a"), c("b_id").alias("b")).distinct()
+    floor = lambda v: F.floor(v / cell)
+    low = {"fx": floor(F.least("x0", "x1") - pad), "fy": floor(F.least("y0", "y1") - pad), "lx": floor(F.greatest("x0", "x1") + pad), "ly": floor(F.greatest("y0", "y1") + pad)}
+    rows = parts.select("p", F.col("id").cast("long").alias("id"), "t0", "t1", *_BOX, "tolerance").withColumns(low)
+    rows = rows.withColumn("cx", F.explode(F.sequence("fx", "lx"))).withColumn("cy", F.explode(F.sequence("fy", "ly"))).drop("lx", "ly")
+    counts = rows.groupBy("p", "cx", "cy").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(counts, ["p", "cx", "cy"]).withColumn("own", F.pmod(F.xxhash64("id", "t0"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).withColumn("side", (F.col("own") > F.col("other")).cast("int")).drop("blocks", "own", "other")
+
+    def run(table: pa.Table) -> pa.Table:
+        col = {c: table.column(c).to_numpy() for c in ("id", *_BOX, "tolerance", "fx", "fy", "side")}
+        times = [table.column(c).cast(pa.int64()).to_numpy() for c in ("t0", "t1")]
+        cx, cy = table.column("cx")[0].as_py(), table.column("cy")[0].as_py()
+        box = {"x": (np.minimum(col["x0"], col["x1"]), np.maximum(col["x0"], col["x1"])), "y": (np.minimum(col["y0"], col["y1"]), np.maximum(col["y0"], col["y1"]))}
+        left = np.flatnonzero(col["side"] == 0)
+        two = bool(col["side"].any())
+        right = np.flatnonzero(col["side"] == 1) if two else left
+        ids, code = np.unique(col["id"], return_inverse=True)
+        met = np.zeros((len(ids), len(ids)), bool)
+        for i in left.tolist():
+            j = right[(np.maximum(col["fx"][right], col["fx"][i]) == cx) & (np.maximum(col["fy"][right], col["fy"][i]) == cy)]
+            ok = (times[0][j] <= times[1][i]) & (times[1][j] >= times[0][i])
+            ok &= (code[j] != code[i]) if two else (code[j] > code[i])
+            reach = eps + col["tolerance"][i] + col["tolerance"][j]
+            if lemma:
+                for low, high in box.values():
+                    ok &= np.maximum(low[i] - high[j], low[j] - high[i]) <= reach
+            ok &= ~met[np.minimum(code[i], code[j]), np.maximum(code[i], code[j])]
+            j = j[ok]
+            if not len(j):
+                continue
+            gap = segment_gap([col[c][i] for c in _BOX], [col[c][j] for c in _BOX])
+            near = code[j[np.maximum(0.0, gap - col["tolerance"][i] - col["tolerance"][j]) <= eps]]
+            met[np.minimum(code[i], near), np.maximum(code[i], near)] = True
+        a, b = np.nonzero(met)
+        p = table.column("p").combine_chunks().take(pa.array(np.zeros(len(a), np.int64)))
+        return pa.table([p, pa.array(ids[a]), pa.array(ids[b])], names=["p", "a", "b"])
+
+    found = rows.groupBy("p", "cx", "cy", "lo", "hi").applyInArrow(run, f"p {dict(parts.dtypes)['p']}, a long, b long")
+    return found.distinct()
 
 
 #: The distances that segments can be joined by.

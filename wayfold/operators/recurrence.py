@@ -10,8 +10,16 @@ from ..functions.values import is_subset
 
 
 def numbered_members(members: DataFrame) -> DataFrame:
-    """``seq, time, label, id``: clusters numbered by time and label."""
-    return members.select("time", "label", "id").distinct().withColumn("seq", F.dense_rank().over(Window.orderBy("time", "label")))
+    """``seq, time, label, id``: clusters numbered by time and label.
+
+    Clusters are numbered within their time; one task adds up the counts of the times.
+    """
+    own = members.select("time", "label", "id").distinct()
+    nth = own.select("time", "label").distinct().withColumn("nth", F.row_number().over(Window.partitionBy("time").orderBy("label")))
+    before = Window.orderBy("time").rowsBetween(Window.unboundedPreceding, -1)
+    starts = nth.groupBy("time").agg(F.count(F.lit(1)).alias("c")).select("time", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start"))
+    numbers = nth.join(starts, "time").select("time", "label", (F.col("start") + F.col("nth")).alias("seq"))
+    return own.join(numbers, ["time", "label"])
 
 
 def shared_members(members: DataFrame, tau: int) -> DataFrame:
@@ -25,12 +33,15 @@ def cluster_boxes(members: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def box_overlaps(boxes: DataFrame, cell: float = 100.0) -> DataFrame:
-    """``earlier, later``: pairs whose closed boxes meet, through common grid cells."""
-    spread = boxes.withColumn("cx", F.explode(F.sequence(F.floor(F.col("lo_x") / cell), F.floor(F.col("hi_x") / cell)))).withColumn("cy", F.explode(F.sequence(F.floor(F.col("lo_y") / cell), F.floor(F.col("hi_y") / cell))))
-    names = ("seq", "lo_x", "hi_x", "lo_y", "hi_y")
+    """``earlier, later``: pairs whose closed boxes meet, joined in the first grid cell that both have."""
+    floor = lambda c: F.floor(F.col(c) / cell)
+    spread = boxes.withColumns({"fx": floor("lo_x"), "fy": floor("lo_y")})
+    spread = spread.withColumn("cx", F.explode(F.sequence("fx", floor("hi_x")))).withColumn("cy", F.explode(F.sequence("fy", floor("hi_y"))))
+    names = ("seq", "lo_x", "hi_x", "lo_y", "hi_y", "fx", "fy")
     a, b = (spread.select("cx", "cy", *(F.col(n).alias(f"{s}_{n}") for n in names)) for s in "ab")
     meet = F.expr("a_seq < b_seq AND a_lo_x <= b_hi_x AND b_lo_x <= a_hi_x AND a_lo_y <= b_hi_y AND b_lo_y <= a_hi_y")
-    return a.join(b, ["cx", "cy"]).where(meet).select(F.col("a_seq").alias("earlier"), F.col("b_seq").alias("later")).distinct()
+    first = (F.col("cx") == F.greatest("a_fx", "b_fx")) & (F.col("cy") == F.greatest("a_fy", "b_fy"))
+    return a.join(b, ["cx", "cy"]).where(meet & first).select(F.col("a_seq").alias("earlier"), F.col("b_seq").alias("later"))
 
 
 def hausdorff(pairs: DataFrame, members: DataFrame, points: DataFrame) -> DataFrame:

@@ -39,10 +39,13 @@ def kept_points(x: np.ndarray, y: np.ndarray, delta: float, line: bool = False)
 
 
 def simplify(df: DataFrame, delta: float, line: bool = False) -> DataFrame:
-    """``id, time, x, y, kept, tolerance``: tolerance is that of the segment which begins at a kept point."""
+    """``id, time, x, y, kept, tolerance``: tolerance is that of the segment which begins at a kept point.
+
+    Points without a time or a coordinate are left out; of several points of one time the least by x and y stays.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("time").sort_values("time").reset_index(drop=True)
+        pdf = pdf.sort_values(["time", "x", "y"], kind="stable").drop_duplicates("time").reset_index(drop=True)
         x, y = pdf["x"].to_numpy(float), pdf["y"].to_numpy(float)
         keep = kept_points(x, y, delta, line)
         at = np.flatnonzero(keep)
@@ -51,7 +54,8 @@ def simplify(df: DataFrame, delta: float, line: bool = False) -> DataFrame:
             tolerance[i] = _gaps(x, y, i, j, False).max(initial=0.0)
         return pdf.assign(kept=keep, tolerance=tolerance)
 
-    return df.select("id", "time", "x", "y").groupBy("id").applyInPandas(run, "id long, time timestamp, x double, y double, kept boolean, tolerance double")
+    whole = df.select("id", "time", "x", "y").where("time is not null and x is not null and y is not null")
+    return whole.groupBy("id").applyInPandas(run, "id long, time timestamp, x double, y double, kept boolean, tolerance double")
 
 
 def segments(points: DataFrame) -> DataFrame:

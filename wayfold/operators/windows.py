@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 def lambda_windows(times: DataFrame, size: int) -> DataFrame:
     """``p, p_start, p_end``: windows of ``size`` distinct times, each beginning where the last one ends; the last may be short.
 
-    There is a row per distinct time, of which one task numbers them.
+    A single time makes no window.  There is a row per distinct time, of which one task numbers them.
     """
-    size = max(2, size)
+    if size < 2:
+        raise ValueError("a window has at least two times")
     order = Window.orderBy("time")
     nth = times.select("time").where("time is not null").distinct().withColumn("i", F.row_number().over(order) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy()))
-    starts = nth.where((F.pmod("i", F.lit(size - 1)) == 0) & ((F.col("i") < F.col("n") - 1) | (F.col("n") == 1)))
+    starts = nth.where((F.pmod("i", F.lit(size - 1)) == 0) & (F.col("i") < F.col("n") - 1))
     starts = starts.select((F.col("i") / (size - 1)).cast("int").alias("p"), F.col("time").alias("p_start"), F.least(F.col("i") + size - 1, F.col("n") - 1).alias("j"))
     return starts.join(nth.select(F.col("i").alias("j"), F.col("time").alias("p_end")), "j").select("p", "p_start", "p_end")
 

@@ -9,12 +9,12 @@ from ..functions.values import round_time
 from ..operators.dbscan import cluster_sets, clusters
 from ..operators.joins import assign_windows, near_pairs, numbered_segments, segment_pairs, trajectory_pairs
 from ..operators.simplify import segments, simplify
-from ..operators.tracker import track
+from ..operators.tracker import active_counts, track
 from ..operators.windows import fixed_windows, interpolate, lambda_windows
 
 
 def snapshot_members(points: DataFrame, eps: float, m: int, geographic: bool = False) -> DataFrame:
-    return clusters(near_pairs(points, eps, "time", geographic), m, "time")
+    return clusters(near_pairs(points, eps, "time", geographic), m, "time", points=points.where("x is not null and y is not null"))
 
 
 def cmc(points: DataFrame, m: int, k: int, eps: float, geographic: bool = False) -> DataFrame:
@@ -33,23 +33,30 @@ def partition_clusters(points: DataFrame, m: int, eps: float, delta: float, size
     return windows, clusters(pairs, m, "p", drop_small=True)
 
 
+def _filter_steps(windows: DataFrame, members: DataFrame, size: int) -> DataFrame:
+    sets = windows.join(cluster_sets(members, "p"), "p", "left")
+    return sets.select(F.lit(0).alias("track"), F.col("p_start").alias("start"), F.col("p_end").alias("end"), F.lit(size).alias("points"), "objects")
+
+
 def cuts_filter(points: DataFrame, m: int, k: int, eps: float, delta: float, size: int, cell: float) -> DataFrame:
     """Candidates: ``candidate, objects, start_time, end_time, lifetime_points``; of equal ones by rounded times the longest."""
     windows, members = partition_clusters(points, m, eps, delta, size, cell)
-    rows = windows.join(cluster_sets(members, "p"), "p", "left").select(F.lit(0).alias("track"), F.col("p_start").alias("start"), F.col("p_end").alias("end"), F.lit(size).alias("points"), "objects")
-    found = track(rows, m, k, new_needs_m=True).drop("track")
+    found = track(_filter_steps(windows, members, size), m, k, new_needs_m=True).drop("track")
     same = Window.partitionBy("objects", round_time(F.col("start_time"), 10), round_time(F.col("end_time"), 10)).orderBy(F.desc("lifetime_points"), "start_time", "end_time")
     best = found.withColumn("rn", F.row_number().over(same)).where("rn = 1").drop("rn")
     return best.withColumn("candidate", F.row_number().over(Window.orderBy("start_time", "end_time", "objects")))  # candidates are few
 
 
-def filter_log(points: DataFrame, m: int, eps: float, delta: float, size: int, cell: float) -> DataFrame:
-    """Per window: its bounds, the objects with segments in it, and its clusters."""
+def filter_log(points: DataFrame, m: int, k: int, eps: float, delta: float, size: int, cell: float) -> DataFrame:
+    """Per window: its bounds, the objects with segments in it, its clusters, and the candidates followed after it."""
     segs = segments(simplify(points, delta))
     windows, members = partition_clusters(points, m, eps, delta, size, cell)
     objects = assign_windows(segs, windows).groupBy("p").agg(F.countDistinct("id").alias("objects_in_partition"))
     found = members.groupBy("p").agg(F.countDistinct("label").alias("filter_clusters"))
-    return windows.join(objects, "p", "left").join(found, "p", "left").select("p", "p_start", "p_end", F.coalesce("objects_in_partition", F.lit(0)).alias("objects_in_partition"), F.coalesce("filter_clusters", F.lit(0)).alias("filter_clusters"))
+    active = active_counts(_filter_steps(windows, members, size), m, k, new_needs_m=True).withColumnRenamed("start", "p_start")
+    rows = windows.join(objects, "p", "left").join(found, "p", "left").join(active, "p_start", "left")
+    counts = ("objects_in_partition", "filter_clusters", "active_candidates")
+    return rows.select("p", "p_start", "p_end", *(F.coalesce(c, F.lit(0)).alias(c) for c in counts))
 
 
 def refine(points: DataFrame, candidates: DataFrame, m: int, k: int, eps: float, step: str = "10 minutes") -> DataFrame:
@@ -107,7 +114,9 @@ def refine_by_cmc(points: DataFrame, candidates: DataFrame, m: int, k: int, eps:
     steps = own.select("track", "time", "snap").distinct().join(sets, "snap", "left")
     rows = steps.select("track", F.col("time").alias("start"), F.col("time").alias("end"), F.lit(1).alias("points"), "objects")
     found = track(rows, m, k, dedupe=False).drop("track")
-    return found.dropDuplicates(["objects", "start_time", "end_time"]) if dedupe else found
+    if not dedupe:
+        return found
+    return found.groupBy("objects", "start_time", "end_time").agg(F.max("lifetime_points").alias("lifetime_points"))
 
 
 def cuts_minutes(points: DataFrame, m: int, k_filter: int, k: int, eps: float, delta: float, minutes: int, cell: float, buffer_minutes: int = 0, dedupe: bool = False, **options) -> tuple[DataFrame, DataFrame]:

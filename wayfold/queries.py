@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from .functions import geo
 from .functions.values import joined, object_ids, stamp
 from .operators import preprocess, recurrence, simplify, windows
-from .operators.dbscan import core_points
+from .operators.dbscan import clusters, core_points
 from .operators.joins import assign_windows, near_pairs, numbered_segments, segment_pairs, trajectory_pairs
 from .plans import convoys
 from .sources.points import FIXTURE_SQL, centroids, events_fixture, numbered, routes
 
 #: Parameters of the fixture: objects, snapshots, distance, simplification, times of a window, grid cell.
 M, K, EPS, DELTA, SIZE, CELL = 3, 3, 60.0, 30.0, 4, 250.0
+#: Least objects of a cluster, and shared ones, in the sweep.
+TAUS = (2, 3, 4, 5)
 #: Minutes of a window of fixed length.
 MINUTES = 3 * 24 * 60
 #: The fixture's plane laid on the globe.
@@ -221,8 +223,9 @@ def cuts_convoys(s, d):
 
 
 def cuts_filter_log(s, d):
-    log = convoys.filter_log(_points(s, d), M, EPS, DELTA, SIZE, CELL)
-    return log.select("p", stamp(F.col("p_start")).alias("p_start"), stamp(F.col("p_end")).alias("p_end"), "objects_in_partition", "filter_clusters")
+    log = convoys.filter_log(_points(s, d), M, K, EPS, DELTA, SIZE, CELL)
+    stamps = (stamp(F.col(c)).alias(c) for c in ("p_start", "p_end"))
+    return log.select(F.col("p").cast("long").alias("p"), *stamps, "objects_in_partition", "filter_clusters", "active_candidates")
 
 
 def cmc_vs_cuts_coverage(s, d):
@@ -252,8 +255,14 @@ def cluster_hausdorff(s, d):
 
 
 def tau_sweep(s, d):
-    pairs = recurrence.shared_members(_numbered(s, d), 2)
-    return pairs.withColumn("tau", F.explode(F.array(*map(F.lit, (2, 3, 4, 5))))).where("shared >= tau").groupBy("tau").agg(F.count(F.lit(1)).alias("n_pairs")).select(F.col("tau").cast("long").alias("tau"), "n_pairs")
+    """Clusters of at least tau objects, found anew for each tau, that share at least tau objects."""
+    pairs = near_pairs(_points(s, d), EPS)
+    out = None
+    for tau in TAUS:
+        shared = recurrence.shared_members(recurrence.numbered_members(clusters(pairs, tau)), tau)
+        one = shared.agg(F.count(F.lit(1)).alias("n_pairs")).select(F.lit(tau).cast("long").alias("tau"), "n_pairs")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def parse_object_ids(s, d):
@@ -296,33 +305,56 @@ QUERIES = {
 _TRAJ = f"traj AS ({FIXTURE_SQL.format(events='events')})"
 _T = lambda c: f"strftime({c}, '%Y-%m-%d %H:%M:%S')"
 _EDGES = f"edges AS (SELECT a.time, a.id AS a, b.id AS b FROM traj a JOIN traj b ON a.time = b.time AND a.id < b.id AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= {EPS})"
-_CLUSTERS = f"""{_EDGES}, both_ways AS (SELECT time, a, b FROM edges UNION ALL SELECT time, b, a FROM edges),
- deg AS (SELECT time, a AS id, count(*) + 1 AS neighbours FROM both_ways GROUP BY time, a),
- core AS (SELECT time, id FROM deg WHERE neighbours >= {M}),
- core_edges AS (SELECT e.* FROM both_ways e JOIN core c ON e.time = c.time AND e.a = c.id JOIN core d ON e.time = d.time AND e.b = d.id),
- reach AS (SELECT time, id AS a, id AS b FROM core UNION SELECT r.time, r.a, e.b FROM reach r JOIN core_edges e ON r.time = e.time AND r.b = e.a),
- labels AS (SELECT time, a AS id, min(b) AS label FROM reach GROUP BY time, a),
- members AS (SELECT time, label, id FROM labels UNION ALL
-   SELECT e.time, min(l.label), e.a FROM both_ways e JOIN labels l ON e.time = l.time AND e.b = l.id
-   WHERE NOT EXISTS (SELECT 1 FROM core c WHERE c.time = e.time AND c.id = e.a) GROUP BY e.time, e.a)"""
-_FOLD = f"""sets AS (SELECT time, list_sort(list(DISTINCT id)) AS objs FROM members GROUP BY time, label),
- steps AS (SELECT t.time, row_number() OVER (ORDER BY t.time) AS n, coalesce((SELECT list(s.objs ORDER BY s.objs) FROM sets s WHERE s.time = t.time), []) AS cs FROM (SELECT DISTINCT time FROM traj) t),
- fold AS (
-   SELECT 0::BIGINT AS n, []::STRUCT(o BIGINT[], s TIMESTAMP, e TIMESTAMP, l BIGINT)[] AS act, []::STRUCT(o BIGINT[], s TIMESTAMP, e TIMESTAMP, l BIGINT)[] AS done
+
+
+def _clusters(edges: str, m: int = M, tail: str = "", drop_small: bool = False) -> str:
+    """CTEs from ``edges`` (time, a, b) to ``deg``, ``core`` and ``members`` (time, label, id), their names ended by ``tail``."""
+    small = f" QUALIFY count(*) OVER (PARTITION BY time, label) >= {m}" if drop_small else ""
+    return f"""both_ways{tail} AS (SELECT time, a, b FROM {edges} UNION ALL SELECT time, b, a FROM {edges}),
+ deg{tail} AS (SELECT time, a AS id, count(*) + 1 AS neighbours FROM both_ways{tail} GROUP BY time, a),
+ core{tail} AS (SELECT time, id FROM deg{tail} WHERE neighbours >= {m}),
+ core_edges{tail} AS (SELECT e.* FROM both_ways{tail} e JOIN core{tail} c ON e.time = c.time AND e.a = c.id JOIN core{tail} d ON e.time = d.time AND e.b = d.id),
+ reach{tail} AS (SELECT time, id AS a, id AS b FROM core{tail} UNION SELECT r.time, r.a, e.b FROM reach{tail} r JOIN core_edges{tail} e ON r.time = e.time AND r.b = e.a),
+ labels{tail} AS (SELECT time, a AS id, min(b) AS label FROM reach{tail} GROUP BY time, a),
+ every{tail} AS (SELECT time, label, id FROM labels{tail} UNION ALL
+   SELECT e.time, min(l.label), e.a FROM both_ways{tail} e JOIN labels{tail} l ON e.time = l.time AND e.b = l.id
+   WHERE NOT EXISTS (SELECT 1 FROM core{tail} c WHERE c.time = e.time AND c.id = e.a) GROUP BY e.time, e.a),
+ members{tail} AS (SELECT time, label, id FROM every{tail}{small})"""
+
+
+_CLUSTERS = f"{_EDGES}, {_clusters('edges')}"
+_STEP_SETS = "sets{0} AS (SELECT time, list_sort(list(DISTINCT id)) AS objs FROM members{0} GROUP BY time, label)"
+
+
+def _fold(steps: str, k: int, points: int = 1, dedupe: bool = False, new_needs_m: bool = False, tail: str = "") -> str:
+    """CTEs from ``steps`` (track, n from 1, s, e, cs: lists of objects) to ``fold`` and ``convoys`` (track, o, objects, s, e, l)."""
+    goes_on = f"list_filter(st.cs, lambda c: len(list_intersect(v.o, c)) >= {M})"
+    met = f"len(list_filter(f.act, lambda v: len(list_intersect(v.o, c)) >= {M})) = 0" + (f" AND len(c) >= {M}" if new_needs_m else "")
+    kind = "STRUCT(o BIGINT[], s TIMESTAMP, e TIMESTAMP, l BIGINT)[]"
+    act = f"""list_concat(
+       flatten(list_transform(f.act, lambda v: list_transform({goes_on}, lambda c: struct_pack(o := list_sort(list_intersect(v.o, c)), s := v.s, e := st.e, l := v.l + {points})))),
+       list_transform(list_filter(st.cs, lambda c: {met}), lambda c: struct_pack(o := c, s := st.s, e := st.e, l := {points}::BIGINT)))"""
+    return f"""fold{tail} AS (
+   SELECT DISTINCT track, 0::BIGINT AS n, []::{kind} AS act, []::{kind} AS done FROM {steps}
    UNION ALL
-   SELECT st.n,
-     list_concat(flatten(list_transform(f.act, lambda v: list_transform(list_filter(st.cs, lambda c: len(list_intersect(v.o, c)) >= {M}), lambda c: struct_pack(o := list_sort(list_intersect(v.o, c)), s := v.s, e := st.time, l := v.l + 1)))),
-       list_transform(list_filter(st.cs, lambda c: len(list_filter(f.act, lambda v: len(list_intersect(v.o, c)) >= {M})) = 0), lambda c: struct_pack(o := c, s := st.time, e := st.time, l := 1::BIGINT))),
-     list_concat(f.done, list_filter(f.act, lambda v: v.l >= {K} AND len(list_filter(st.cs, lambda c: len(list_intersect(v.o, c)) >= {M})) = 0))
-   FROM fold f JOIN steps st ON st.n = f.n + 1),
- final AS (SELECT unnest(list_concat(done, list_filter(act, lambda v: v.l >= {K}))) AS v FROM fold ORDER BY n DESC LIMIT 1),
- last_fold AS (SELECT list_concat(done, list_filter(act, lambda v: v.l >= {K})) AS vs FROM fold WHERE n = (SELECT max(n) FROM fold)),
- convoys AS (SELECT v.o AS o, array_to_string(v.o, ',') AS objects, v.s AS s, v.e AS e, v.l AS l FROM (SELECT unnest(vs) AS v FROM last_fold))"""
-_FOLD = _FOLD.replace(f"""\n final AS (SELECT unnest(list_concat(done, list_filter(act, lambda v: v.l >= {K}))) AS v FROM fold ORDER BY n DESC LIMIT 1),""", "")
+   SELECT st.track, st.n, {f"list_distinct({act})" if dedupe else act},
+     list_concat(f.done, list_filter(f.act, lambda v: v.l >= {k} AND len({goes_on}) = 0))
+   FROM fold{tail} f JOIN {steps} st ON st.track = f.track AND st.n = f.n + 1),
+ ends{tail} AS (SELECT track, list_concat(done, list_filter(act, lambda v: v.l >= {k})) AS vs FROM fold{tail} QUALIFY n = max(n) OVER (PARTITION BY track)),
+ convoys{tail} AS (SELECT track, v.o AS o, array_to_string(v.o, ',') AS objects, v.s AS s, v.e AS e, v.l AS l FROM (SELECT track, unnest(vs) AS v FROM ends{tail}))"""
+
+
+def _cs(sets: str, at: str) -> str:
+    return f"coalesce((SELECT list(x.objs ORDER BY x.objs) FROM {sets} x WHERE x.time = {at}), [])"
+
+
+_FOLD = f"""{_STEP_SETS.format('')},
+ steps AS (SELECT 0 AS track, row_number() OVER (ORDER BY t.time) AS n, t.time AS s, t.time AS e, {_cs('sets', 't.time')} AS cs FROM (SELECT DISTINCT time FROM traj) t),
+ {_fold('steps', K)}"""
 _SEGS = "segs AS (SELECT * FROM (SELECT id, time AS t0, lead(time) OVER w AS t1, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM traj WINDOW w AS (PARTITION BY id ORDER BY time)) WHERE t1 IS NOT NULL)"
 _PAIRS = f"{_SEGS}, pairs AS (SELECT * FROM (SELECT id, t0, x0, y0, x1, y1, lead(x0, 2) OVER w AS nx0, lead(y0, 2) OVER w AS ny0, lead(x1, 2) OVER w AS nx1, lead(y1, 2) OVER w AS ny1 FROM segs WINDOW w AS (PARTITION BY id ORDER BY t0)) WHERE nx0 IS NOT NULL)"
 _WINDOWS = f"""nth AS (SELECT time, row_number() OVER (ORDER BY time) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT time FROM traj)),
- wins AS (SELECT a.i // {SIZE - 1} AS p, a.time AS p_start, b.time AS p_end FROM nth a JOIN nth b ON b.i = least(a.i + {SIZE - 1}, a.n - 1) WHERE a.i % {SIZE - 1} = 0 AND (a.i < a.n - 1 OR a.n = 1))"""
+ wins AS (SELECT a.i // {SIZE - 1} AS p, a.time AS p_start, b.time AS p_end FROM nth a JOIN nth b ON b.i = least(a.i + {SIZE - 1}, a.n - 1) WHERE a.i % {SIZE - 1} = 0 AND a.i < a.n - 1)"""
 
 
 def _hyp(ax, ay, bx, by):
@@ -368,13 +400,92 @@ _FIXED = f"fixed AS (SELECT row_number() OVER (ORDER BY p_start) - 1 AS p, p_sta
 _PARTS = f"{_SEGS}, {_FIXED}, parts AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY id, t0) AS seg, t0, t1, x0, y0, x1, y1 FROM segs JOIN fixed ON t1 >= p_start AND t0 <= p_end)"
 
 
+def _between(by: str) -> str:
+    """CTE bodies that lay known points (``known``) on a grid (``grid``), each of ``by`` and time."""
+    return f"""allt AS (SELECT {by}, time, max(x) AS x, max(y) AS y, bool_or(g) AS g FROM (
+     SELECT {by}, time, x, y, false AS g FROM known UNION ALL SELECT {by}, time, NULL, NULL, true FROM grid) GROUP BY {by}, time),
+ spot AS (SELECT *, CASE WHEN x IS NOT NULL THEN struct_pack(t := time, x := x, y := y) END AS q FROM allt),
+ nb AS (SELECT *, last_value(q IGNORE NULLS) OVER (PARTITION BY {by} ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lo,
+   first_value(q IGNORE NULLS) OVER (PARTITION BY {by} ORDER BY time ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS hi FROM spot),
+ part AS (SELECT *, CASE WHEN lo.t = hi.t THEN 0.0 ELSE (epoch_us(time) - epoch_us(lo.t)) / (epoch_us(hi.t) - epoch_us(lo.t)) END AS f FROM nb WHERE g AND lo IS NOT NULL AND hi IS NOT NULL),
+ laid AS (SELECT {by}, time, lo.x + (hi.x - lo.x) * f AS x, lo.y + (hi.y - lo.y) * f AS y FROM part)"""
+
+
 def _interp(known: str, grid: str) -> str:
-    return f"""known AS ({known}), grid AS ({grid}),
- allt AS (SELECT id, time, max(x) AS x, max(y) AS y, bool_or(g) AS g FROM (SELECT id, time, x, y, false AS g FROM known UNION ALL SELECT id, time, NULL, NULL, true FROM grid) GROUP BY id, time),
- nb AS (SELECT *, last_value(CASE WHEN x IS NOT NULL THEN struct_pack(t := time, x := x, y := y) END IGNORE NULLS) OVER (PARTITION BY id ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lo,
-   first_value(CASE WHEN x IS NOT NULL THEN struct_pack(t := time, x := x, y := y) END IGNORE NULLS) OVER (PARTITION BY id ORDER BY time ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS hi FROM allt),
- part AS (SELECT *, CASE WHEN lo.t = hi.t THEN 0.0 ELSE (epoch_us(time) - epoch_us(lo.t)) / (epoch_us(hi.t) - epoch_us(lo.t)) END AS f FROM nb WHERE g AND lo IS NOT NULL AND hi IS NOT NULL)
- SELECT id, {_T('time')} AS time, round(lo.x + (hi.x - lo.x) * f, 6) AS x, round(lo.y + (hi.y - lo.y) * f, 6) AS y FROM part"""
+    return f"known AS ({known}), grid AS ({grid}), {_between('id')} SELECT id, {_T('time')} AS time, round(x, 6) AS x, round(y, 6) AS y FROM laid"
+
+
+def _dp(line: bool = False) -> str:
+    """CTEs of the simplification: ``pts`` by place, ``spans`` that are split, ``kept`` points, ``dsegs`` with tolerance."""
+    ends = ("u.x", "u.y", "v.x", "v.y")
+    size = _hyp(*ends)
+    far = _ps("p.x", "p.y", *ends)
+    if line:
+        far = f"CASE WHEN {size} = 0 THEN {_hyp('p.x', 'p.y', 'u.x', 'u.y')} ELSE abs((v.x - u.x) * (u.y - p.y) - (u.x - p.x) * (v.y - u.y)) / {size} END"
+    own = _ps("p.x", "p.y", "s.x0", "s.y0", "s.x1", "s.y1")
+    return f"""pts AS MATERIALIZED (SELECT id, time, x, y, row_number() OVER (PARTITION BY id ORDER BY time) - 1 AS i FROM traj),
+ spans AS (SELECT id, 0::BIGINT AS a, max(i) AS b FROM pts GROUP BY id UNION ALL
+   SELECT id, unnest([a, k]) AS a, unnest([k, b]) AS b FROM (
+     SELECT *, row_number() OVER (PARTITION BY id, a, b ORDER BY d DESC, k) AS rn FROM (
+       SELECT s.id, s.a, s.b, p.i AS k, {far} AS d FROM spans s JOIN pts p ON p.id = s.id AND p.i > s.a AND p.i < s.b
+       JOIN pts u ON u.id = s.id AND u.i = s.a JOIN pts v ON v.id = s.id AND v.i = s.b)) WHERE rn = 1 AND d > {DELTA}),
+ kept AS (SELECT DISTINCT p.id, p.i, p.time, p.x, p.y FROM spans s JOIN pts p ON p.id = s.id AND (p.i = s.a OR p.i = s.b)),
+ whole AS (SELECT * FROM (SELECT id, i, lead(i) OVER w AS j, time AS t0, lead(time) OVER w AS t1, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1
+   FROM kept WINDOW w AS (PARTITION BY id ORDER BY i)) WHERE j IS NOT NULL),
+ dsegs AS MATERIALIZED (SELECT s.id, s.t0, s.t1, s.x0, s.y0, s.x1, s.y1, coalesce(max({own}), 0.0) AS tolerance
+   FROM whole s LEFT JOIN pts p ON p.id = s.id AND p.i > s.i AND p.i < s.j GROUP BY s.id, s.t0, s.t1, s.x0, s.y0, s.x1, s.y1)"""
+
+
+_ENDS_A, _ENDS_B = (tuple(f"{s}.{c}" for c in ("x0", "y0", "x1", "y1")) for s in "ab")
+_SIMPLE = _dp()
+_TPAIRS = f"""{_SIMPLE}, {_WINDOWS}, tparts AS MATERIALIZED (SELECT p, d.* FROM dsegs d JOIN wins ON t1 >= p_start AND t0 <= p_end),
+ tedges AS MATERIALIZED (SELECT DISTINCT a.p AS time, a.id AS a, b.id AS b FROM tparts a JOIN tparts b ON a.p = b.p AND a.id < b.id AND a.t0 <= b.t1 AND a.t1 >= b.t0
+   WHERE greatest(0.0, ({_ss(_ENDS_A, _ENDS_B)}) - a.tolerance - b.tolerance) <= {EPS})"""
+_TCLUSTERS = f"{_TPAIRS}, {_clusters('tedges', tail='_t', drop_small=True)}"
+_CANDIDATES = f"""{_TCLUSTERS}, {_STEP_SETS.format('_t')},
+ wsteps AS (SELECT 0 AS track, row_number() OVER (ORDER BY p) AS n, p_start AS s, p_end AS e, {_cs('sets_t', 'w.p')} AS cs FROM wins w),
+ {_fold('wsteps', K, SIZE, dedupe=True, new_needs_m=True, tail='_w')},
+ cands AS (SELECT o, objects, s, e, max(l) AS l, row_number() OVER (ORDER BY s, e, o) AS track FROM convoys_w GROUP BY o, objects, s, e)"""
+_REFINED = f"""{_CANDIDATES}, spans_of AS (SELECT track, unnest(o) AS id, s, e FROM cands),
+ known AS (SELECT c.track, t.id, t.time, t.x, t.y FROM spans_of c JOIN traj t ON t.id = c.id AND t.time BETWEEN c.s AND c.e),
+ grid AS (SELECT track, id, unnest(generate_series(s, e, INTERVAL 1 DAY)) AS time FROM spans_of), {_between('track, id')},
+ snaps AS MATERIALIZED (SELECT struct_pack(track := track, t := time) AS time, id, x, y FROM laid),
+ redges AS MATERIALIZED (SELECT a.time, a.id AS a, b.id AS b FROM snaps a JOIN snaps b ON a.time = b.time AND a.id < b.id AND {_hyp('a.x', 'a.y', 'b.x', 'b.y')} <= {EPS}),
+ {_clusters('redges', tail='_r', drop_small=True)}, {_STEP_SETS.format('_r')},
+ rsteps AS (SELECT time.track AS track, row_number() OVER (PARTITION BY time.track ORDER BY time.t) AS n, time.t AS s, time.t AS e, {_cs('sets_r', 'q.time')} AS cs FROM (SELECT DISTINCT time FROM snaps) q),
+ {_fold('rsteps', K, dedupe=True, tail='_r')},
+ refined AS (SELECT objects, s, e, max(l) AS l FROM convoys_r WHERE len(o) >= {M} GROUP BY objects, s, e)"""
+_MINUTES_FOUND = f"""{_SIMPLE}, {_FIXED},
+ mparts AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY id, t0) AS seg, d.* FROM dsegs d JOIN fixed ON t1 >= p_start AND t0 <= p_end),
+ medges AS MATERIALIZED (SELECT a.p AS time, a.seg AS a, b.seg AS b FROM mparts a JOIN mparts b ON a.p = b.p AND a.seg < b.seg AND a.t0 <= b.t1 AND a.t1 >= b.t0
+   WHERE ({_ss(_ENDS_A, _ENDS_B)}) <= {EPS} + a.tolerance + b.tolerance),
+ {_clusters('medges', tail='_m')},
+ sets_m AS (SELECT m.time, list_sort(list(DISTINCT q.id)) AS objs FROM members_m m JOIN mparts q ON q.p = m.time AND q.seg = m.id GROUP BY m.time, m.label HAVING count(DISTINCT q.id) >= {M}),
+ msteps AS (SELECT 0 AS track, row_number() OVER (ORDER BY p) AS n, p_start AS s, p_end AS e, {_cs('sets_m', 'w.p')} AS cs FROM fixed w),
+ {_fold('msteps', 2, tail='_m')}"""
+_MINUTES_REFINED = f"""{_MINUTES_FOUND}, mcands AS (SELECT *, row_number() OVER (ORDER BY s, e, o) AS no FROM convoys_m),
+ own AS MATERIALIZED (SELECT struct_pack(track := c.no, t := t.time) AS time, t.id, t.x, t.y FROM (SELECT no, s, e, unnest(o) AS id FROM mcands) c JOIN traj t ON t.id = c.id AND t.time BETWEEN c.s AND c.e),
+ oedges AS MATERIALIZED (SELECT a.time, a.id AS a, b.id AS b FROM own a JOIN own b ON a.time = b.time AND a.id < b.id AND {_hyp('a.x', 'a.y', 'b.x', 'b.y')} <= {EPS}),
+ {_clusters('oedges', tail='_o')}, {_STEP_SETS.format('_o')},
+ osteps AS (SELECT time.track AS track, row_number() OVER (PARTITION BY time.track ORDER BY time.t) AS n, time.t AS s, time.t AS e, {_cs('sets_o', 'q.time')} AS cs FROM (SELECT DISTINCT time FROM own) q),
+ {_fold('osteps', K, tail='_o')}"""
+_SHOWN = f"objects, {_T('s')} AS start_time, {_T('e')} AS end_time, l AS lifetime_points"
+#: A point's stay ends before the first later one that is too far; the walk goes on behind a stay, or at the next point.
+_STAYS = f"""pts AS (SELECT id, time, x, y, row_number() OVER (PARTITION BY id ORDER BY time, x, y) - 1 AS i, count(*) OVER (PARTITION BY id) AS n FROM traj),
+ runs AS (SELECT a.id, a.i, a.n, coalesce(min(b.i) FILTER ({_hyp('a.x', 'a.y', 'b.x', 'b.y')} > 100.0), a.n) AS j FROM pts a LEFT JOIN pts b ON b.id = a.id AND b.i > a.i GROUP BY a.id, a.i, a.n),
+ stays AS (SELECT r.id, r.i, r.n, r.j, r.j - 1 > r.i AND epoch_us(z.time) - epoch_us(a.time) >= 1440 * 60000000::BIGINT AS stay FROM runs r JOIN pts a ON a.id = r.id AND a.i = r.i JOIN pts z ON z.id = r.id AND z.i = r.j - 1),
+ walk AS (SELECT * FROM stays WHERE i = 0 UNION ALL SELECT s.* FROM walk w JOIN stays s ON s.id = w.id AND s.i = CASE WHEN w.stay THEN w.j ELSE w.i + 1 END),
+ moving AS (SELECT p.* FROM pts p WHERE NOT EXISTS (SELECT 1 FROM walk w WHERE w.stay AND w.id = p.id AND p.i >= w.i AND p.i < w.j))"""
+
+
+def _taus() -> str:
+    out, ends = [], []
+    for tau in TAUS:
+        t = f"_{tau}"
+        out.append(f"{_clusters('edges', tau, t)}, no{t} AS (SELECT DISTINCT time, label, id, dense_rank() OVER (ORDER BY time, label) AS seq FROM members{t})")
+        pairs = f"SELECT a.seq FROM no{t} a JOIN no{t} b ON a.id = b.id AND a.seq < b.seq GROUP BY a.seq, b.seq HAVING count(*) >= {tau}"
+        ends.append(f"SELECT {tau}::BIGINT AS tau, count(*) AS n_pairs FROM ({pairs})")
+    return f"{_EDGES}, {', '.join(out)} {' UNION ALL '.join(ends)}"
 
 
 _REC = "WITH RECURSIVE " + _TRAJ + ", "
@@ -408,7 +519,27 @@ ORACLE_SQL = {
     "convoy_routes": f"{_REC}{_CLUSTERS}, {_FOLD}, {_CONVOY_NO}, {_ROUTES} SELECT convoy_id, id, {_T('time')} AS time, x, y FROM routes",
     "convoy_centroids": f"{_REC}{_CLUSTERS}, {_FOLD}, {_CONVOY_NO}, {_ROUTES} SELECT convoy_id, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, count(*) AS n_points FROM routes GROUP BY convoy_id",
     "recurrent_clusters_rci": f"{_REC}{_CLUSTERS}, {_NUMBERED}, {_SHARED} SELECT earlier, later, shared FROM shared WHERE shared >= 3",
-    "tau_sweep": f"{_REC}{_CLUSTERS}, {_NUMBERED}, {_SHARED} SELECT CAST(tau AS BIGINT) AS tau, count(*) AS n_pairs FROM shared, (SELECT unnest([2, 3, 4, 5]) AS tau) WHERE shared >= tau GROUP BY tau",
+    "tau_sweep": f"{_REC}{_taus()}",
+    "stay_points": f"{_REC}{_STAYS} SELECT id, {_T('time')} AS time, x, y FROM moving",
+    "dp_keep_points": f"{_REC}{_SIMPLE} SELECT id, {_T('time')} AS time, x, y FROM kept",
+    "dp_line_variant": f"{_REC}{_dp(True)} SELECT id, {_T('time')} AS time, x, y FROM kept",
+    "dp_segments_tolerance": f"{_REC}{_SIMPLE} SELECT id, {_T('t0')} AS t0, {_T('t1')} AS t1, round(tolerance, 6) AS tolerance FROM dsegs",
+    "dp_reduction_stats": f"""{_REC}{_SIMPLE}, c AS (SELECT (SELECT count(*) FROM pts) AS n_points, (SELECT count(*) FROM kept) AS n_kept)
+        SELECT n_points, n_kept, round(100.0::DOUBLE * (1 - n_kept / n_points), 6) AS reduction_percent FROM c""",
+    "traj_pair_edges": f"{_REC}{_TPAIRS} SELECT CAST(time AS BIGINT) AS p, a, b FROM tedges",
+    "traj_pair_edges_pruned": f"{_REC}{_TPAIRS} SELECT CAST(time AS BIGINT) AS p, a, b FROM tedges",
+    "traj_clusters": f"{_REC}{_TCLUSTERS} SELECT CAST(time AS BIGINT) AS p, label, id FROM members_t",
+    "cuts_candidates": f"{_REC}{_CANDIDATES} SELECT {_SHOWN} FROM cands",
+    "cuts_convoys": f"{_REC}{_REFINED} SELECT {_SHOWN} FROM refined",
+    "cuts_filter_log": f"""{_REC}{_CANDIDATES}
+        SELECT CAST(w.p AS BIGINT) AS p, {_T('w.p_start')} AS p_start, {_T('w.p_end')} AS p_end, (SELECT count(DISTINCT id) FROM tparts q WHERE q.p = w.p) AS objects_in_partition,
+          (SELECT count(DISTINCT label) FROM members_t q WHERE q.time = w.p) AS filter_clusters, len(f.act) AS active_candidates
+        FROM wins w JOIN wsteps st ON st.s = w.p_start JOIN fold_w f ON f.n = st.n""",
+    "cmc_vs_cuts_coverage": f"""{_REC}{_CLUSTERS}, {_FOLD}, {_CANDIDATES}, held AS (
+          SELECT EXISTS (SELECT 1 FROM cands c WHERE c.s <= v.e AND c.e >= v.s AND len(list_intersect(v.o, c.o)) = len(v.o)) AS covered FROM convoys v)
+        SELECT covered, count(*) AS n_convoys FROM held GROUP BY covered""",
+    "cuts_minutes_candidates": f"{_REC}{_MINUTES_FOUND} SELECT {_SHOWN} FROM convoys_m",
+    "cuts_minutes_convoys": f"{_REC}{_MINUTES_REFINED} SELECT objects, {_T('s')} AS start_time, {_T('e')} AS end_time, max(l) AS lifetime_points FROM convoys_o GROUP BY objects, s, e",
     "cluster_bbox_overlap": f"{_REC}{_CLUSTERS}, {_NUMBERED}, {_BOXES} SELECT earlier, later FROM meets",
     "cluster_hausdorff": f"""{_REC}{_CLUSTERS}, {_NUMBERED}, {_BOXES}, d AS (SELECT m.earlier, m.later, a.id AS ai, b.id AS bi, {_hyp('a.x', 'a.y', 'b.x', 'b.y')} AS d FROM meets m JOIN spots a ON a.seq = m.earlier JOIN spots b ON b.seq = m.later)
         SELECT earlier, later, round(max(d), 6) AS hausdorff FROM (SELECT earlier, later, min(d) AS d FROM d GROUP BY earlier, later, ai UNION ALL SELECT earlier, later, min(d) FROM d GROUP BY earlier, later, bi) GROUP BY earlier, later""",

@@ -37,11 +37,13 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_first(spark: SparkSession, path: str, rows: int = 100_000) -> DataFrame:
-    """The first rows of a headerless log, with minute-rounded time and radians.  Order is that of the file's lines in one split."""
+    """The first ``rows`` rows of a headerless log, a report of that many: by file and place in it; minute-rounded time and radians."""
     from ..functions.values import round_time
 
     raw = _read(spark, path, "taxi_id long, date_time timestamp, longitude double, latitude double")
-    return raw.limit(rows).withColumns({"timestamp": round_time(F.col("date_time"), 1), "lat_rad": F.radians("latitude"), "lon_rad": F.radians("longitude")})
+    at = raw.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__row"))
+    first = at.orderBy("__file", "__block", "__row").limit(rows).drop("__file", "__block", "__row")
+    return first.withColumns({"timestamp": round_time(F.col("date_time"), 1), "lat_rad": F.radians("latitude"), "lon_rad": F.radians("longitude")})
 
 
 def require(df: DataFrame, *columns: str) -> DataFrame:
@@ -86,8 +88,9 @@ def centroids(points: DataFrame, convoys: DataFrame) -> DataFrame:
     return routes(points, convoys).groupBy("convoy_id").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.count(F.lit(1)).alias("n_points"))
 
 
-#: The colours of the convoys on a map, in turn, and the map's centre if there are no points.
-COLOURS = ("red", "blue", "green", "purple", "orange", "darkred", "cadetblue", "darkgreen", "darkblue", "pink")
+#: Colours of the convoys on a map, in turn: evenly spaced hues.
+COLOURS = tuple(f"hsl({round(360 * k / 12)} 70% 40%)" for k in range(12))
+#: Fixed value: the map's centre (latitude, longitude) if there are no points.
 CENTRE = (39.9, 116.4)
 
 
