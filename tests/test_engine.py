@@ -287,7 +287,7 @@ def test_map_has_all_routes(spark, tmp_path):
     rows = [(1, i, at(t), float(i), float(t)) for i in range(510) for t in (0, 10)] + [(1, 999, at(0), 5000.0, 0.0)]
     sources.write_map(spark.createDataFrame(rows, "convoy_id int, id long, time timestamp, x double, y double"), str(tmp_path / "m.html"))
     page = (tmp_path / "m.html").read_text()
-    assert page.count("<polyline") == 510 and 'points="20.0,580.0 20.0,20.0"' in page and page.endswith("</svg>")
+    assert page.count("<polyline") == 510 and 'points="20.0,580.0 20.0,20.0"' in page and "<script>" in page and page.count("<circle") == 510
 
 
 def test_poles_and_the_date_line(spark):
@@ -380,6 +380,36 @@ def test_filter_log_counts_candidates(spark):
     assert len(log) == 4 and all(r["objects_in_partition"] == 14 for r in log) and any(r["active_candidates"] for r in log)
 
 
+def test_runs_and_maps_by_command_line(spark, tmp_path):
+    from wayfold import cli
+
+    rows = [(i, at(13 * 60 + t), 116.4 + i * 1e-4, 39.9 + t * 1e-4) for i in range(4) for t in range(0, 60, 10)] + [(9, at(13 * 60), 117.0, 39.0)]
+    sources.write_points(spark.createDataFrame(rows, sources.POINT), str(tmp_path / "p"))
+    for method in ("cuts", "cmc"):
+        cli.main(["--log", str(tmp_path / "log"), "run", str(tmp_path / "p"), "--output-prefix", str(tmp_path / method), "--method", method, "--start", "13:00", "--delta", "5"])
+        found = sources.read_convoys(spark, str(tmp_path / f"{method}-convoys")).collect()
+        assert [r["objects"] for r in found] == [[0, 1, 2, 3]] and "<polyline" in (tmp_path / f"{method}-map.html").read_text()
+        stages = [r["stage"] for r in spark.read.csv(str(tmp_path / f"{method}-seconds"), header=True).collect()]
+        assert stages[0] == "load" and stages[-1] == "map"
+    assert "refinement" in (tmp_path / "log").read_text() and spark.read.csv(str(tmp_path / "cuts-filter-log"), header=True).columns[-1] == "active_candidates"
+    conv = spark.createDataFrame([([0, 1, 77], at(13 * 60), at(13 * 60 + 20), 3)], "objects array<long>, start_time timestamp, end_time timestamp, lifetime_points int")
+    sources.write_convoys(conv, str(tmp_path / "saved"))
+    assert cli.show(spark, str(tmp_path / "p"), str(tmp_path / "saved"), str(tmp_path / "saved.html")) == 1
+    assert (tmp_path / "saved.html").read_text().count("<polyline") == 2
+
+
+def test_maps_of_simplified_routes_and_trajectories(spark, tmp_path):
+    rows = [(1, at(t), float(t), 0.0) for t in range(5)] + [(2, at(t), float(t), 3.0 * (t % 2)) for t in range(5)]
+    pts = spark.createDataFrame(rows, sources.POINT)
+    sources.write_simplified_map(pts, simplify.simplify(pts, 1.0), str(tmp_path / "s.html"))
+    page = (tmp_path / "s.html").read_text()
+    assert page.count("stroke-dasharray") == 2 and page.count("<polyline") == 4 and 'data-layer="simplified 1"' in page
+    sources.write_trajectory_map(preprocess.nth_object(pts, 1), str(tmp_path / "t.html"))
+    assert (tmp_path / "t.html").read_text().count("<polyline") == 1
+    with pytest.raises(IndexError):
+        preprocess.nth_object(pts, 2)
+
+
 def test_empty_points(spark):
     none = spark.createDataFrame([], sources.POINT)
     assert convoys.cmc(none, 3, 3, 60.0).count() == 0

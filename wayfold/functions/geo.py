@@ -26,6 +26,11 @@ def equirectangular(lon: Column, lat: Column, lat0: Column, radius: float = EART
     return radius * F.radians(lon) * F.cos(F.radians(lat0)), radius * F.radians(lat)
 
 
+def degrees_to_meters(degrees: Column) -> Column:
+    """A tolerance in degrees as rough meters."""
+    return degrees * ROUGH_DEGREE_M
+
+
 def distance(ax, ay, bx, by) -> Column:
     return F.sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -87,9 +88,12 @@ def _to_segment(px, py, ax, ay, bx, by) -> np.ndarray:
     return np.sqrt(ex * ex + ey * ey)
 
 
-def segment_gap(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """Distances of segments, as arrays of x0, y0, x1, y1; 0 where they cross or touch."""
+def segment_gap(a: list[np.ndarray], b: list[np.ndarray], crossing: bool = True) -> np.ndarray:
+    """Distances of segments, as arrays of x0, y0, x1, y1; with ``crossing`` 0 where they cross or touch."""
     (ax, ay, bx, by), (cx, cy, dx, dy) = a, b
+    least = np.minimum.reduce((_to_segment(ax, ay, cx, cy, dx, dy), _to_segment(bx, by, cx, cy, dx, dy), _to_segment(cx, cy, ax, ay, bx, by), _to_segment(dx, dy, ax, ay, bx, by)))
+    if not crossing:
+        return least
     turn = lambda px, py, qx, qy, rx, ry: (qx - px) * (ry - py) - (qy - py) * (rx - px)
 
     def on(px, py, qx, qy, rx, ry):
@@ -100,63 +104,90 @@ def segment_gap(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     zero = (o[0] * o[1] < 0) & (o[2] * o[3] < 0)
     for turned, lies in zip(o, touch):
         zero |= (np.abs(turned) < geo.TINY) & lies
-    ends = (_to_segment(ax, ay, cx, cy, dx, dy), _to_segment(bx, by, cx, cy, dx, dy), _to_segment(cx, cy, ax, ay, bx, by), _to_segment(dx, dy, ax, ay, bx, by))
-    return np.where(zero, 0.0, np.minimum.reduce(ends))
+    return np.where(zero, 0.0, least)
 
 
-def trajectory_pairs(parts: DataFrame, eps: float, cell: float, lemma: bool = True) -> DataFrame:
-    """``p, a, b``: objects with segments at the same time whose lower bound is at most eps.
+def end_gap(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """The least distance of an end of one segment to an end of the other."""
+    far = lambda i, j: np.sqrt((a[i] - b[j]) ** 2 + (a[i + 1] - b[j + 1]) ** 2)
+    return np.minimum.reduce([far(i, j) for i in (0, 2) for j in (0, 2)])
+
+
+#: The distances that segments can be joined by.
+SEGMENT_DISTANCES = {"ends": end_gap, "clamped": partial(segment_gap, crossing=False), "exact": segment_gap}
+
+
+def _cell_blocks(parts: DataFrame, own: str, eps: float, cell: float):
+    """Segments grouped by window, grid cell and pair of blocks, for :func:`_held_against`.
 
-    Boxes, grown by half of eps and the tolerance, are dealt to grid cells; only the first cell that two boxes share joins them.
-    A cell's segments are dealt to blocks of about BLOCK, and each pair of blocks is a group, held against each other as arrays:
-    first by time and by the gap of their boxes (``lemma``), which can't lose a pair, then by the distance of the segments, and
-    only as long as their objects haven't met.
+    Boxes, grown by half of eps and the tolerance, are dealt to cells, and a cell's segments to blocks of about BLOCK by a hash.
     """
     pad = F.col("tolerance") + eps / 2
     floor = lambda v: F.floor(v / cell)
     low = {"fx": floor(F.least("x0", "x1") - pad), "fy": floor(F.least("y0", "y1") - pad), "lx": floor(F.greatest("x0", "x1") + pad), "ly": floor(F.greatest("y0", "y1") + pad)}
-    rows = parts.select("p", F.col("id").cast("long").alias("id"), "t0", "t1", *_BOX, "tolerance").withColumns(low)
+    rows = parts.select("p", F.col(own).cast("long").alias("id"), "t0", "t1", *_BOX, "tolerance").withColumns(low)
     rows = rows.withColumn("cx", F.explode(F.sequence("fx", "lx"))).withColumn("cy", F.explode(F.sequence("fy", "ly"))).drop("lx", "ly")
     counts = rows.groupBy("p", "cx", "cy").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     rows = rows.join(counts, ["p", "cx", "cy"]).withColumn("own", F.pmod(F.xxhash64("id", "t0"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).withColumn("side", (F.col("own") > F.col("other")).cast("int")).drop("blocks", "own", "other")
+    rows = rows.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).withColumn("side", (F.col("own") > F.col("other")).cast("int"))
+    return rows.drop("blocks", "own", "other").groupBy("p", "cx", "cy", "lo", "hi")
 
-    def run(table: pa.Table) -> pa.Table:
-        col = {c: table.column(c).to_numpy() for c in ("id", *_BOX, "tolerance", "fx", "fy", "side")}
-        times = [table.column(c).cast(pa.int64()).to_numpy() for c in ("t0", "t1")]
-        cx, cy = table.column("cx")[0].as_py(), table.column("cy")[0].as_py()
-        box = {"x": (np.minimum(col["x0"], col["x1"]), np.maximum(col["x0"], col["x1"])), "y": (np.minimum(col["y0"], col["y1"]), np.maximum(col["y0"], col["y1"]))}
-        left = np.flatnonzero(col["side"] == 0)
-        two = bool(col["side"].any())
-        right = np.flatnonzero(col["side"] == 1) if two else left
-        ids, code = np.unique(col["id"], return_inverse=True)
-        met = np.zeros((len(ids), len(ids)), bool)
-        for i in left.tolist():
-            j = right[(np.maximum(col["fx"][right], col["fx"][i]) == cx) & (np.maximum(col["fy"][right], col["fy"][i]) == cy)]
-            ok = (times[0][j] <= times[1][i]) & (times[1][j] >= times[0][i])
-            ok &= (code[j] != code[i]) if two else (code[j] > code[i])
-            reach = eps + col["tolerance"][i] + col["tolerance"][j]
-            if lemma:
-                for low, high in box.values():
-                    ok &= np.maximum(low[i] - high[j], low[j] - high[i]) <= reach
-            ok &= ~met[np.minimum(code[i], code[j]), np.maximum(code[i], code[j])]
-            j = j[ok]
-            if not len(j):
-                continue
-            gap = segment_gap([col[c][i] for c in _BOX], [col[c][j] for c in _BOX])
-            near = code[j[np.maximum(0.0, gap - col["tolerance"][i] - col["tolerance"][j]) <= eps]]
-            met[np.minimum(code[i], near), np.maximum(code[i], near)] = True
-        a, b = np.nonzero(met)
-        p = table.column("p").combine_chunks().take(pa.array(np.zeros(len(a), np.int64)))
-        return pa.table([p, pa.array(ids[a]), pa.array(ids[b])], names=["p", "a", "b"])
 
-    found = rows.groupBy("p", "cx", "cy", "lo", "hi").applyInArrow(run, f"p {dict(parts.dtypes)['p']}, a long, b long")
-    return found.distinct()
+def _held_against(table: pa.Table, limit, distance, temporal: bool, boxes: bool, skip=None):
+    """For each segment of one block, those of the other that lie near it: (place, places, ids of all).
+
+    Only the first cell that two boxes share holds them against each other: first by time and by the gap of their boxes, then
+    by distance.  ``limit`` gives the most distance from both tolerances; ``skip(i, j)`` says which pairs are done already.
+    """
+    col = {c: table.column(c).to_numpy() for c in ("id", *_BOX, "tolerance", "fx", "fy", "side")}
+    t0, t1 = (table.column(c).cast(pa.int64()).to_numpy() for c in ("t0", "t1"))
+    cx, cy = table.column("cx")[0].as_py(), table.column("cy")[0].as_py()
+    box = [(np.minimum(col[f"{k}0"], col[f"{k}1"]), np.maximum(col[f"{k}0"], col[f"{k}1"])) for k in "xy"]
+    two = bool(col["side"].any())
+    left = np.flatnonzero(col["side"] == 0)
+    right = np.flatnonzero(col["side"] == 1) if two else left
+    for i in left.tolist():
+        ok = (np.maximum(col["fx"][right], col["fx"][i]) == cx) & (np.maximum(col["fy"][right], col["fy"][i]) == cy)
+        ok &= (col["id"][right] != col["id"][i]) if two else (col["id"][right] > col["id"][i])
+        if temporal:
+            ok &= (t0[right] <= t1[i]) & (t1[right] >= t0[i])
+        j = right[ok]
+        reach = limit(col["tolerance"][i], col["tolerance"][j])
+        if boxes:
+            near = np.ones(len(j), bool)
+            for low, high in box:
+                near &= np.maximum(low[i] - high[j], low[j] - high[i]) <= reach
+            j, reach = j[near], reach[near]
+        if skip is not None:
+            new = ~skip(i, j)
+            j, reach = j[new], reach[new]
+        if len(j):
+            near = distance([col[c][i] for c in _BOX], [col[c][j] for c in _BOX]) <= reach
+            yield i, j[near]
+
+
+def _same_p(table: pa.Table, n: int) -> pa.Array:
+    return table.column("p").combine_chunks().take(pa.array(np.zeros(n, np.int64)))
 
 
-#: The distances that segments can be joined by.
-SEGMENT_DISTANCES = {"ends": geo.segment_ends, "clamped": geo.segment_clamped, "exact": geo.segment_segment}
+def trajectory_pairs(parts: DataFrame, eps: float, cell: float, lemma: bool = True) -> DataFrame:
+    """``p, a, b``: objects with segments at the same time whose lower bound is at most eps.
+
+    A cell's segments are held against each other as arrays, in pairs of blocks; the gap of their boxes (``lemma``) can't
+    lose a pair; segments of objects that have met in the group are left out.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, code = np.unique(table.column("id").to_numpy(), return_inverse=True)
+        met = np.zeros((len(ids), len(ids)), bool)  # at most 2 * BLOCK objects
+        done = lambda i, j: met[np.minimum(code[i], code[j]), np.maximum(code[i], code[j])]
+        for i, j in _held_against(table, lambda x, y: eps + x + y, segment_gap, True, lemma, done):
+            met[np.minimum(code[i], code[j]), np.maximum(code[i], code[j])] = True
+        a, b = np.nonzero(met)
+        return pa.table([_same_p(table, len(a)), pa.array(ids[a]), pa.array(ids[b])], names=["p", "a", "b"])
+
+    return _cell_blocks(parts, "id", eps, cell).applyInArrow(run, f"p {dict(parts.dtypes)['p']}, a long, b long").distinct()
 
 
 def numbered_segments(parts: DataFrame) -> DataFrame:
@@ -167,19 +198,14 @@ def numbered_segments(parts: DataFrame) -> DataFrame:
 def segment_pairs(parts: DataFrame, eps: float, cell: float, distance: str = "ends", temporal: bool = False) -> DataFrame:
     """``p, a, b`` with a < b: numbered segments of one window, also of one object, at most eps and both tolerances apart.
 
-    Boxes are dealt to grid cells as in :func:`trajectory_pairs`; of the cells that a pair shares, only the first
-    joins it, so no pair comes twice.  ``temporal`` asks for a common time as well.
+    Cells and blocks are those of :func:`trajectory_pairs`, and no pair comes twice.  ``temporal`` asks for a common time as well.
     """
-    pad = F.col("tolerance") + eps / 2
-    floor = lambda v: F.floor(v / cell)
-    low = {"fx": floor(F.least("x0", "x1") - pad), "fy": floor(F.least("y0", "y1") - pad), "lx": floor(F.greatest("x0", "x1") + pad), "ly": floor(F.greatest("y0", "y1") + pad)}
-    boxed = parts.withColumns(low).withColumn("cx", F.explode(F.sequence("fx", "lx"))).withColumn("cy", F.explode(F.sequence("fy", "ly")))
-    names = ["seg", "t0", "t1", "x0", "y0", "x1", "y1", "tolerance", "fx", "fy"]
-    a, b = (boxed.select("p", "cx", "cy", *(F.col(n).alias(f"{s}_{n}") for n in names)) for s in "ab")
-    c = F.col
-    first = (c("cx") == F.greatest("a_fx", "b_fx")) & (c("cy") == F.greatest("a_fy", "b_fy"))
-    ok = first & (c("a_seg") < c("b_seg"))
-    if temporal:
-        ok = ok & geo.overlap(c("a_t0"), c("a_t1"), c("b_t0"), c("b_t1"))
-    far = SEGMENT_DISTANCES[distance](*(c(f"{s}_{k}") for s in "ab" for k in ("x0", "y0", "x1", "y1")))
-    return a.join(b, ["p", "cx", "cy"]).where(ok & (far <= eps + c("a_tolerance") + c("b_tolerance"))).select("p", c("a_seg").alias("a"), c("b_seg").alias("b"))
+
+    def run(table: pa.Table) -> pa.Table:
+        seg, found = table.column("id").to_numpy(), [np.zeros((2, 0), np.int64)]
+        for i, j in _held_against(table, lambda x, y: eps + x + y, SEGMENT_DISTANCES[distance], temporal, True):
+            found.append(np.stack((np.minimum(seg[i], seg[j]), np.maximum(seg[i], seg[j]))))
+        a, b = np.concatenate(found, axis=1)
+        return pa.table([_same_p(table, len(a)), pa.array(a), pa.array(b)], names=["p", "a", "b"])
+
+    return _cell_blocks(parts, "seg", eps, cell).applyInArrow(run, f"p {dict(parts.dtypes)['p']}, a long, b long")

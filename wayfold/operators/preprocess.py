@@ -21,10 +21,10 @@ def in_window(df: DataFrame, start, end) -> DataFrame:
     return df.where(F.col("time").between(F.lit(start), F.lit(end)))
 
 
-def day_window(df: DataFrame, day=None, start_hour: int = 13, hours: int = 5) -> DataFrame:
+def day_window(df: DataFrame, day=None, start_hour: int = 13, hours: int = 5, start_minute: int = 0) -> DataFrame:
     """Rows of a day's hours; the first day of the data if none is given.  Raises if there are none."""
     first = F.lit(day).cast("timestamp") if day else df.agg(F.date_trunc("day", F.min("time")).alias("d")).first()["d"]
-    begin = F.lit(first) + F.expr(f"INTERVAL {start_hour} HOURS")
+    begin = F.lit(first) + F.expr(f"INTERVAL {60 * start_hour + start_minute} MINUTES")
     out = df.where(F.col("time").between(begin, begin + F.expr(f"INTERVAL {hours} HOURS")))
     if out.isEmpty():
         raise ValueError("no points in the window")
@@ -50,6 +50,25 @@ def local_projection(df: DataFrame) -> DataFrame:
     return df.join(F.broadcast(mean)).select("id", "time", x.alias("x"), y.alias("y"))
 
 
+def object_order(df: DataFrame) -> DataFrame:
+    """``id, nth``: objects by their first point in time (then by id), numbered from 0.  A row per object, of which one task numbers them."""
+    first = df.groupBy("id").agg(F.min("time").alias("first_time"))
+    return first.select("id", (F.row_number().over(Window.orderBy("first_time", "id")) - 1).alias("nth"))
+
+
+def first_objects(df: DataFrame, n: int) -> DataFrame:
+    """The points of the first ``n`` objects, a report of that many."""
+    return df.join(object_order(df).where(F.col("nth") < n), "id", "left_semi")
+
+
+def nth_object(df: DataFrame, n: int) -> DataFrame:
+    """The points of object number ``n`` from 0; raises if there are not so many."""
+    own = object_order(df).where(F.col("nth") == n)
+    if n < 0 or own.isEmpty():
+        raise IndexError(f"no object number {n}")
+    return df.join(own, "id", "left_semi")
+
+
 def trajectory_stats(df: DataFrame) -> DataFrame:
     return df.groupBy("id").agg(F.count(F.lit(1)).alias("n_points"), F.countDistinct("time").alias("n_times"), F.min("time").alias("first_time"), F.max("time").alias("last_time"), F.avg("x").alias("mean_x"), F.avg("y").alias("mean_y"))
 

@@ -11,7 +11,7 @@ from .operators import preprocess, recurrence, simplify, windows
 from .operators.dbscan import clusters, core_points
 from .operators.joins import assign_windows, near_pairs, numbered_segments, segment_pairs, trajectory_pairs
 from .plans import convoys
-from .sources.points import FIXTURE_SQL, centroids, events_fixture, numbered, routes
+from .sources.points import CENTRE, FIXTURE_SQL, centroids, events_fixture, laid_routes, map_centre, numbered, routes
 
 #: Parameters of the fixture: objects, snapshots, distance, simplification, times of a window, grid cell.
 M, K, EPS, DELTA, SIZE, CELL = 3, 3, 60.0, 30.0, 4, 250.0
@@ -289,6 +289,39 @@ def convoy_centroids(s, d):
     return c.select(F.col("convoy_id").cast("long").alias("convoy_id"), F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"), "n_points")
 
 
+def cmc_convoys_haversine(s, d):
+    return _convoy_rows(convoys.cmc(_geo(s, d), M, K, EPS, geographic=True))
+
+
+def segment_distance_variants(s, d):
+    """Distances of segments by their ends, and without the test of crossing."""
+    names = tuple(map(F.col, _EIGHT))
+    return _segment_pairs(s, d).select("id", stamp(F.col("t0")).alias("t0"), F.round(geo.segment_ends(*names), 6).alias("d_ends"), F.round(geo.segment_clamped(*names), 6).alias("d_clamped"))
+
+
+def equirectangular_xy(s, d):
+    x, y = geo.equirectangular(F.col("x"), F.col("y"), F.lit(39.9))
+    return _geo(s, d).select("id", stamp(F.col("time")).alias("time"), F.round(x, 3).alias("x"), F.round(y, 3).alias("y"), F.round(geo.degrees_to_meters(F.col("x") - 116.4), 3).alias("rough_x"))
+
+
+def map_centre_point(s, d):
+    return map_centre(_geo(s, d)).select(F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"))
+
+
+def first_objects(s, d):
+    return preprocess.first_objects(_points(s, d), 20).select("id", stamp(F.col("time")).alias("time"), "x", "y")
+
+
+def nth_object(s, d):
+    return preprocess.nth_object(_points(s, d), 3).select("id", stamp(F.col("time")).alias("time"), "x", "y")
+
+
+def laid_convoy_routes(s, d):
+    """Routes of the convoys on a grid of half days, as the map of saved convoys draws them."""
+    r = laid_routes(_points(s, d), _identified(s, d), "12 hours")
+    return r.select(F.col("convoy_id").cast("long").alias("convoy_id"), "id", stamp(F.col("time")).alias("time"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -297,6 +330,7 @@ QUERIES = {
         segment_pair_edges_endpoint, eps_neighbor_pairs, eps_neighbor_pairs_haversine, dbscan_core_border, snapshot_clusters, traj_clusters, cmc_convoys,
         cuts_candidates, cuts_convoys, cuts_filter_log, cmc_vs_cuts_coverage, recurrent_clusters_rci, cluster_bbox_overlap, cluster_hausdorff, tau_sweep,
         parse_object_ids, convoy_summary_numbered, convoy_routes, convoy_centroids, fixed_windows, cuts_minutes_candidates, cuts_minutes_convoys,
+        cmc_convoys_haversine, segment_distance_variants, equirectangular_xy, map_centre_point, first_objects, nth_object, laid_convoy_routes,
     )
 } | {"dp_keep_points": _dp(False), "dp_line_variant": _dp(True), "traj_pair_edges": _traj_pairs(False), "traj_pair_edges_pruned": _traj_pairs(True), "segment_edges_ends": _segment_edges("ends", False), "segment_edges_exact": _segment_edges("exact", True)}
 
@@ -469,6 +503,7 @@ _MINUTES_REFINED = f"""{_MINUTES_FOUND}, mcands AS (SELECT *, row_number() OVER
  {_clusters('oedges', tail='_o')}, {_STEP_SETS.format('_o')},
  osteps AS (SELECT time.track AS track, row_number() OVER (PARTITION BY time.track ORDER BY time.t) AS n, time.t AS s, time.t AS e, {_cs('sets_o', 'q.time')} AS cs FROM (SELECT DISTINCT time FROM own) q),
  {_fold('osteps', K, tail='_o')}"""
+_ORDER = "nth_of AS (SELECT id, row_number() OVER (ORDER BY min(time), id) - 1 AS nth FROM traj GROUP BY id)"
 _SHOWN = f"objects, {_T('s')} AS start_time, {_T('e')} AS end_time, l AS lifetime_points"
 #: A point's stay ends before the first later one that is too far; the walk goes on behind a stay, or at the next point.
 _STAYS = f"""pts AS (SELECT id, time, x, y, row_number() OVER (PARTITION BY id ORDER BY time, x, y) - 1 AS i, count(*) OVER (PARTITION BY id) AS n FROM traj),
@@ -520,6 +555,21 @@ ORACLE_SQL = {
     "convoy_centroids": f"{_REC}{_CLUSTERS}, {_FOLD}, {_CONVOY_NO}, {_ROUTES} SELECT convoy_id, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, count(*) AS n_points FROM routes GROUP BY convoy_id",
     "recurrent_clusters_rci": f"{_REC}{_CLUSTERS}, {_NUMBERED}, {_SHARED} SELECT earlier, later, shared FROM shared WHERE shared >= 3",
     "tau_sweep": f"{_REC}{_taus()}",
+    "cmc_convoys_haversine": f"""{_REC}g AS ({GEO_SQL}), edges AS (SELECT a.time, a.id AS a, b.id AS b FROM g a JOIN g b ON a.time = b.time AND a.id < b.id
+          AND {_HAV.format(x0='a.x', y0='a.y', x1='b.x', y1='b.y')} <= {EPS}), {_clusters('edges')}, {_FOLD} SELECT {_SHOWN} FROM convoys""",
+    "segment_distance_variants": f"""WITH {_TRAJ}, {_PAIRS} SELECT id, {_T('t0')} AS t0,
+          round(least({_hyp('x0', 'y0', 'nx0', 'ny0')}, {_hyp('x0', 'y0', 'nx1', 'ny1')}, {_hyp('x1', 'y1', 'nx0', 'ny0')}, {_hyp('x1', 'y1', 'nx1', 'ny1')}), 6) AS d_ends,
+          round(least({_ps(*_A[:2], *_B)}, {_ps(*_A[2:], *_B)}, {_ps(*_B[:2], *_A)}, {_ps(*_B[2:], *_A)}), 6) AS d_clamped FROM pairs""",
+    "equirectangular_xy": f"""WITH {_TRAJ}, g AS ({GEO_SQL}) SELECT id, {_T('time')} AS time, round(6371000.0::DOUBLE * radians(x) * cos(radians(39.9::DOUBLE)), 3) AS x,
+          round(6371000.0::DOUBLE * radians(y), 3) AS y, round((x - 116.4::DOUBLE) * 111000.0, 3) AS rough_x FROM g""",
+    "map_centre_point": f"WITH {_TRAJ}, g AS ({GEO_SQL}) SELECT round(coalesce(avg(y), {CENTRE[0]}), 9) AS lat, round(coalesce(avg(x), {CENTRE[1]}), 9) AS lon FROM g",
+    "first_objects": f"WITH {_TRAJ}, {_ORDER} SELECT id, {_T('time')} AS time, x, y FROM traj WHERE id IN (SELECT id FROM nth_of WHERE nth < 20)",
+    "nth_object": f"WITH {_TRAJ}, {_ORDER} SELECT id, {_T('time')} AS time, x, y FROM traj WHERE id IN (SELECT id FROM nth_of WHERE nth = 3)",
+    "laid_convoy_routes": f"""{_REC}{_CLUSTERS}, {_FOLD}, {_CONVOY_NO}, spans_of AS (SELECT convoy_id, s, e, unnest(o) AS id FROM no),
+        reach_of AS (SELECT c.convoy_id, c.id, c.s, c.e, max(t.time) FILTER (t.time < c.s) AS b, min(t.time) FILTER (t.time > c.e) AS a FROM spans_of c JOIN traj t ON t.id = c.id GROUP BY ALL),
+        known AS (SELECT r.convoy_id, t.id, t.time, t.x, t.y FROM reach_of r JOIN traj t ON t.id = r.id AND (t.time BETWEEN r.s AND r.e OR t.time = r.b OR t.time = r.a)),
+        grid AS (SELECT convoy_id, id, unnest(generate_series(s, e, INTERVAL 12 HOURS)) AS time FROM spans_of), {_between('convoy_id, id')}
+        SELECT convoy_id, id, {_T('time')} AS time, round(x, 6) AS x, round(y, 6) AS y FROM laid""",
     "stay_points": f"{_REC}{_STAYS} SELECT id, {_T('time')} AS time, x, y FROM moving",
     "dp_keep_points": f"{_REC}{_SIMPLE} SELECT id, {_T('time')} AS time, x, y FROM kept",
     "dp_line_variant": f"{_REC}{_dp(True)} SELECT id, {_T('time')} AS time, x, y FROM kept",

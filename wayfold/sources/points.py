@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
+from html import escape
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -69,12 +71,12 @@ def write_convoys(convoys: DataFrame, path: str) -> None:
     convoys.withColumn("objects", joined(F.col("objects"))).write.mode("overwrite").csv(path, header=True, timestampFormat="yyyy-MM-dd HH:mm:ss")
 
 
-def numbered(convoys: DataFrame) -> DataFrame:
-    """Convoys in order of start, then falling size, with a number and their ids as text."""
+def numbered(convoys: DataFrame, point_minutes: int = 10) -> DataFrame:
+    """Convoys in order of start, then falling size, with a number, their ids as text, and their minutes at so many a point."""
     order = Window.orderBy("start_time", F.desc(F.size("objects")), joined(F.col("objects")), "end_time")
     return convoys.select(
         F.row_number().over(order).alias("convoy_id"), F.size("objects").alias("object_count"), joined(F.col("objects")).alias("objects"),
-        "start_time", "end_time", "lifetime_points", (F.col("lifetime_points") * 10).alias("lifetime_minutes"),
+        "start_time", "end_time", "lifetime_points", (F.col("lifetime_points") * point_minutes).alias("lifetime_minutes"),
     )
 
 
@@ -107,16 +109,59 @@ def geojson(route_rows: DataFrame, key: str = "convoy_id") -> DataFrame:
 
 
 def write_map(route_rows: DataFrame, path: str, title: str = "Convoys") -> None:
-    """A self-contained page with a layer per route: all routes, one after another, so the driver holds one partition's at a time."""
-    spans = route_rows.groupBy("convoy_id", "id").agg(*(f(c).alias(f"{f.__name__}_{c}") for c in "xy" for f in (F.min, F.max)), F.count(F.lit(1)).alias("n"))
-    x0, x1, y0, y1 = spans.where("n > 1").agg(F.min("min_x"), F.max("max_x"), F.min("min_y"), F.max("max_y")).first()
-    scale = lambda p: f"{(p[0] - x0) / ((x1 - x0) or 1) * 960 + 20:.1f},{(y1 - p[1]) / ((y1 - y0) or 1) * 560 + 20:.1f}"
+    """A self-contained page of all routes: a layer per group that can be switched, a dot at a route's start and a flag at its end."""
+    _page([("", route_rows, "")], path, title)
+
+
+def write_simplified_map(points: DataFrame, simplified: DataFrame, path: str, title: str = "Original and simplified") -> None:
+    """Original routes dashed, simplified ones (``kept`` rows) solid, a layer for each object and form."""
+    rows = lambda df: df.select(F.col("id").alias("convoy_id"), "id", "time", "x", "y")
+    _page([("original ", rows(points), 'stroke-dasharray="4 3" '), ("simplified ", rows(simplified.where("kept")), "")], path, title)
+
+
+def write_trajectory_map(points: DataFrame, path: str, title: str = "Trajectories") -> None:
+    """A layer for each object."""
+    write_map(points.select(F.col("id").alias("convoy_id"), "id", "time", "x", "y"), path, title)
+
+
+def laid_routes(points: DataFrame, convoys: DataFrame, step: str = "10 minutes") -> DataFrame:
+    """Routes of saved convoys (as :func:`read_convoys` gives them), interpolated on each one's own grid of times."""
+    from ..operators.windows import interpolate
+
+    spans = convoys.select(F.col("convoy_id").alias("track"), F.explode("objects").alias("id"), "start_time", "end_time")
+    return interpolate(points, spans, step, reach_out=True).withColumnRenamed("track", "convoy_id")
+
+
+def thin_routes(route_rows: DataFrame, convoys: DataFrame) -> DataFrame:
+    """``convoy_id, id, n_points`` of the objects that a map can't draw: those with fewer than two points."""
+    wanted = convoys.select("convoy_id", F.explode("objects").alias("id"))
+    counts = route_rows.groupBy("convoy_id", "id").agg(F.count(F.lit(1)).alias("n_points"))
+    return wanted.join(counts, ["convoy_id", "id"], "left").withColumn("n_points", F.coalesce("n_points", F.lit(0))).where("n_points < 2")
+
+
+def _page(layers: list[tuple[str, DataFrame, str]], path: str, title: str) -> None:
+    """Routes one after another, so the driver holds one partition's at a time; (name before the group, routes, SVG attributes)."""
+    every = reduce(DataFrame.unionByName, (rows.select("convoy_id", "id", "x", "y") for _, rows, _ in layers))
+    spans = every.groupBy("convoy_id", "id").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.count(F.lit(1)).alias("n"))
+    x0, x1, y0, y1 = spans.where("n > 1").agg(F.min("x0"), F.max("x1"), F.min("y0"), F.max("y1")).first()
+    place = lambda p: ((p[0] - x0) / ((x1 - x0) or 1) * 960 + 20, (y1 - p[1]) / ((y1 - y0) or 1) * 560 + 20)
+    script = (
+        "const names=[...new Set([...document.querySelectorAll('g[data-layer]')].map(g=>g.dataset.layer))];"
+        "for(const n of names){const l=document.createElement('label'),c=document.createElement('input');c.type='checkbox';c.checked=true;"
+        "c.onchange=()=>document.querySelectorAll('g[data-layer]').forEach(g=>{if(g.dataset.layer===n)g.style.display=c.checked?'':'none'});"
+        "l.append(c,n);document.body.append(l)}"
+    )
     with open(path, "w") as out:
-        out.write(f'<!doctype html><title>{title}</title><h1>{title}</h1><svg viewBox="0 0 1000 600">')
-        for r in geojson(route_rows).toLocalIterator():
-            f = json.loads(r["feature"])
-            out.write(f'<g><title>{f["properties"]["group"]}: {f["properties"]["id"]}</title><polyline fill="none" stroke="{f["properties"]["colour"]}" points="{" ".join(map(scale, f["geometry"]["coordinates"]))}"/></g>')
-        out.write("</svg>")
+        out.write(f'<!doctype html><title>{escape(title)}</title><h1>{escape(title)}</h1><svg viewBox="0 0 1000 600">')
+        for name, rows, style in layers:
+            for r in geojson(rows).toLocalIterator():
+                f = json.loads(r["feature"])
+                own, spots = f["properties"], [place(p) for p in f["geometry"]["coordinates"]]
+                line = " ".join(f"{x:.1f},{y:.1f}" for x, y in spots)
+                (ax, ay), (bx, by) = spots[0], spots[-1]
+                out.write(f'<g data-layer="{name}{own["group"]}" stroke="{own["colour"]}" fill="none"><title>{own["group"]}: {own["id"]}</title><polyline {style}points="{line}"/>')
+                out.write(f'<circle cx="{ax:.1f}" cy="{ay:.1f}" r="3" fill="{own["colour"]}"/><path d="M{bx:.1f} {by:.1f}v-9l7 3l-7 3"/></g>')
+        out.write(f"</svg><script>{script}</script>")
 
 
 def events_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
