@@ -25,7 +25,9 @@ def near_pairs(points: DataFrame, eps: float, key: str = "time", geographic: boo
     cells = points.withColumns({"cx": F.floor(F.col("x") / eps), "cy": F.floor(F.col("y") / eps)})
     half = [(0, 0), (1, 0), (-1, 1), (0, 1), (1, 1)]
     steps = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in half))
-    left = cells.select(key, F.col("id").alias("i"), F.col("x").alias("ax"), F.col("y").alias("ay"), "cx", "cy", F.explode(steps).alias("s")).select(key, "i", "ax", "ay", (F.col("cx") + F.col("s.dx")).alias("cx"), (F.col("cy") + F.col("s.dy")).alias("cy"), ((F.col("s.dx") == 0) & (F.col("s.dy") == 0)).alias("own"))
+    left = cells.select(key, F.col("id").alias("i"), F.col("x").alias("ax"), F.col("y").alias("ay"), "cx", "cy", F.explode(steps).alias("s"))
+    moved = ((F.col("cx") + F.col("s.dx")).alias("cx"), (F.col("cy") + F.col("s.dy")).alias("cy"))
+    left = left.select(key, "i", "ax", "ay", *moved, ((F.col("s.dx") == 0) & (F.col("s.dy") == 0)).alias("own"))
     joined = left.join(cells.select(key, F.col("id").alias("j"), F.col("x").alias("bx"), F.col("y").alias("by"), "cx", "cy"), [key, "cx", "cy"])
     met = F.when(F.col("own"), F.col("i") < F.col("j")).otherwise(F.col("i") != F.col("j"))
     return joined.where(met & (geo.distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")) <= eps)).select(key, F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))

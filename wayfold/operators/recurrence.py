@@ -59,5 +59,7 @@ def coverage(exact: DataFrame, candidates: DataFrame) -> DataFrame:
     c = candidates.select(F.col("objects").alias("c_objects"), F.col("start_time").alias("c_start"), F.col("end_time").alias("c_end"), F.explode("objects").alias("member"))
     # A covering candidate holds the convoy's first object: an equi-join instead of all pairs.
     e = exact.withColumn("member", F.element_at("objects", 1))
-    held = e.join(c, (e["member"] == c["member"]) & is_subset(F.col("objects"), F.col("c_objects")) & geo.overlap(F.col("start_time"), F.col("end_time"), F.col("c_start"), F.col("c_end")), "left_semi").select("objects", "start_time", "end_time").withColumn("covered", F.lit(True)).distinct()
+    wide = is_subset(F.col("objects"), F.col("c_objects")) & geo.overlap(F.col("start_time"), F.col("end_time"), F.col("c_start"), F.col("c_end"))
+    held = e.join(c, (e["member"] == c["member"]) & wide, "left_semi")
+    held = held.select("objects", "start_time", "end_time").withColumn("covered", F.lit(True)).distinct()
     return exact.join(held, ["objects", "start_time", "end_time"], "left").select("objects", "start_time", "end_time", "lifetime_points", F.coalesce("covered", F.lit(False)).alias("covered"))

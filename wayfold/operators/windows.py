@@ -46,7 +46,9 @@ def interpolate(points: DataFrame, spans: DataFrame, step: str = "10 minutes", r
     else:
         met = met.where(inside)
     known = met.groupBy("track", "id", "time").agg(F.min(F.struct("x", "y")).alias("q"))
-    both = known.select("track", "id", "time", F.col("q.x").alias("x"), F.col("q.y").alias("y"), F.lit(False).alias("g")).unionByName(grid.select("track", "id", "time", F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"), F.lit(True).alias("g")))
+    none = F.lit(None).cast("double")
+    both = known.select("track", "id", "time", F.col("q.x").alias("x"), F.col("q.y").alias("y"), F.lit(False).alias("g"))
+    both = both.unionByName(grid.select("track", "id", "time", none.alias("x"), none.alias("y"), F.lit(True).alias("g")))
     both = both.groupBy("track", "id", "time").agg(F.max("x").alias("x"), F.max("y").alias("y"), F.max("g").alias("g"))
     seen = F.when(F.col("x").isNotNull(), F.struct("time", "x", "y"))
     line = Window.partitionBy("track", "id").orderBy("time")

@@ -133,7 +133,9 @@ _EIGHT = ("x0", "y0", "x1", "y1", "nx0", "ny0", "nx1", "ny1")
 
 
 def point_segment_distance(s, d):
-    return _segment_pairs(s, d).select("id", stamp(F.col("t0")).alias("t0"), F.round(geo.point_segment(*map(F.col, ("nx0", "ny0", "x0", "y0", "x1", "y1"))), 6).alias("d"), F.round(geo.point_line(*map(F.col, ("nx0", "ny0", "x0", "y0", "x1", "y1"))), 6).alias("d_line"))
+    six = tuple(map(F.col, ("nx0", "ny0", "x0", "y0", "x1", "y1")))
+    far = F.round(geo.point_segment(*six), 6).alias("d"), F.round(geo.point_line(*six), 6).alias("d_line")
+    return _segment_pairs(s, d).select("id", stamp(F.col("t0")).alias("t0"), *far)
 
 
 def segments_intersect(s, d):
@@ -272,7 +274,8 @@ def parse_object_ids(s, d):
 
 def convoy_summary_numbered(s, d):
     n = numbered(convoys.cmc(_points(s, d), M, K, EPS))
-    return n.select(F.col("convoy_id").cast("long").alias("convoy_id"), F.col("object_count").cast("long").alias("object_count"), "objects", stamp(F.col("start_time")).alias("start_time"), stamp(F.col("end_time")).alias("end_time"), F.col("lifetime_points").cast("long").alias("lifetime_points"), F.col("lifetime_minutes").cast("long").alias("lifetime_minutes"))
+    longs = (F.col(c).cast("long").alias(c) for c in ("convoy_id", "object_count", "lifetime_points", "lifetime_minutes"))
+    return n.select(*longs, "objects", stamp(F.col("start_time")).alias("start_time"), stamp(F.col("end_time")).alias("end_time"))
 
 
 def _identified(s, d):
@@ -386,7 +389,9 @@ _FOLD = f"""{_STEP_SETS.format('')},
  steps AS (SELECT 0 AS track, row_number() OVER (ORDER BY t.time) AS n, t.time AS s, t.time AS e, {_cs('sets', 't.time')} AS cs FROM (SELECT DISTINCT time FROM traj) t),
  {_fold('steps', K)}"""
 _SEGS = "segs AS (SELECT * FROM (SELECT id, time AS t0, lead(time) OVER w AS t1, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM traj WINDOW w AS (PARTITION BY id ORDER BY time)) WHERE t1 IS NOT NULL)"
-_PAIRS = f"{_SEGS}, pairs AS (SELECT * FROM (SELECT id, t0, x0, y0, x1, y1, lead(x0, 2) OVER w AS nx0, lead(y0, 2) OVER w AS ny0, lead(x1, 2) OVER w AS nx1, lead(y1, 2) OVER w AS ny1 FROM segs WINDOW w AS (PARTITION BY id ORDER BY t0)) WHERE nx0 IS NOT NULL)"
+_PAIRS = f"""{_SEGS}, pairs AS (SELECT * FROM (
+   SELECT id, t0, x0, y0, x1, y1, lead(x0, 2) OVER w AS nx0, lead(y0, 2) OVER w AS ny0, lead(x1, 2) OVER w AS nx1, lead(y1, 2) OVER w AS ny1
+   FROM segs WINDOW w AS (PARTITION BY id ORDER BY t0)) WHERE nx0 IS NOT NULL)"""
 _WINDOWS = f"""nth AS (SELECT time, row_number() OVER (ORDER BY time) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT time FROM traj)),
  wins AS (SELECT a.i // {SIZE - 1} AS p, a.time AS p_start, b.time AS p_end FROM nth a JOIN nth b ON b.i = least(a.i + {SIZE - 1}, a.n - 1) WHERE a.i % {SIZE - 1} = 0 AND a.i < a.n - 1)"""
 
@@ -423,7 +428,9 @@ def _ss(a, b):
 
 _A, _B = ("x0", "y0", "x1", "y1"), ("nx0", "ny0", "nx1", "ny1")
 _NUMBERED = "numbered AS (SELECT DISTINCT time, label, id, dense_rank() OVER (ORDER BY time, label) AS seq FROM members)"
-_BOXES = "spots AS (SELECT n.seq, n.id, t.x, t.y FROM numbered n JOIN traj t ON n.time = t.time AND n.id = t.id), boxes AS (SELECT seq, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM spots GROUP BY seq), meets AS (SELECT a.seq AS earlier, b.seq AS later FROM boxes a JOIN boxes b ON a.seq < b.seq AND a.lx <= b.hx AND b.lx <= a.hx AND a.ly <= b.hy AND b.ly <= a.hy)"
+_BOXES = """spots AS (SELECT n.seq, n.id, t.x, t.y FROM numbered n JOIN traj t ON n.time = t.time AND n.id = t.id),
+ boxes AS (SELECT seq, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM spots GROUP BY seq),
+ meets AS (SELECT a.seq AS earlier, b.seq AS later FROM boxes a JOIN boxes b ON a.seq < b.seq AND a.lx <= b.hx AND b.lx <= a.hx AND a.ly <= b.hy AND b.ly <= a.hy)"""
 _SHARED = "shared AS (SELECT a.seq AS earlier, b.seq AS later, count(*) AS shared FROM numbered a JOIN numbered b ON a.id = b.id AND a.seq < b.seq GROUP BY ALL)"
 _CONVOY_NO = f"no AS (SELECT row_number() OVER (ORDER BY s, len(o) DESC, objects, e) AS convoy_id, * FROM convoys)"
 _ROUTES = "routes AS (SELECT c.convoy_id, t.id, t.time, t.x, t.y FROM (SELECT convoy_id, s, e, unnest(o) AS id FROM no) c JOIN traj t ON t.id = c.id AND t.time BETWEEN c.s AND c.e)"
@@ -534,13 +541,18 @@ ORACLE_SQL = {
     "haversine_consecutive": f"WITH {_TRAJ.replace('traj AS', 'traj0 AS')}, traj AS ({GEO_SQL.replace('FROM traj', 'FROM traj0')}), {_SEGS} SELECT id, {_T('t0')} AS t0, round({_HAV.format(x0='x0', y0='y0', x1='x1', y1='y1')}, 3) AS meters FROM segs",
     "time_grid_interpolate": f"WITH {_TRAJ}, " + _interp("SELECT id, time, x, y FROM traj", "SELECT id, unnest(generate_series(min(time), max(time), INTERVAL 12 HOURS)) AS time FROM traj GROUP BY id"),
     "interpolate_asof_window": f"WITH {_TRAJ}, s AS (SELECT id, max(time) FILTER (time < TIMESTAMP '2024-01-10') AS b, min(time) FILTER (time > TIMESTAMP '2024-01-14') AS a FROM traj GROUP BY id), "
-    + _interp("SELECT t.id, t.time, t.x, t.y FROM traj t JOIN s ON t.id = s.id WHERE t.time BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-14' OR t.time = s.b OR t.time = s.a", "SELECT DISTINCT id, unnest(generate_series(TIMESTAMP '2024-01-10', TIMESTAMP '2024-01-14', INTERVAL 1 DAY)) AS time FROM traj"),
+    + _interp(
+        "SELECT t.id, t.time, t.x, t.y FROM traj t JOIN s ON t.id = s.id WHERE t.time BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-14' OR t.time = s.b OR t.time = s.a",
+        "SELECT DISTINCT id, unnest(generate_series(TIMESTAMP '2024-01-10', TIMESTAMP '2024-01-14', INTERVAL 1 DAY)) AS time FROM traj",
+    ),
     "lambda_windows": f"WITH {_TRAJ}, {_WINDOWS} SELECT CAST(p AS BIGINT) AS p, {_T('p_start')} AS p_start, {_T('p_end')} AS p_end FROM wins",
     "segment_partition_join": f"WITH {_TRAJ}, {_SEGS}, {_WINDOWS} SELECT id, {_T('t0')} AS t0, CAST(p AS BIGINT) AS p FROM segs JOIN wins ON t1 >= p_start AND t0 <= p_end",
-    "point_segment_distance": f"WITH {_TRAJ}, {_PAIRS} SELECT id, {_T('t0')} AS t0, round({_ps('nx0', 'ny0', *_A)}, 6) AS d, round(CASE WHEN {_hyp(*_A)} = 0 THEN {_hyp('nx0', 'ny0', 'x0', 'y0')} ELSE abs((x1 - x0) * (y0 - ny0) - (x0 - nx0) * (y1 - y0)) / {_hyp(*_A)} END, 6) AS d_line FROM pairs",
+    "point_segment_distance": f"""WITH {_TRAJ}, {_PAIRS} SELECT id, {_T('t0')} AS t0, round({_ps('nx0', 'ny0', *_A)}, 6) AS d,
+          round(CASE WHEN {_hyp(*_A)} = 0 THEN {_hyp('nx0', 'ny0', 'x0', 'y0')} ELSE abs((x1 - x0) * (y0 - ny0) - (x0 - nx0) * (y1 - y0)) / {_hyp(*_A)} END, 6) AS d_line FROM pairs""",
     "segments_intersect": f"WITH {_TRAJ}, {_PAIRS} SELECT id, {_T('t0')} AS t0, ({_meets(_A, _B)}) AS meets FROM pairs",
     "segment_distance": f"WITH {_TRAJ}, {_PAIRS} SELECT id, {_T('t0')} AS t0, round({_ss(_A, _B)}, 6) AS d FROM pairs",
-    "segment_pair_edges_endpoint": f"WITH {_TRAJ}, {_SEGS} SELECT DISTINCT {_T('a.t0')} AS t0, a.id AS a, b.id AS b FROM segs a JOIN segs b ON a.t0 = b.t0 AND a.id < b.id WHERE {_ss(tuple('a.' + c for c in _A), tuple('b.' + c for c in _A))} <= {EPS}",
+    "segment_pair_edges_endpoint": f"""WITH {_TRAJ}, {_SEGS} SELECT DISTINCT {_T('a.t0')} AS t0, a.id AS a, b.id AS b
+        FROM segs a JOIN segs b ON a.t0 = b.t0 AND a.id < b.id WHERE {_ss(_ENDS_A, _ENDS_B)} <= {EPS}""",
     "fixed_windows": f"WITH {_TRAJ}, {_FIXED} SELECT p, {_T('p_start')} AS p_start, {_T('p_end')} AS p_end FROM fixed",
     "segment_edges_ends": f"""WITH {_TRAJ}, {_PARTS} SELECT a.p, a.seg AS a, b.seg AS b FROM parts a JOIN parts b ON a.p = b.p AND a.seg < b.seg
         WHERE least({_hyp('a.x0', 'a.y0', 'b.x0', 'b.y0')}, {_hyp('a.x0', 'a.y0', 'b.x1', 'b.y1')}, {_hyp('a.x1', 'a.y1', 'b.x0', 'b.y0')}, {_hyp('a.x1', 'a.y1', 'b.x1', 'b.y1')}) <= {EPS}""",
