@@ -410,6 +410,20 @@ def test_maps_of_simplified_routes_and_trajectories(spark, tmp_path):
         preprocess.nth_object(pts, 2)
 
 
+@pytest.mark.parametrize("zone", ["Etc/UTC", "America/New_York"])
+def test_results_dont_depend_on_the_session_zone(spark, zone):
+    names = ("cmc_convoys", "segment_pair_edges_endpoint", "traj_pair_edges", "cuts_convoys", "cuts_filter_log")
+    own, counts = spark.conf.get("spark.sql.session.timeZone"), {n: Q.QUERIES[n](spark, SF).count() for n in names}
+    try:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        if zone == "Etc/UTC":
+            assert {n: Q.QUERIES[n](spark, SF).count() for n in names} == counts
+        else:  # days begin at other hours, so other points are a day's first
+            assert all(Q.QUERIES[n](spark, SF).count() >= 0 for n in names)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", own)
+
+
 def test_empty_points(spark):
     none = spark.createDataFrame([], sources.POINT)
     assert convoys.cmc(none, 3, 3, 60.0).count() == 0

@@ -14,6 +14,12 @@ def core_points(pairs: DataFrame, m: int, key: str = "time") -> DataFrame:
     return ends.groupBy(key, "id").agg((F.count(F.lit(1)) + 1).alias("neighbours")).withColumn("core", F.col("neighbours") >= m)
 
 
+def repeated(table: pa.Table, key: str, n: int) -> pa.Array:
+    """The key of a group, n times; Spark hands times over in the session's zone and wants them back in UTC."""
+    column = table.column(key).combine_chunks().take(pa.array(np.zeros(n, np.int64)))
+    return column.cast(pa.timestamp("us", "UTC")) if pa.types.is_timestamp(column.type) and column.type.tz else column
+
+
 def smallest_reachable(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For each of n nodes the smallest one that the edges a-b lead to: rounds of hooking to the smaller label and of shortcuts."""
     label = np.arange(n)
@@ -57,8 +63,7 @@ def clusters(pairs: DataFrame, m: int, key: str = "time", drop_small: bool = Fal
         if drop_small and len(ids):
             _, back, count = np.unique(label, return_inverse=True, return_counts=True)
             ids, label = ids[count[back] >= m], label[count[back] >= m]
-        same = table.column(key).combine_chunks().take(pa.array(np.zeros(len(ids), np.int64)))
-        return pa.table([same, pa.array(label, pa.int64()), pa.array(ids, pa.int64())], names=[key, "label", "id"])
+        return pa.table([repeated(table, key, len(ids)), pa.array(label, pa.int64()), pa.array(ids, pa.int64())], names=[key, "label", "id"])
 
     out = pairs.select(key, F.col("a").cast("long"), F.col("b").cast("long")).groupBy(key).applyInArrow(run, f"{key} {dict(pairs.dtypes)[key]}, label long, id long")
     if m > 1 or points is None:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from .dbscan import repeated
 
 
 def near_pairs(points: DataFrame, eps: float, key: str = "time", geographic: bool = False) -> DataFrame:
@@ -169,10 +170,6 @@ def _held_against(table: pa.Table, limit, distance, temporal: bool, boxes: bool,
             yield i, j[near]
 
 
-def _same_p(table: pa.Table, n: int) -> pa.Array:
-    return table.column("p").combine_chunks().take(pa.array(np.zeros(n, np.int64)))
-
-
 def trajectory_pairs(parts: DataFrame, eps: float, cell: float, lemma: bool = True) -> DataFrame:
     """``p, a, b``: objects with segments at the same time whose lower bound is at most eps.
 
@@ -187,7 +184,7 @@ def trajectory_pairs(parts: DataFrame, eps: float, cell: float, lemma: bool = Tr
         for i, j in _held_against(table, lambda x, y: eps + x + y, segment_gap, True, lemma, done):
             met[np.minimum(code[i], code[j]), np.maximum(code[i], code[j])] = True
         a, b = np.nonzero(met)
-        return pa.table([_same_p(table, len(a)), pa.array(ids[a]), pa.array(ids[b])], names=["p", "a", "b"])
+        return pa.table([repeated(table, "p", len(a)), pa.array(ids[a]), pa.array(ids[b])], names=["p", "a", "b"])
 
     return _cell_blocks(parts, "id", eps, cell).applyInArrow(run, f"p {dict(parts.dtypes)['p']}, a long, b long").distinct()
 
@@ -208,6 +205,6 @@ def segment_pairs(parts: DataFrame, eps: float, cell: float, distance: str = "en
         for i, j in _held_against(table, lambda x, y: eps + x + y, SEGMENT_DISTANCES[distance], temporal, True):
             found.append(np.stack((np.minimum(seg[i], seg[j]), np.maximum(seg[i], seg[j]))))
         a, b = np.concatenate(found, axis=1)
-        return pa.table([_same_p(table, len(a)), pa.array(a), pa.array(b)], names=["p", "a", "b"])
+        return pa.table([repeated(table, "p", len(a)), pa.array(a), pa.array(b)], names=["p", "a", "b"])
 
     return _cell_blocks(parts, "seg", eps, cell).applyInArrow(run, f"p {dict(parts.dtypes)['p']}, a long, b long")
