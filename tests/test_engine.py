@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 from datetime import datetime, timedelta
 
 import duckdb
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from wayfold import queries as Q
 from wayfold.functions import geo
 from wayfold.functions.values import object_ids, round_time
-from wayfold.operators import preprocess, recurrence, simplify, windows
+from wayfold.operators import preprocess, recurrence, simplify, tracker, windows
 from wayfold.operators.dbscan import clusters
 from wayfold.operators.joins import assign_windows, near_pairs, trajectory_pairs
 from wayfold.operators.tracker import fold
@@ -69,6 +70,40 @@ def test_tracker_cases():
     assert fold(grown, 3, 2, False, False) == [(s(1, 2, 3), 1, 3, 3)]
 
 
+@pytest.mark.parametrize("dedupe,block", [(False, 2), (True, 2), (True, 64)])
+def test_tracking_by_component_equals_one_fold(spark, monkeypatch, dedupe, block):
+    """Two tracks of 30 steps with sets that overlap or are equal, and steps without any: as one fold of each track."""
+    monkeypatch.setattr(tracker, "STEPS", block)
+    rng, rows, want, active = random.Random(block), [], Counter(), Counter()
+    for key in (0, 1):
+        steps = []
+        for i in range(30):
+            places = [] if i % 11 == 7 else [rng.randrange(12) for _ in range(rng.randrange(5))]
+            sets = [frozenset(8 * p + o for o in rng.sample(range(11), 7)) for p in places]
+            sets += sets[:1] if i % 5 == 0 else []
+            steps.append((at(10 * i), at(10 * i + 5), 2, sets))
+            rows += [(key, at(10 * i), at(10 * i + 5), 2, sorted(s)) for s in sets] or [(key, at(10 * i), at(10 * i + 5), 2, None)]
+        counts = []
+        want.update((key, tuple(sorted(o)), s, e, n) for o, s, e, n in fold(steps, 4, 4, dedupe, True, counts))
+        active.update({s: n for s, n in counts if n})
+    df = spark.createDataFrame(rows, "track int, start timestamp, end timestamp, points int, objects array<long>")
+    got = tracker.track(df, 4, 4, dedupe=dedupe, new_needs_m=True).collect()
+    assert want and Counter((r["track"], tuple(r["objects"]), r["start_time"], r["end_time"], r["lifetime_points"]) for r in got) == want
+    counted = tracker.active_counts(df, 4, 4, dedupe=dedupe, new_needs_m=True).collect()
+    assert {r["start"]: r["active_candidates"] for r in counted if r["active_candidates"]} == dict(active)
+
+
+def test_roots_over_many_blocks(spark, monkeypatch):
+    """A chain over 40 steps in blocks of 2 is one component, whatever the round that its links are joined in."""
+    monkeypatch.setattr(tracker, "STEPS", 2)
+    links = spark.createDataFrame([(0, i, 100 + i, 101 + i) for i in range(40)] + [(0, 3, 7, 9), (1, 3, 103, 9)], "track int, step long, a long, b long")
+    nodes = spark.createDataFrame([(0, 100 + i) for i in range(41)] + [(0, 7), (0, 9), (1, 9), (1, 103)], "track int, node long").withColumn("root", F.col("node"))
+    for table in tracker.roots(links, "track"):
+        nodes = tracker._led(nodes, "root", table, "track")
+    got = {(r["track"], r["node"]): r["root"] for r in nodes.collect()}
+    assert got == {(0, 100 + i): 100 for i in range(41)} | {(0, 7): 7, (0, 9): 7, (1, 9): 9, (1, 103): 9}
+
+
 def test_gap_in_time_doesnt_break_a_convoy(spark):
     rows = [(i, at(t), float(i), 0.0) for t in (0, 10, 30) for i in (1, 2, 3)]
     found = convoys.cmc(spark.createDataFrame(rows, "id long, time timestamp, x double, y double"), 3, 3, 2.0).collect()

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .groups import grouped
+
 
 def core_points(pairs: DataFrame, m: int, key: str = "time") -> DataFrame:
     """``key, id, neighbours, core`` of the points that have a neighbour; neighbours count the point itself."""
@@ -65,7 +67,7 @@ def clusters(pairs: DataFrame, m: int, key: str = "time", drop_small: bool = Fal
             ids, label = ids[count[back] >= m], label[count[back] >= m]
         return pa.table([repeated(table, key, len(ids)), pa.array(label, pa.int64()), pa.array(ids, pa.int64())], names=[key, "label", "id"])
 
-    out = pairs.select(key, F.col("a").cast("long"), F.col("b").cast("long")).groupBy(key).applyInArrow(run, f"{key} {dict(pairs.dtypes)[key]}, label long, id long")
+    out = grouped(pairs.select(key, F.col("a").cast("long"), F.col("b").cast("long")), key).applyInArrow(run, f"{key} {dict(pairs.dtypes)[key]}, label long, id long")
     if m > 1 or points is None:
         return out
     alone = points.select(key, F.col("id").cast("long").alias("id")).distinct().join(out, [key, "id"], "left_anti")

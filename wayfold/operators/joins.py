@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from .dbscan import repeated
+from .groups import grouped
 
 
 def near_pairs(points: DataFrame, eps: float, key: str = "time", geographic: bool = False) -> DataFrame:
@@ -134,7 +135,7 @@ def _cell_blocks(parts: DataFrame, own: str, eps: float, cell: float):
     rows = rows.join(counts, ["p", "cx", "cy"]).withColumn("own", F.pmod(F.xxhash64("id", "t0"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).withColumn("side", (F.col("own") > F.col("other")).cast("int"))
-    return rows.drop("blocks", "own", "other").groupBy("p", "cx", "cy", "lo", "hi")
+    return grouped(rows.drop("blocks", "own", "other"), "p", "cx", "cy", "lo", "hi")
 
 
 def _held_against(table: pa.Table, limit, distance, temporal: bool, boxes: bool, skip=None):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_M, to_planar
 from ..functions.values import round_time
+from .groups import grouped
 
 
 def valid_points(df: DataFrame, least_x: float = 100.0, least_y: float = 30.0) -> DataFrame:
@@ -105,4 +106,4 @@ def remove_stay_points(df: DataFrame, within: float = 50.0, minutes: float = 15.
                 i += 1
         return pdf[[not s for s in stay]]
 
-    return df.select("id", "time", "x", "y").groupBy("id").applyInPandas(run, df.select("id", "time", "x", "y").schema)
+    return grouped(df.select("id", "time", "x", "y"), "id").applyInPandas(run, df.select("id", "time", "x", "y").schema)

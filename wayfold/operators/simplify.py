@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .groups import grouped
+
 
 def _gaps(x, y, i, j, line: bool) -> np.ndarray:
     """Distances of the points between i and j to the segment, or to the line, from i to j."""
@@ -55,7 +57,7 @@ def simplify(df: DataFrame, delta: float, line: bool = False) -> DataFrame:
         return pdf.assign(kept=keep, tolerance=tolerance)
 
     whole = df.select("id", "time", "x", "y").where("time is not null and x is not null and y is not null")
-    return whole.groupBy("id").applyInPandas(run, "id long, time timestamp, x double, y double, kept boolean, tolerance double")
+    return grouped(whole, "id").applyInPandas(run, "id long, time timestamp, x double, y double, kept boolean, tolerance double")
 
 
 def segments(points: DataFrame) -> DataFrame:

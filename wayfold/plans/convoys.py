@@ -11,6 +11,7 @@ from ..operators.joins import assign_windows, near_pairs, numbered_segments, seg
 from ..operators.simplify import segments, simplify
 from ..operators.tracker import active_counts, track
 from ..operators.windows import fixed_windows, interpolate, lambda_windows
+from ..store import once
 
 
 def snapshot_members(points: DataFrame, eps: float, m: int, geographic: bool = False) -> DataFrame:
@@ -25,12 +26,11 @@ def cmc(points: DataFrame, m: int, k: int, eps: float, geographic: bool = False)
     return track(rows, m, k, dedupe=False).drop("track")
 
 
-def partition_clusters(points: DataFrame, m: int, eps: float, delta: float, size: int, cell: float, lemma: bool = True) -> tuple[DataFrame, DataFrame]:
-    """The windows, and ``p, label, id`` of their trajectory clusters."""
-    segs = segments(simplify(points, delta))
+def partition_clusters(points: DataFrame, m: int, eps: float, delta: float, size: int, cell: float, lemma: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The windows, ``p, label, id`` of their trajectory clusters, and the segments in them, simplified once."""
     windows = lambda_windows(points, size)
-    pairs = trajectory_pairs(assign_windows(segs, windows), eps, cell, lemma)
-    return windows, clusters(pairs, m, "p", drop_small=True)
+    parts = assign_windows(once(segments(simplify(points, delta))), windows)
+    return windows, clusters(trajectory_pairs(parts, eps, cell, lemma), m, "p", drop_small=True), parts
 
 
 def _filter_steps(windows: DataFrame, members: DataFrame, size: int) -> DataFrame:
@@ -40,7 +40,7 @@ def _filter_steps(windows: DataFrame, members: DataFrame, size: int) -> DataFram
 
 def cuts_filter(points: DataFrame, m: int, k: int, eps: float, delta: float, size: int, cell: float) -> DataFrame:
     """Candidates: ``candidate, objects, start_time, end_time, lifetime_points``; of equal ones by rounded times the longest."""
-    windows, members = partition_clusters(points, m, eps, delta, size, cell)
+    windows, members, _ = partition_clusters(points, m, eps, delta, size, cell)
     found = track(_filter_steps(windows, members, size), m, k, new_needs_m=True).drop("track")
     same = Window.partitionBy("objects", round_time(F.col("start_time"), 10), round_time(F.col("end_time"), 10)).orderBy(F.desc("lifetime_points"), "start_time", "end_time")
     best = found.withColumn("rn", F.row_number().over(same)).where("rn = 1").drop("rn")
@@ -49,9 +49,9 @@ def cuts_filter(points: DataFrame, m: int, k: int, eps: float, delta: float, siz
 
 def filter_log(points: DataFrame, m: int, k: int, eps: float, delta: float, size: int, cell: float) -> DataFrame:
     """Per window: its bounds, the objects with segments in it, its clusters, and the candidates followed after it."""
-    segs = segments(simplify(points, delta))
-    windows, members = partition_clusters(points, m, eps, delta, size, cell)
-    objects = assign_windows(segs, windows).groupBy("p").agg(F.countDistinct("id").alias("objects_in_partition"))
+    windows, members, parts = partition_clusters(points, m, eps, delta, size, cell)
+    members = once(members)
+    objects = parts.groupBy("p").agg(F.countDistinct("id").alias("objects_in_partition"))
     found = members.groupBy("p").agg(F.countDistinct("label").alias("filter_clusters"))
     active = active_counts(_filter_steps(windows, members, size), m, k, new_needs_m=True).withColumnRenamed("start", "p_start")
     rows = windows.join(objects, "p", "left").join(found, "p", "left").join(active, "p_start", "left")
@@ -62,7 +62,7 @@ def filter_log(points: DataFrame, m: int, k: int, eps: float, delta: float, size
 def refine(points: DataFrame, candidates: DataFrame, m: int, k: int, eps: float, step: str = "10 minutes") -> DataFrame:
     """Exact convoys among each candidate's own objects, all candidates at once."""
     spans = candidates.select(F.col("candidate").alias("track"), F.explode("objects").alias("id"), "start_time", "end_time")
-    grid = interpolate(points, spans, step)
+    grid = once(interpolate(points, spans, step))
     keyed = grid.withColumn("key", F.struct("track", "time"))
     pairs = near_pairs(keyed.select("key", "id", "x", "y"), eps, "key").select(F.col("key.track").alias("track"), F.col("key.time").alias("time"), "a", "b").withColumn("snap", F.concat_ws("|", "track", F.unix_micros("time").cast("string")))
     members = clusters(pairs, m, "snap", drop_small=True)
@@ -74,7 +74,7 @@ def refine(points: DataFrame, candidates: DataFrame, m: int, k: int, eps: float,
 
 
 def cuts(points: DataFrame, m: int, k: int, eps: float, delta: float, size: int, cell: float, step: str = "10 minutes") -> DataFrame:
-    return refine(points, cuts_filter(points, m, k, eps, delta, size, cell), m, k, eps, step)
+    return refine(points, once(cuts_filter(points, m, k, eps, delta, size, cell)), m, k, eps, step)
 
 
 def segment_clusters(points: DataFrame, m: int, eps: float, delta: float, minutes: int, cell: float, distance: str = "ends", temporal: bool = False, drop_small: bool = False, closed: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -83,7 +83,7 @@ def segment_clusters(points: DataFrame, m: int, eps: float, delta: float, minute
     A segment's neighbours may be of its own object; ``drop_small`` leaves out clusters of fewer than m objects.
     """
     windows = fixed_windows(points, minutes, closed)
-    parts = numbered_segments(assign_windows(segments(simplify(points, delta)), windows))
+    parts = once(numbered_segments(assign_windows(segments(simplify(points, delta)), windows)))
     members = clusters(segment_pairs(parts, eps, cell, distance, temporal), m, "p")
     owners = members.join(parts.select("p", F.col("seg").alias("id"), F.col("id").alias("object")), ["p", "id"])
     sets = owners.groupBy("p", "label").agg(F.array_sort(F.collect_set("object")).alias("objects")).select("p", "objects")
@@ -121,5 +121,5 @@ def refine_by_cmc(points: DataFrame, candidates: DataFrame, m: int, k: int, eps:
 
 def cuts_minutes(points: DataFrame, m: int, k_filter: int, k: int, eps: float, delta: float, minutes: int, cell: float, buffer_minutes: int = 0, dedupe: bool = False, **options) -> tuple[DataFrame, DataFrame]:
     """Convoys by the filter on windows of minutes with exact refinement, and the filter's candidates."""
-    found = minutes_filter(points, m, k_filter, eps, delta, minutes, cell, **options)
+    found = once(minutes_filter(points, m, k_filter, eps, delta, minutes, cell, **options))
     return refine_by_cmc(points, found, m, k, eps, buffer_minutes=buffer_minutes, dedupe=dedupe), found
