@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from .functions import geo
 from .functions.values import joined, object_ids, stamp
 from .operators import preprocess, recurrence, simplify, windows
-from .operators.dbscan import clusters, core_points
+from .operators.dbscan import core_points
+from .operators.dense import point_clusters
 from .operators.joins import assign_windows, near_pairs, numbered_segments, segment_pairs, trajectory_pairs
 from .plans import convoys
 from .sources.points import CENTRE, FIXTURE_SQL, centroids, events_fixture, laid_routes, map_centre, numbered, routes
@@ -258,10 +259,10 @@ def cluster_hausdorff(s, d):
 
 def tau_sweep(s, d):
     """Clusters of at least tau objects, found anew for each tau, that share at least tau objects."""
-    pairs = near_pairs(_points(s, d), EPS)
+    points = _points(s, d)
     out = None
     for tau in TAUS:
-        shared = recurrence.shared_members(recurrence.numbered_members(clusters(pairs, tau)), tau)
+        shared = recurrence.shared_members(recurrence.numbered_members(point_clusters(points, EPS, tau, alone=False)), tau)
         one = shared.agg(F.count(F.lit(1)).alias("n_pairs")).select(F.lit(tau).cast("long").alias("tau"), "n_pairs")
         out = one if out is None else out.unionByName(one)
     return out
