@@ -301,6 +301,29 @@ def test_coverage(spark):
     assert {tuple(r["objects"]): r["covered"] for r in recurrence.coverage(exact, cand).collect()} == {(1, 2, 3): True, (4, 5, 6): False}
 
 
+def test_hausdorff_equals_all_distances_and_takes_large_clusters(spark):
+    rnd = random.Random(5)
+    # Cluster, object, place: object 0 of each cluster has two places.
+    rows = [(c, i, 30.0 * c + rnd.gauss(0, 20), rnd.choice([rnd.random() * 40, 7.0])) for c, n in enumerate((1, 5, 70, 300, 500)) for i in [0, *range(n)]]
+    members = spark.createDataFrame([(c, at(c), i) for c, i in sorted({(c, i) for c, i, *_ in rows})], "seq long, time timestamp, id long")
+    points = spark.createDataFrame([(i, at(c), x, y) for c, i, x, y in rows], sources.POINT)
+    pairs = spark.createDataFrame([(a, b) for a in range(5) for b in range(a + 1, 5)], "earlier long, later long")
+    got = {(r["earlier"], r["later"]): r["hausdorff"] for r in recurrence.hausdorff(pairs, members, points).collect()}
+
+    def farthest(a, b):
+        least = {}
+        for c, i, x, y in rows:
+            if c == a:
+                least[i] = min(least.get(i, math.inf), min(math.hypot(x - u, y - v) for d, _, u, v in rows if d == b))
+        return max(least.values())
+
+    assert got.keys() == {(a, b) for a in range(5) for b in range(a + 1, 5)}
+    assert all(v == pytest.approx(max(farthest(*k), farthest(*k[::-1])), abs=1e-9) for k, v in got.items())
+    crowd = spark.range(2 * 20_000).select((F.col("id") % 2).alias("seq"), (F.col("id") % 2).cast("timestamp").alias("time"), "id")
+    places = crowd.select("id", "time", (F.rand(1) * 100).alias("x"), (F.rand(2) * 100).alias("y"))
+    assert 0 < recurrence.hausdorff(spark.createDataFrame([(0, 1)], "earlier long, later long"), crowd, places).first()["hausdorff"] < 10  # 400 million distances
+
+
 def test_csv_round_trip_and_missing_input(spark, tmp_path):
     rows = [(1, at(0), 116.5, 39.9), (2, at(10), 116.6, 39.8)]
     df = spark.createDataFrame(rows, sources.POINT)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,14 +48,95 @@ def box_overlaps(boxes: DataFrame, cell: float = 100.0) -> DataFrame:
     return a.join(b, ["cx", "cy"]).where(meet & first).select(F.col("a_seq").alias("earlier"), F.col("b_seq").alias("later"))
 
 
+#: Points of a leaf.
+LEAF = 64
+
+
+def _leaves(at: np.ndarray) -> list[np.ndarray]:
+    """Places cut in halves along the longer side of their box, down to leaves."""
+    todo, out = [at], []
+    while todo:
+        part = todo.pop()
+        if len(part) <= LEAF:
+            out.append(part)
+            continue
+        k = int(np.argmax(part.max(axis=0) - part.min(axis=0)))
+        part = part[np.argpartition(part[:, k], len(part) // 2)]
+        todo += [part[: len(part) // 2], part[len(part) // 2 :]]
+    return out
+
+
+def _nearest(a: np.ndarray, leaves: list[np.ndarray], low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """For each of the near-by places ``a`` the distance to the nearest place of the leaves, of which only those are tried that may hold it."""
+    lo, hi = a.min(axis=0), a.max(axis=0)
+    least = np.sqrt((np.maximum(np.maximum(low - hi, lo - high), 0) ** 2).sum(axis=1))
+    most = np.sqrt((np.maximum(hi - low, high - lo) ** 2).sum(axis=1)).min()
+    b = np.concatenate([leaves[k] for k in np.flatnonzero(least <= most * (1 + 1e-9)).tolist()])
+    best = np.full(len(a), np.inf)
+    for start in range(0, len(b), 1 << 14):
+        dx, dy = (a[:, k, None] - b[None, start : start + (1 << 14), k] for k in (0, 1))
+        best = np.minimum(best, np.sqrt(dx * dx + dy * dy).min(axis=1))
+    return best
+
+
+class _Cluster:
+    """The places of a cluster, each with an object or -1 if it is its object's only one."""
+
+    def __init__(self, ids: np.ndarray, at: np.ndarray):
+        self.leaves = _leaves(np.column_stack((at, ids)))
+        self.places = [leaf[:, :2] for leaf in self.leaves]
+        self.low, self.high = (np.array([f(p, axis=0) for p in self.places]) for f in (np.min, np.max))
+
+    def farthest(self, other: _Cluster) -> float:
+        """The most that an object of this one is away from the other."""
+        d = np.concatenate([_nearest(p, other.places, other.low, other.high) for p in self.places])
+        own = np.concatenate([leaf[:, 2] for leaf in self.leaves])
+        some = own >= 0
+        if not some.any():
+            return float(d.max())
+        _, back = np.unique(own[some], return_inverse=True)
+        least = np.full(back.max() + 1, np.inf)
+        np.minimum.at(least, back, d[some])
+        return float(max(least.max(), d[~some].max(initial=0.0)))
+
+
 def hausdorff(pairs: DataFrame, members: DataFrame, points: DataFrame) -> DataFrame:
-    """``earlier, later, hausdorff``: the larger of both directed distances."""
-    at = members.join(points, ["time", "id"]).select("seq", "id", "x", "y")
-    a = at.select(F.col("seq").alias("earlier"), F.col("id").alias("ai"), F.col("x").alias("ax"), F.col("y").alias("ay"))
-    b = at.select(F.col("seq").alias("later"), F.col("id").alias("bi"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    met = pairs.join(a, "earlier").join(b, "later").withColumn("d", geo.distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")))
-    one = lambda i: met.groupBy("earlier", "later", i).agg(F.min("d").alias("d")).groupBy("earlier", "later").agg(F.max("d").alias("d"))
-    return one("ai").unionByName(one("bi")).groupBy("earlier", "later").agg(F.max("d").alias("hausdorff"))
+    """``earlier, later, hausdorff``: the larger of both directed distances.
+
+    Clusters are dealt to blocks, and a group is a pair of blocks: a cluster's places are sent once to each block, not once for each
+    pair.  Equal places count once, and a place is held against the leaves of the other cluster that may be nearest.
+    """
+    at = members.join(points, ["time", "id"]).where("x is not null and y is not null").groupBy("seq", "id").agg(F.collect_set(F.struct("x", "y")).alias("q"))
+    # Objects of several places at a time are numbered in their cluster: the nearest place is the object's.
+    several = F.when(F.size("q") > 1, F.col("id"))
+    at = at.select("seq", several.alias("several"), F.explode("q").alias("q")).distinct()
+    rank = F.dense_rank().over(Window.partitionBy("seq").orderBy("several"))
+    at = at.select("seq", F.when(F.col("several").isNull(), F.lit(-1)).otherwise(rank).cast("long").alias("id"), F.col("q.x").alias("x"), F.col("q.y").alias("y"))
+    blocks = math.ceil(math.sqrt(2 * int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    block = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(blocks)).cast("int")
+    keys = lambda a, b: (F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"))
+    asked = pairs.select(F.col("earlier").cast("long").alias("earlier"), F.col("later").cast("long").alias("later"), *keys(block("earlier"), block("later")))
+    sent = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.col("seq").cast("long").alias("seq"), "id", "x", "y", *keys(block("seq"), F.col("other")))
+
+    def run(wanted: pa.Table, places: pa.Table) -> pa.Table:
+        a, b = (wanted.column(c).to_numpy() for c in ("earlier", "later"))
+        seq, ids, x, y = (places.column(c).to_numpy() for c in ("seq", "id", "x", "y"))
+        order = np.argsort(seq, kind="stable")
+        seq, ids, spot = seq[order], ids[order], np.column_stack((x, y))[order]
+        made: dict[int, _Cluster] = {}
+
+        def cluster(k: int) -> _Cluster:
+            if k not in made:
+                i, j = np.searchsorted(seq, [k, k + 1])
+                made[k] = _Cluster(ids[i:j], spot[i:j])
+            return made[k]
+
+        far = [max(cluster(i).farthest(cluster(j)), cluster(j).farthest(cluster(i))) for i, j in zip(a.tolist(), b.tolist())]
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(far, pa.float64())], names=["earlier", "later", "hausdorff"])
+
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = (df.repartition(n, "lo", "hi").groupBy("lo", "hi") for df in (asked, sent))
+    return next(both).cogroup(next(both)).applyInArrow(run, "earlier long, later long, hausdorff double")
 
 
 def coverage(exact: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from .operators.dense import point_clusters
 from .operators.joins import assign_windows, near_pairs, numbered_segments, segment_pairs, trajectory_pairs
 from .plans import convoys
 from .sources.points import CENTRE, FIXTURE_SQL, centroids, events_fixture, laid_routes, map_centre, numbered, routes
+from .store import once
 
 #: Parameters of the fixture: objects, snapshots, distance, simplification, times of a window, grid cell.
 M, K, EPS, DELTA, SIZE, CELL = 3, 3, 60.0, 30.0, 4, 250.0
@@ -253,7 +254,8 @@ def cluster_bbox_overlap(s, d):
 
 
 def cluster_hausdorff(s, d):
-    h = recurrence.hausdorff(_boxes(s, d), _numbered(s, d), _points(s, d))
+    members = once(_numbered(s, d))
+    h = recurrence.hausdorff(recurrence.box_overlaps(recurrence.cluster_boxes(members, _points(s, d))), members, _points(s, d))
     return h.select(F.col("earlier").cast("long").alias("earlier"), F.col("later").cast("long").alias("later"), F.round("hausdorff", 6).alias("hausdorff"))
 
 
