@@ -301,6 +301,13 @@ def test_coverage(spark):
     assert {tuple(r["objects"]): r["covered"] for r in recurrence.coverage(exact, cand).collect()} == {(1, 2, 3): True, (4, 5, 6): False}
 
 
+def test_coverage_of_large_convoys(spark):
+    rows = [(list(range(n)), at(0), at(9), 3) for n in (2, 15_000)]
+    exact = spark.createDataFrame([*rows, ([1, 99_999], at(0), at(9), 3)], "objects array<long>, start_time timestamp, end_time timestamp, lifetime_points int")
+    cand = spark.createDataFrame([(list(range(15_000)), at(0), at(5)), ([1, 99_999], at(20), at(30))], "objects array<long>, start_time timestamp, end_time timestamp")
+    assert sorted((len(r["objects"]), r["covered"]) for r in recurrence.coverage(exact, cand).collect()) == [(2, False), (2, True), (15_000, True)]
+
+
 def test_hausdorff_equals_all_distances_and_takes_large_clusters(spark):
     rnd = random.Random(5)
     # Cluster, object, place: object 0 of each cluster has two places.

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..functions.values import is_subset
+from ..store import once
 
 
 def numbered_members(members: DataFrame) -> DataFrame:
@@ -140,11 +140,17 @@ def hausdorff(pairs: DataFrame, members: DataFrame, points: DataFrame) -> DataFr
 
 
 def coverage(exact: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Each exact convoy, and whether a candidate with a common time holds all its objects."""
-    c = candidates.select(F.col("objects").alias("c_objects"), F.col("start_time").alias("c_start"), F.col("end_time").alias("c_end"), F.explode("objects").alias("member"))
-    # A covering candidate holds the convoy's first object: an equi-join instead of all pairs.
-    e = exact.withColumn("member", F.element_at("objects", 1))
-    wide = is_subset(F.col("objects"), F.col("c_objects")) & geo.overlap(F.col("start_time"), F.col("end_time"), F.col("c_start"), F.col("c_end"))
-    held = e.join(c, (e["member"] == c["member"]) & wide, "left_semi")
-    held = held.select("objects", "start_time", "end_time").withColumn("covered", F.lit(True)).distinct()
-    return exact.join(held, ["objects", "start_time", "end_time"], "left").select("objects", "start_time", "end_time", "lifetime_points", F.coalesce("covered", F.lit(False)).alias("covered"))
+    """Each exact convoy, and whether a candidate with a common time holds all its objects.
+
+    A candidate holds a convoy if as many objects meet in a join by object as the convoy has, so no set is sent along with each member.
+    """
+    exact = once(exact)
+    names = ("objects", "start_time", "end_time")
+    asked = once(exact.select(*names).distinct().withColumn("convoy", F.monotonically_increasing_id()).withColumn("n", F.size(F.array_distinct("objects"))))
+    own = asked.select("convoy", "n", "start_time", "end_time", F.explode(F.array_distinct("objects")).alias("member"))
+    held = once(candidates.select(F.monotonically_increasing_id().alias("held"), F.array_distinct("objects").alias("objects"), F.col("start_time").alias("c_start"), F.col("end_time").alias("c_end")))
+    held = held.select("held", "c_start", "c_end", F.explode("objects").alias("member"))
+    met = own.join(held.hint("merge"), "member").where(geo.overlap(F.col("start_time"), F.col("end_time"), F.col("c_start"), F.col("c_end")))
+    whole = met.groupBy("convoy", "held").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n")).where("shared = n").select("convoy").distinct()
+    covered = asked.join(whole, "convoy", "left_semi").select(*names, F.lit(True).alias("covered"))
+    return exact.join(covered, list(names), "left").select(*names, "lifetime_points", F.coalesce("covered", F.lit(False)).alias("covered"))
