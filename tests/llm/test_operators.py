@@ -602,6 +602,17 @@ def test_positions_invert_the_schedule(spark):
         mixing.mix_sources(spark.createDataFrame(rows[:1], SCHEMA), most=2.5)
 
 
+def test_op9_takes_what_the_curriculum_places(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    d, mix = "/root/testdata/sf0.001", mixing.mix_sources
+    taken = lambda: {r["doc_id"]: (r["taken"], r["size"]) for r in entry.op9_mixing(spark, d).collect()}
+    whole = taken()
+    monkeypatch.setattr(mixing, "mix_sources", lambda docs: mix(docs).withColumn("positions", F.transform("positions", lambda p: p + F.when(F.col("copies") > 1, 2.0).otherwise(0.0))))
+    assert any(n > size for n, size in whole.values())
+    assert taken() == {k: (0 if n > size else n, size) for k, (n, size) in whole.items()}
+
+
 def test_mix_meets_targets_and_schedule(spark):
     d = "/root/testdata/sf0.01"
     rows = entry.op9_mixing(spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "source"), "doc_id").collect()
