@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from wayfold import queries as Q
 from wayfold.functions import geo
 from wayfold.functions.values import object_ids, round_time
-from wayfold.operators import preprocess, recurrence, simplify, tracker, windows
+from wayfold.operators import joins, preprocess, recurrence, simplify, tracker, windows
 from wayfold.operators.dbscan import clusters
 from wayfold.operators.dense import link_clusters, point_clusters, point_links, segment_links
 from wayfold.operators.joins import assign_windows, near_pairs, numbered_segments, segment_pairs, trajectory_pairs
@@ -562,3 +562,36 @@ def test_query_equals_sql(spark, duck, name):
     cols = sorted(got.columns)
     want = duck.sql(f"SELECT {', '.join(cols)} FROM ({Q.ORACLE_SQL[name]})").fetchall()
     assert sorted(map(repr, (tuple(r) for r in got.select(*cols).collect()))) == sorted(map(repr, want))
+
+
+def test_pair_joins_send_a_segment_few_times_and_no_pair(spark, monkeypatch):
+    """A segment goes to FEW groups at most, however many share its place, and the pairs of objects aren't shuffled."""
+    rnd = random.Random(3)
+    pts = spark.createDataFrame([(i, at(60 * t), rnd.random() * 20, rnd.random() * 20) for i in range(200) for t in range(3)], sources.POINT)
+    parts = numbered_segments(assign_windows(simplify.segments(pts), windows.lambda_windows(pts, 3))).cache()
+    sent, real = [], joins.grouped
+    monkeypatch.setattr(joins, "BLOCK", 8)
+    monkeypatch.setattr(joins, "grouped", lambda df, *keys: (sent.append(df.count()), real(df, *keys))[1])
+    segs = segment_pairs(parts, 60.0, 250.0, "exact", True)
+    pairs = trajectory_pairs(parts, 60.0, 250.0)
+    assert max(sent) <= 4 * parts.count()
+    assert pairs.count() == 200 * 199 // 2
+    assert segs.count() == parts.join(parts.selectExpr("p", "seg as o", "t0 as s0", "t1 as s1"), "p").where("seg < o and t0 <= s1 and t1 >= s0").count()
+    assert pairs._jdf.queryExecution().optimizedPlan().toString().startswith("FlatMapGroupsInArrow")
+
+
+@pytest.mark.parametrize("two,cells,chunk", [(False, None, 64), (True, None, 1 << 20), (True, (5.0, 9.0), 64), (False, (5.0, 9.0), 1 << 20)])
+def test_held_against_equals_all_pairs(monkeypatch, two, cells, chunk):
+    monkeypatch.setattr(joins, "CHUNK", chunk)
+    rng = np.random.default_rng(chunk)
+    n = 120
+    col = {"id": np.arange(n) // 2, "t0": rng.integers(0, 9, n), "tolerance": rng.random(n), "side": np.arange(n) // 2 % 2 if two else np.zeros(n, np.int64)}
+    col |= {"t1": col["t0"] + rng.integers(0, 4, n), "x0": rng.random(n) * 200, "y0": rng.random(n) * 30}
+    col |= {"x1": col["x0"] + rng.random(n) * 9, "y1": col["y0"] - rng.random(n) * 9}
+    got = [(i, j) for a, b in joins._held_against(col, lambda x, y: 5.0 + x + y, joins.segment_gap, True, cells) for i, j in zip(a.tolist(), b.tolist())]
+    i, j = (x.ravel() for x in np.indices((n, n)))
+    ok = (col["side"][i] < col["side"][j]) if two else (col["id"][i] < col["id"][j])
+    ok &= (col["t0"][i] <= col["t1"][j]) & (col["t1"][i] >= col["t0"][j])
+    box = ("x0", "y0", "x1", "y1")
+    ok &= joins.segment_gap([col[c][i] for c in box], [col[c][j] for c in box]) <= 5.0 + col["tolerance"][i] + col["tolerance"][j]
+    assert sorted(got) == sorted(zip(i[ok].tolist(), j[ok].tolist())) and got
