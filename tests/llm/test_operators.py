@@ -859,3 +859,21 @@ def test_a_cluster_needs_a_shared_folder(monkeypatch):
     with pytest.raises(ValueError):
         shared_dir(session("local-cluster[3,2,1024]"))
     assert shared_dir(session("local[4]")) and shared_dir(session("yarn", "hdfs://x/shared/")) == "hdfs://x/shared"
+
+
+def test_a_worker_keeps_nothing_after_its_task(monkeypatch):
+    """Idle workers take turns, so what each keeps counts once for every worker of an executor."""
+    trims, held = [], []
+    monkeypatch.setattr(T, "trim", lambda: trims.append(len(held)))
+
+    def run(batches):
+        own = [1]
+        held.append(own)
+        yield from batches
+
+    assert list(T.tidied(run)([1, 2])) == [1, 2] and trims == [1]
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["one two one"])], ["doc_id", "text"])
+    ids = [ids.tolist() for _, ids, _ in byte_bpe._encoded(BPE, [batch, batch])]
+    assert ids[0] == ids[1] == byte_bpe.encode_batch(BPE, pa.array(["one two one"]))[0].tolist()
+    byte_bpe._state.clear()
+    assert list(byte_bpe._encoded(BPE, [batch])) and not {BPE, ("cache", BPE)} & set(byte_bpe._state)

@@ -274,7 +274,7 @@ def heavy_shingles(docs: DataFrame, id_col: str, text_col: str, words: int) -> n
                 yield pa.RecordBatch.from_arrays([pa.array(sets.view(np.int64)), pa.array(whole.view(np.int64))], ["token", "whole"])
 
     # Copies would make a whole text heavy: a token counts once for each different set.
-    counts = picked.mapInArrow(run, "token long, whole long").distinct().groupBy("token").count().where(F.col("count") >= HEAVY_DOCS)
+    counts = picked.mapInArrow(T.tidied(run), "token long, whole long").distinct().groupBy("token").count().where(F.col("count") >= HEAVY_DOCS)
     return np.sort(counts.select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64))
 
 
@@ -323,7 +323,7 @@ def _prepared(base: DataFrame, heavy: np.ndarray, words: int, percent: int) -> D
                 bits = pa.array([bitmap(sets[a:b]).tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lens), *map(pa.array, keys), lists, bits], ["id", "n", "k1", "k2", "prefix", "bits"])
 
-    return base.mapInArrow(prepare, "id long, n long, k1 long, k2 long, prefix array<long>, bits binary")
+    return base.mapInArrow(T.tidied(prepare), "id long, n long, k1 long, k2 long, prefix array<long>, bits binary")
 
 
 def _postings(kept: DataFrame, first: int | None = None) -> DataFrame:
@@ -396,7 +396,7 @@ def _blocks(postings: DataFrame, name: str, percent: int, paths: list[str]) -> D
         if len(held[0]):
             yield cut(held, True)
 
-    return written(ordered.mapInArrow(run, "token long, id long, n long, pos int, block long"), name, paths)
+    return written(ordered.mapInArrow(T.tidied(run), "token long, id long, n long, pos int, block long"), name, paths)
 
 
 def _classed(members: DataFrame, classes: DataFrame | None) -> DataFrame:
@@ -662,7 +662,7 @@ def _sets_of(base: DataFrame, needed: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(sets.view(np.int64)))], ["id", "shingles"])
 
     rows = base.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(size)).alias("place"))
-    return rows.mapInArrow(run, "id long, shingles array<long>").where(F.size("shingles") > 0).join(needed, "id", "left_semi")
+    return rows.mapInArrow(T.tidied(run), "id long, shingles array<long>").where(F.size("shingles") > 0).join(needed, "id", "left_semi")
 
 
 def set_views(column: pa.ChunkedArray) -> list[np.ndarray]:

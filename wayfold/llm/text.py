@@ -59,6 +59,20 @@ def trim() -> None:
         _libc.malloc_trim(0)
 
 
+def tidied(run):
+    """``run`` over a task's batches, which gives back what it held when it ends: Spark lets idle workers take turns, so each of
+    them would hold its last task's share.  ``trim`` in the run itself comes before its last arrays go.
+    """
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return whole
+
+
 def pieces(texts: list[str], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, pa.Array]]:
     """Texts in arrays of about ``limit`` characters, each with the place of its first one."""
     start = size = 0

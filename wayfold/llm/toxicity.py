@@ -199,4 +199,4 @@ def score_toxicity(docs: DataFrame, model: dict, id_col: str = "doc_id", text_co
     from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
     out = StructType([*rows.schema.fields[1:], *(StructField(f"__p{j}", DoubleType()) for j in range(len(names))), StructField("__toxic", BooleanType())])
-    return rows.mapInArrow(run, out).toDF(id_col, *keep, *names, "toxic")
+    return rows.mapInArrow(T.tidied(run), out).toDF(id_col, *keep, *names, "toxic")
