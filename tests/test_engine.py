@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -595,3 +596,54 @@ def test_held_against_equals_all_pairs(monkeypatch, two, cells, chunk):
     box = ("x0", "y0", "x1", "y1")
     ok &= joins.segment_gap([col[c][i] for c in box], [col[c][j] for c in box]) <= 5.0 + col["tolerance"][i] + col["tolerance"][j]
     assert sorted(got) == sorted(zip(i[ok].tolist(), j[ok].tolist())) and got
+
+
+@pytest.mark.parametrize("own,n", [("id", 40_000), ("seg", 140_000)])
+def test_crowds_are_sent_few_times(spark, monkeypatch, own, n):
+    """Up to FEW * MOST objects, or segments, of a window in one place go to FEW groups each."""
+    sent = []
+    monkeypatch.setattr(joins, "grouped", lambda df, *keys: sent.append(df.count()))
+    parts = spark.range(n).selectExpr("0L as p", f"id as {own}", "timestamp_seconds(0) as t0", "timestamp_seconds(60) as t1", "id % 7.0D as x0", "0.0D as y0", "1.0D as x1", "id % 5.0D as y1", "0.0D as tolerance")
+    joins.block_pairs(parts, own, 60.0, 250.0)
+    assert sent == [4 * n]
+
+
+@pytest.mark.parametrize("name", ["segment_edges_ends"])
+def test_pairs_leave_python_as_lists(spark, name):
+    """A row of Python for many pairs, and what is shown of their time or window is made before they are spread."""
+    plan = Q.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Generate explode(others")
+    assert "date_format" not in above and "cast(" not in above and "FlatMapGroupsInArrow" in below
+
+
+@pytest.mark.parametrize("two", [False, True])
+@pytest.mark.parametrize("scale,shift,tolerance", [(1.0, 0.0, 0.0), (1.0, 0.0, 3.0), (1.0, 1e9, 2.0), (1e-9, 0.0, 0.0), (1e20, 0.0, 1.0)])
+def test_tiles_of_objects_and_segments_equal_all_pairs(monkeypatch, two, scale, shift, tolerance):
+    """Also at distances of exactly eps, and where single precision tells little or overflows."""
+    monkeypatch.setattr(joins, "TILE", (8, 16))
+    monkeypatch.setattr(joins, "CHUNK", 64)
+    rng = np.random.default_rng(5)
+    n, eps = 150, 5.0 * scale
+    col = {"id": rng.permutation(n) // 3, "t0": rng.integers(0, 9, n), "tolerance": np.floor(rng.random(n) * tolerance) * scale}
+    col |= {"t1": col["t0"] + rng.integers(0, 4, n), "side": col["id"] % 2 if two else np.zeros(n, np.int64)}
+    col |= {c: np.floor(rng.random(n) * (60 if c[0] == "x" else 30)) * scale + shift for c in ("x0", "y0", "x1", "y1")}
+    i, j = (x.ravel() for x in np.indices((n, n)))
+    meet = (col["t0"][i] <= col["t1"][j]) & (col["t1"][i] >= col["t0"][j])
+    apart = (col["side"][i] < col["side"][j]) if two else (i < j)
+    box = ("x0", "y0", "x1", "y1")
+    table = pa.table({"p": pa.array(np.zeros(n, np.int64))})
+
+    def pairs(ids, tiles):
+        out = [tuple(sorted((a, b))) for batch in joins._lists(table, ids, tiles) for a, many in zip(batch.column("one").to_pylist(), batch.column("others").to_pylist()) for b in many]
+        assert len(out) == len(set(out)) and out
+        return set(out)
+
+    for distance, temporal in (("ends", False), ("exact", True), ("clamped", True)):
+        near = joins.SEGMENT_DISTANCES[distance]([col[c][i] for c in box], [col[c][j] for c in box]) <= eps + col["tolerance"][i] + col["tolerance"][j]
+        ok = near & apart & (meet | (not temporal))
+        assert pairs(np.arange(n), joins._segment_tiles(col, lambda x, y: eps + x + y, joins.SEGMENT_DISTANCES[distance], temporal)) == {tuple(sorted(q)) for q in zip(i[ok].tolist(), j[ok].tolist())}
+    near = joins.segment_gap([col[c][i] for c in box], [col[c][j] for c in box]) <= eps + col["tolerance"][i] + col["tolerance"][j]
+    ok = near & meet & (col["id"][i] != col["id"][j]) & (apart if two else True)
+    want = {tuple(sorted(q)) for q in zip(col["id"][i[ok]].tolist(), col["id"][j[ok]].tolist())}
+    for cells in (None, (eps, 12.0 * scale)):
+        assert pairs(*joins._object_tiles(col, eps, cells)) == want
