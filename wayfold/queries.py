@@ -151,7 +151,8 @@ def segment_distance(s, d):
 def _traj_pairs(lemma):
     def run(s, d):
         segs = simplify.segments(simplify.simplify(_points(s, d), DELTA))
-        return trajectory_pairs(assign_windows(segs, _windows_of(s, d)), EPS, CELL, lemma).select(F.col("p").cast("long").alias("p"), "a", "b")
+        lists = trajectory_pairs(assign_windows(segs, _windows_of(s, d)), EPS, CELL, lemma, lists=True)
+        return spread(lists.withColumn("p", F.col("p").cast("long")))
 
     return run
 
