@@ -608,7 +608,7 @@ def test_crowds_are_sent_few_times(spark, monkeypatch, own, n):
     assert sent == [4 * n]
 
 
-@pytest.mark.parametrize("name", ["segment_edges_ends", "segment_edges_exact", "segment_pair_edges_endpoint", "traj_pair_edges_pruned"])
+@pytest.mark.parametrize("name", ["segment_edges_ends", "segment_edges_exact", "segment_pair_edges_endpoint", "traj_pair_edges", "traj_pair_edges_pruned"])
 def test_pairs_leave_python_as_lists(spark, name):
     """A row of Python for many pairs, and what is shown of their time or window is made before they are spread."""
     plan = Q.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
